@@ -1,4 +1,4 @@
-"""A bit map of fixed size, broadcast to drop rows that can have no partner.
+"""A Bloom filter of fixed size (two probes), broadcast to drop rows that can have no partner.
 
 Its size is set by a parameter and does not grow with the data. Built over more keys than fit, it only lets more rows
 through: it never drops a row whose key was put in, so results stay whole at every size.
@@ -15,9 +15,12 @@ LOG2_BITS = 27  # 16 MB
 
 def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS):
     """Broadcast bit map of a BIGINT column: at most 2**(log2_bits - 6) aggregated rows reach the driver."""
+    lift = 64 - log2_bits
+    slot = f"explode(array(shiftrightunsigned({key}, {lift}), shiftrightunsigned(shiftleft({key}, {log2_bits}), {lift}))) as slot"
     words = (
         df.where(F.col(key).isNotNull())
-        .selectExpr(f"cast(shiftrightunsigned({key}, {64 - log2_bits + 6}) as int) as i", f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - log2_bits}) & 63 as int)) as b")
+        .selectExpr(slot)
+        .selectExpr("cast(shiftright(slot, 6) as int) as i", "shiftleft(1L, cast(slot & 63 as int)) as b")
         .groupBy("i")
         .agg(F.bit_or("b").alias("b"))
         .toPandas()
@@ -28,7 +31,10 @@ def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS):
 
 
 def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For unsigned 64-bit keys; the slot is made of the key's top bits, so keys must be hashes."""
-    shift = 64 - int(len(bits)).bit_length() + 1 - 6
-    slot = keys >> np.uint64(shift)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    """For unsigned 64-bit keys; both slots are made of the key's own bits, so keys must be hashes."""
+    log2_bits = int(len(bits)).bit_length() + 5
+    hit = np.ones(len(keys), np.bool_)
+    for k in (keys, keys << np.uint64(log2_bits)):
+        slot = k >> np.uint64(64 - log2_bits)
+        hit &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    return hit

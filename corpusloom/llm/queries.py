@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.near_duplicates import near_duplicate_groups
+from corpusloom.llm.segment_join import split_overlap
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap(_t(spark, d, "articles"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: overlapping pairs, evaluation articles in them, and all its articles."""
+    a = _t(spark, d, "articles").where("split in ('dev', 'heldout', 'test')").select("article_id", "split", "source").distinct()
+    pairs = split_overlap(_t(spark, d, "articles")).select(F.explode(F.array("article_id_a", "article_id_b")).alias("article_id"), F.struct("article_id_a", "article_id_b").alias("pair"))
+    hits = a.join(pairs.groupBy("article_id").agg(F.count("pair").alias("n")), "article_id", "left")
+    return hits.groupBy("split", "source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("n").alias("overlapping_articles"), F.count(F.lit(1)).alias("articles"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, d, "documents")).selectExpr("first as first_doc_id", "id as doc_id")
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found)}
 SQL: dict[str, str] = {}
