@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.leakage import leaked_passages
 from corpusloom.llm.near_duplicates import near_duplicate_groups
 from corpusloom.llm.segment_join import split_overlap
 
@@ -25,9 +26,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("split", "source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("n").alias("overlapping_articles"), F.count(F.lit(1)).alias("articles"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked_passages(_t(spark, d, "documents"), _t(spark, d, "unified_test"), "doc_id", "doc_id")
+    return found.selectExpr("doc as doc_id", "item as test_doc_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, d, "documents")).selectExpr("first as first_doc_id", "id as doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found)}
 SQL: dict[str, str] = {}
