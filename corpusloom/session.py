@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED = "spark.corpusloom.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if spark.conf.get(_SHIPPED, None) == app:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="corpusloom-ship-")) / "corpusloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))  # Spark's file server hands it to the executors
+    spark.conf.set(_SHIPPED, app)
