@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from corpusloom.session import ship
+
 ROWS = 2000
 
 
@@ -28,6 +30,7 @@ def _typed(x, kind: pa.DataType) -> pa.Array:
 
 def map_arrow(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """`fn` gets {column: pyarrow Array} for up to ROWS rows and returns {column: array}, of any length."""
+    ship(df.sparkSession)
     to = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

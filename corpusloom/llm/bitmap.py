@@ -1,4 +1,4 @@
-"""A Bloom filter of fixed size (two probes), broadcast to drop rows that can have no partner.
+"""A Bloom filter of fixed size (two probes), used to drop rows that can have no partner.
 
 Its size is set by a parameter and does not grow with the data. Built over more keys than fit, it only lets more rows
 through: it never drops a row whose key was put in, so results stay whole at every size.
@@ -6,15 +6,49 @@ through: it never drops a row whose key was put in, so results stay whole at eve
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 LOG2_BITS = 27  # 16 MB
 
 
-def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS):
-    """Broadcast bit map of a BIGINT column: at most 2**(log2_bits - 6) aggregated rows reach the driver."""
+class Bits:
+    """A filter stored as a table in the shared folder (path) that each Python worker loads once, or sent (value)."""
+
+    def __init__(self, log2_bits: int, path: str | None = None, sent=None):
+        self.log2_bits, self.path, self.sent = log2_bits, path, sent
+
+    @property
+    def value(self) -> np.ndarray:
+        return _load(self.path, self.log2_bits) if self.path else self.sent.value
+
+
+def _fill(log2_bits: int, i: np.ndarray, b: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << (log2_bits - 6), np.uint64)
+    bits[i.astype(np.int64)] = b.astype(np.int64).view(np.uint64)
+    return bits
+
+
+@functools.lru_cache(1)
+def _load(path: str, log2_bits: int) -> np.ndarray:
+    where, folder = fs.FileSystem.from_uri(path)
+    t = ds.dataset(folder, format="parquet", filesystem=where, exclude_invalid_files=False).to_table()
+    return _fill(log2_bits, t["i"].to_numpy(), t["b"].to_numpy())
+
+
+def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS) -> Bits:
+    """Filter of a BIGINT column of hashes; nulls are left out.
+
+    Its non-zero words, at most 2**(log2_bits - 6), are written to the shared folder, where the workers read them; only
+    if they cannot reach that folder by its address they are sent through the driver.
+    """
     lift = 64 - log2_bits
     slot = f"explode(array(shiftrightunsigned({key}, {lift}), shiftrightunsigned(shiftleft({key}, {log2_bits}), {lift}))) as slot"
     words = (
@@ -23,11 +57,17 @@ def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS):
         .selectExpr("cast(shiftright(slot, 6) as int) as i", "shiftleft(1L, cast(slot & 63 as int)) as b")
         .groupBy("i")
         .agg(F.bit_or("b").alias("b"))
-        .toPandas()
     )
-    bits = np.zeros(1 << (log2_bits - 6), np.uint64)
-    bits[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    return df.sparkSession.sparkContext.broadcast(bits)
+    table = cut(words)
+    path = table.inputFiles()[0].rpartition("/")[0] if table.inputFiles() else None
+    if path is None:
+        return Bits(log2_bits, sent=df.sparkSession.sparkContext.broadcast(_fill(log2_bits, np.zeros(0), np.zeros(0))))
+    try:
+        fs.FileSystem.from_uri(path)
+    except (OSError, ValueError):  # an address that only Hadoop understands
+        rows = table.toPandas()
+        return Bits(log2_bits, sent=df.sparkSession.sparkContext.broadcast(_fill(log2_bits, rows["i"].to_numpy(), rows["b"].to_numpy())))
+    return Bits(log2_bits, path=path)
 
 
 def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

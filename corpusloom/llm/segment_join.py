@@ -1,10 +1,10 @@
 """Edit-distance segment join: evaluation texts that stand, exactly or nearly, in the training split.
 
-Each evaluation text is cut into segments of `width` words. Two texts whose word runs agree to `threshold_pct` keep
+Each evaluation text is cut into segments of 8 words (16 characters in zh and ja; short texts as long as one run). Two texts whose word runs agree to `threshold_pct` keep
 most segments: an edit of a word breaks the runs over it, one of which is a segment, so about
 (100 - threshold_pct) % of the segments can be lost. With k that number plus a margin, any k + 1 segments
-hold an intact one; the k + 1 that are rarest among the evaluation texts are taken, so phrases that stand in a large share
-of all texts generate no candidates. Every training text's substrings of that width are matched against them at the
+hold an intact one, and any k + m hold m; the k + m that are rarest among the evaluation texts are taken, so phrases that
+stand in a large share of all texts generate no candidates. Every training text's substrings of that width are matched against them at the
 allowed positions, and the pairs verified: a banded dynamic program over words accepts pairs whose edit
 distance alone proves the similarity; the others are decided by their exact run sets.
 """
@@ -30,8 +30,12 @@ def _lists(lists: list[np.ndarray], dtype=np.uint64) -> pa.Array:
     return ragged(np.concatenate([*lists, np.zeros(0, dtype)]), _offsets(lists), "int64" if dtype == np.uint64 else "int32")
 
 
+#: run width: (segment width, texts of fewer words than this are cut into segments of the run width instead)
+SEGMENTS = {5: (8, 24), 10: (16, 48)}
+
+
 def _pass(df: DataFrame, width: int, width_cjk: int, bits) -> DataFrame:
-    """(id, cls, w, segs, pos, words): the segments of each text, or with bits the substrings that the bit map has."""
+    """(id, cls, w, segs, pos, words): the segments of each text, or with bits the substrings that the filter has."""
 
     def fn(c: dict) -> dict:
         langs = c["lang"].to_pylist()
@@ -40,16 +44,30 @@ def _pass(df: DataFrame, width: int, width_cjk: int, bits) -> DataFrame:
         rows, widths, segs, pos, words = [], [], [], [], []
         for w, at in groups_by_width(langs, width, width_cjk):
             hw, ow = take(h, o, at)
-            r, ro = runs(hw, ow, w)
-            place = np.arange(len(r)) - np.repeat(ro[:-1], np.diff(ro))
-            keep = np.flatnonzero(place % w == 0 if bits is None else bitmap.contains(bits.value, r))
-            edge = np.searchsorted(keep, ro)
+            n = np.diff(ow)
+            long, short = SEGMENTS.get(w, (w, 0))
+            text, hit, place = [], [], []
+            for size in {w, long}:
+                r, ro = runs(hw, ow, size)
+                of = np.repeat(np.arange(len(at)), np.diff(ro))
+                where = np.arange(len(r)) - ro[of]
+                if bits is None:
+                    k = np.flatnonzero((where % size == 0) & ((n[of] >= short) == (size == long)))
+                else:
+                    k = np.flatnonzero(n[of] < 2 * short) if size != long else np.arange(len(r))
+                    k = k[bitmap.contains(bits.value, r[k])]
+                text.append(of[k])
+                hit.append(r[k])
+                place.append(where[k].astype(np.int32))
+            text = np.concatenate(text)
+            by = np.argsort(text, kind="stable")
+            text, hit, place = text[by], np.concatenate(hit)[by], np.concatenate(place)[by]
+            edge = np.searchsorted(text, np.arange(len(at) + 1))
             for i in np.flatnonzero(np.diff(edge)):
-                k = keep[edge[i] : edge[i + 1]]
                 rows.append(at[i])
                 widths.append(w)
-                segs.append(r[k])
-                pos.append(place[k].astype(np.int32))
+                segs.append(hit[edge[i] : edge[i + 1]])
+                pos.append(place[edge[i] : edge[i + 1]])
                 words.append(hw[ow[i] : ow[i + 1]])
         rows = np.asarray(rows, np.int64)
         return {"id": ids[rows], "cls": cls[rows], "w": np.asarray(widths, np.int32), "segs": _lists(segs), "pos": _lists(pos, np.int32), "words": _lists(words)}
@@ -128,14 +146,15 @@ def segment_join(train: DataFrame, evaluation: DataFrame, id_col: str, text_col:
     seg = ev_words.select("cls", F.size("words").alias("n"), F.size("segs").alias("s"), F.explode(F.arrays_zip("segs", "pos")).alias("x")).select("cls", "n", "s", F.col("x.segs").alias("h"), F.col("x.pos").alias("pos"))
     rarity = seg.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "pos"))
-    lost = F.ceil(F.col("s") * (100 - threshold_pct + 10) / 100)
-    seg = cut(seg.join(rarity, "h").withColumn("k", rank).where(F.col("k") <= lost + 2).select("h", "cls", "n", "pos"))
+    lost = F.ceil(F.col("s") * (100 - threshold_pct + 5) / 100) + 1
+    more = F.floor(F.col("s") / 8)
+    seg = cut(seg.join(rarity, "h").withColumn("k", rank).where(F.col("k") <= lost + 1 + more).select("h", "cls", "n", "pos", (more + 1).alias("need")))
     bits = bitmap.build(seg, "h")
     tr = cut(_pass(pick(train), width, width_cjk, bits))
     tr_words = tr.dropDuplicates(["cls"])
     sub = tr_words.select(F.col("cls").alias("tcls"), F.size("words").alias("tn"), F.explode(F.arrays_zip("segs", "pos")).alias("x")).select("tcls", "tn", F.col("x.segs").alias("h"), F.col("x.pos").alias("tpos"))
     near = (F.abs(F.col("pos") - F.col("tpos")) <= F.greatest("n", "tn") * F.lit(max_shift)) & (F.least("n", "tn") * 100 >= F.greatest("n", "tn") * (threshold_pct // 2))
-    pairs = seg.join(sub, "h").where(near).select(F.col("cls").alias("ecls"), "tcls").distinct()
+    pairs = seg.join(sub, "h").where(near).groupBy(F.col("cls").alias("ecls"), "tcls").agg(F.count_distinct("pos").alias("n"), F.min("need").alias("need")).where("n >= need").select("ecls", "tcls")
     with_words = pairs.join(ev_words.select(F.col("cls").alias("ecls"), "w", F.col("words").alias("ew")), "ecls").join(tr_words.select(F.col("cls").alias("tcls"), F.col("words").alias("tw")), "tcls")
 
     def verify(c: dict) -> dict:
