@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.byte_bpe import encode_texts
 from corpusloom.llm.leakage import leaked_passages
 from corpusloom.llm.near_duplicates import near_duplicate_groups
 from corpusloom.llm.segment_join import split_overlap
@@ -35,5 +36,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, d, "documents")).selectExpr("first as first_doc_id", "id as doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(_t(spark, d, "documents"), "doc_id", tokenizer="byte_bpe_50k")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p7_ids)}
 SQL: dict[str, str] = {}
