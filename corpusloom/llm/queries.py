@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.byte_bpe import encode_texts
 from corpusloom.llm.leakage import leaked_passages
 from corpusloom.llm.near_duplicates import near_duplicate_groups
+from corpusloom.llm.residue import residue_documents
 from corpusloom.llm.segment_join import split_overlap
 
 
@@ -40,5 +41,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(_t(spark, d, "documents"), "doc_id", tokenizer="byte_bpe_50k")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue_documents(_t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p7_ids, p9_found)}
 SQL: dict[str, str] = {}
