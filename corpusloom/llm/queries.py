@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.boilerplate import boilerplate_lines
 from corpusloom.llm.byte_bpe import encode_texts
 from corpusloom.llm.canonical import map_values, reference_forms
 from corpusloom.llm.leakage import leaked_passages
@@ -51,6 +52,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_t(spark, d, "documents")).selectExpr("first as first_doc_id", "id as doc_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate_lines(_t(spark, d, "extracted_pages"))
+
+
 FIELDS = {"lang": LANGUAGE_TREE, "gpt_label_id": LABEL_TREE}
 
 
@@ -91,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_misses, p2_found, p2_report, p3_found, p4_found, p6_found, p6_report, p6_sample, p7_ids, p8_packing, p8_report, p9_found)
+    for f in (p1_found, p1_misses, p2_found, p2_report, p3_found, p4_found, p5_found, p6_found, p6_report, p6_sample, p7_ids, p8_packing, p8_report, p9_found)
 }
 SQL: dict[str, str] = {
     "p6_found": """
