@@ -25,6 +25,7 @@ from corpusloom.llm.arrowmap import map_arrow, ragged
 
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT = regex.compile(PATTERN).findall
 FOLDER = "/opt/tokenizers"
 CACHE = 400_000
 CACHED_LENGTH = 48
@@ -79,7 +80,7 @@ class ByteBPE:
         self.shorter = functools.cache(self._shorter)
         self.fits: dict[tuple[int, int], bool] = {}
         self.words = _Words(self.encode_word)
-        self.find = regex.compile(PATTERN).findall
+        self.find = SPLIT
 
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, found by the merges of lower rank; None for a single byte."""

@@ -13,13 +13,14 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrowmap import map_arrow
-from corpusloom.llm.byte_bpe import CACHE, CACHED_LENGTH, FOLDER, load
+from corpusloom.llm.byte_bpe import CACHE, CACHED_LENGTH, FOLDER, SPLIT, load
 from corpusloom.session import cut
 
 SALTS = 32
@@ -44,23 +45,64 @@ class _Counts(dict):
         return n
 
 
+class PieceCounter:
+    """Token counts of a SentencePiece BPE model, word by word where that is exact.
+
+    If no piece holds a space mark after another character or a line end beside one, no merge joins a word to the spaces or
+    line end after it, so a word with the spaces before it is encoded the same wherever it stands. A model with
+    other pieces, or one that treats the probes differently, is run over whole texts.
+    """
+
+    PROBES = ("a  b\n c\td", "\n", " \n x", "x \n\ny  ", "  ", "é\r\nß ½")
+
+    def __init__(self, model):
+        self.model = model
+        self.find = re.compile(r" *[^ \n]+|\n| +").findall
+        self.words = _Counts(lambda w: len(model.encode(w[1:])) if w[0] == " " and w != " " * len(w) else len(model.encode("\n" + w)) - 2)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.exact = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and all(self.count(p) == len(model.encode(p)) for p in self.PROBES)
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        first, *rest = self.find(text)
+        return len(self.model.encode(first)) + sum(map(self.words.__getitem__, rest))
+
+    def __call__(self, text: str) -> int:
+        return self.count(text) if self.exact else len(self.model.encode(text))
+
+
 @functools.lru_cache(8)
 def counter(name: str, folder: str = FOLDER):
-    """text -> number of tokens without special tokens, for a vocabulary by name; once per worker process."""
+    """(split, count): tokens of a text without special tokens are count(split(text)); once per worker process.
+
+    Vocabularies with equal split functions share one call for each text.
+    """
     if os.path.exists(path := os.path.join(folder, f"{name}.model")):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text))
+        return str, PieceCounter(sentencepiece.SentencePieceProcessor(model_file=path))
     if os.path.exists(os.path.join(folder, f"{name}.tiktoken")):
         bpe = load(name, folder)
         words = _Counts(lambda w: len(bpe.encode_word(w.encode("utf8").decode("latin-1"))))
-        return lambda text: sum(map(words.__getitem__, bpe.find(text)))
+        return SPLIT, lambda found: sum(map(words.__getitem__, found))
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
     t.encode_special_tokens = True
-    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+    return str, lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+def count_all(text: str | None, names: list[str], folder: str = FOLDER) -> list[int]:
+    if not text:
+        return [0] * len(names)
+    parts: dict = {}
+    out = []
+    for split, count in (counter(n, folder) for n in names):
+        if split not in parts:
+            parts[split] = split(text)
+        out.append(count(parts[split]))
+    return out
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, names: list[str], folder: str = FOLDER) -> DataFrame:
@@ -68,9 +110,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, names: list[str], fo
     kind = dict(df.dtypes)[id_col]
 
     def fn(c: dict) -> dict:
-        texts = c["text"].to_pylist()
-        counts = [counter(n, folder) for n in names]
-        return {"id": c["id"], "sizes": [[k(t) if t else 0 for k in counts] for t in texts]}
+        return {"id": c["id"], "sizes": [count_all(t, names, folder) for t in c["text"].to_pylist()]}
 
     return map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {kind}, sizes array<int>")
 
