@@ -11,8 +11,10 @@ add up in any order, the alignment is one distributed aggregation, whatever shar
 
 from __future__ import annotations
 
+import functools
 import functools
 import html
+import itertools
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.arrowmap import map_arrow
 from corpusloom.session import cut
 
-LONG = 110
+#: Characters: a paragraph has at least LONG; a line of TEASER or more is no headline of another article.
+LONG, TEASER = 110, 240
+#: A teaser's lead-in has at most so many words.
+LEAD_WORDS = 8
 #: A word is text, not a slot, from these shares of the language's pages on: a fine and a coarse reading of each line.
 WORD_SHARE, WORD_SHARE_COARSE = 0.004, 0.03
 LEAST_PAGES, LONG_SHARE = 3, 0.0005
@@ -194,7 +199,9 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     often = F.col("H") + F.col("T")
     by_lang = at.groupBy("lang", "token").agg(*[F.sum(z).alias(z) for z in "HMT"], F.count_distinct("host").alias("hosts")).join(F.broadcast(total), "lang")
     by_lang = by_lang.where(frame & (often >= F.greatest(F.lit(4), F.col("pages") * LONG_SHARE)) & (F.col("hosts") > 1)).select("lang", "token")
-    wrapper = _known(spark, ((r.lang, r.token) for r in by_lang.collect()))  # at most lines a page / LONG_SHARE a language
+    rows = by_lang.collect()  # at most lines a page / LONG_SHARE a language
+    wrapper = _known(spark, ((r.lang, r.token) for r in rows))
+    literal = _known(spark, (("", r.token) for r in rows if "◇" not in r.token and r.token[:2] != "~ "))
     code = F.lower(F.coalesce("lang", F.lit("")))
     code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv]), code), code)
     src = src.withColumn("code", code)
@@ -205,7 +212,7 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     def classify(c: dict) -> dict:
         ids, nos = [], []
-        plain_lines = frozenset(t for v in wrapper.value.values() for t in v if "◇" not in t and t[:2] != "~ ")
+        plain_lines = literal.value.get("", none)
         own = {k: frozenset(o) for k, o in zip(zip(c["code"].to_pylist(), c["host"].to_pylist()), c["own"].to_pylist()) if o}
         for page, lang, host, head, lines in _rows(c):
             known = common(lang)
@@ -218,6 +225,12 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return map_arrow(with_own.select("id", "lang", "host", "headline", "text", "code", "own"), classify, f"`{id_col}` {kind}, line_no int")
 
 
+@functools.lru_cache(64)
+def first_words(tokens: frozenset) -> frozenset:
+    """First words of the wrapper's tokens, slots left out."""
+    return frozenset(t.partition(" ")[0] for t in tokens if t[:2] != "~ ") - {"◇"}
+
+
 def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame_long, shapes) -> list[int]:
     """Places of the lines of one page to remove."""
     head = headline_at(lines, headline)
@@ -225,7 +238,7 @@ def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame
     z = zones(lines, tokens, head, frame_long)
     own = plain(headline)
     general, special, literal = wrapper
-    fine = known[0]
+    fine, starts = known[0], first_words(general)
     in_frame = lambda x: bool(general.intersection(readings(x, known))) or token(x, _ALL) in literal
     out, tail = [], False
     for i, x in enumerate(lines):
@@ -237,12 +250,12 @@ def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame
         framed = in_frame(x) or bool(special.intersection(tokens[i]))
         bare = _LEAD.sub("", x)
         gone = framed or bool(_TAGS.match(x)) or bool(_RIGHTS.match(x)) or plain(x).strip(" .:…-–—[]()") in MARKS or (bare != x and in_frame(bare))
-        if not gone and plain(bare) != own:
+        if not gone and len(x) < TEASER and plain(bare) != own:
             parts = [k for k in _TRAIL.split(x) if k.strip()]
             gone = shape(bare, fine) in shapes or len(parts) > 1 and all(plain(k) == own or in_frame(k.strip()) for k in parts)
             if not gone:  # a teaser's lead-in and its headline on one line
-                cuts = (m.start() for m in re.finditer(r"(?<=[\w:])\s", x))
-                gone = any(shape(x[k + 1 :], fine) in shapes and (in_frame(x[:k]) or in_frame(x[:k].rstrip(":") + ":")) for k in cuts)
+                cuts = itertools.islice((m.start() for m in re.finditer(r"(?<=[\w:])\s", x)), LEAD_WORDS) if plain(x).partition(" ")[0] in starts else ()
+                gone = any((in_frame(x[:k]) or in_frame(x[:k].rstrip(":") + ":")) and shape(x[k + 1 :], fine) in shapes for k in cuts)
         if z[i] == "T" and framed:
             tail = True
         if gone or (tail and z[i] == "T" and not _is_long(x)):
