@@ -70,8 +70,11 @@ def char_tokens(text: Column | str) -> Column:
 
 
 def ngrams(items: Column, n: int, sep: str = " ") -> Column:
-    """Runs of n consecutive items; none if there are fewer."""
-    count = F.size(items) - (n - 1)
+    """Runs of n consecutive items; none if there are fewer.
+
+    `items` should be a column and not an expression: it is used in a lambda and would be computed for every run.
+    """
+    count = F.coalesce(F.size(items), F.lit(0)) - (n - 1)
     return F.when(count < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), sep)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import char_tokens, is_no_space, ngrams, tokens
+from corpusloom.functions.text import char_tokens, is_no_space, tokens
 
 
 def grams(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang", n: int = 8, n_chars: int = 16) -> DataFrame:
@@ -13,8 +13,11 @@ def grams(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang", n:
 
     Texts shorter than n have none.
     """
-    g = F.when(is_no_space(lang), F.transform(ngrams(char_tokens(text), n_chars, ""), lambda x: F.xxhash64(x))).otherwise(F.transform(ngrams(tokens(text), n), lambda x: F.xxhash64(x)))
-    return df.select(id_col, F.explode(F.array_distinct(g)).alias("gram"))
+    chars = is_no_space(lang)
+    t = df.select(id_col, F.when(chars, char_tokens(text)).otherwise(tokens(text)).alias("t"), F.when(chars, n_chars).otherwise(n).alias("n"))
+    count = F.coalesce(F.size("t"), F.lit(0)) - F.col("n") + 1
+    g = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.col("n")), " ")))
+    return t.where(count > 0).select(id_col, F.explode(F.array_distinct(g)).alias("gram"))
 
 
 def overlap(docs: DataFrame, reference: DataFrame, id_col: str, ref_id: str, text: str = "text", lang: str = "lang", n: int = 8, n_chars: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import char_tokens, dup_key, is_no_space, shingles, tokens
+from corpusloom.functions.text import char_tokens, dup_key, is_no_space, tokens
 from corpusloom.operators.sampling import keep_first
 from corpusloom.session import cut
 
@@ -17,11 +17,13 @@ def exact_dedup(df: DataFrame, order: list[Column], text: str = "text") -> DataF
 
 
 def _bands(df: DataFrame, id_col: str, text: str, lang: str, perms: int, rows: int) -> DataFrame:
-    sh = F.when(is_no_space(lang), shingles(char_tokens(text), 10, "")).otherwise(shingles(tokens(text), 5))
-    base = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.array_distinct(F.transform(sh, lambda x: F.xxhash64(x))).alias("set")).where(F.size("set") > 0)
-    mins = F.transform(F.sequence(F.lit(1), F.lit(perms)), lambda k: F.array_min(F.transform("set", lambda x: F.xxhash64(x, k))))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(perms // rows - 1)), lambda b: F.xxhash64(b, F.slice(F.col("mins"), b * rows + 1, rows)))
-    return base.withColumn("mins", mins).withColumn("keys", keys).drop("mins")
+    chars = is_no_space(lang)
+    t = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.when(chars, char_tokens(text)).otherwise(tokens(text)).alias("t"), F.when(chars, 10).otherwise(5).alias("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - F.col("n") + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.col("n")), " ")))
+    base = t.where(F.size("t") > 0).select("id", F.array_distinct(runs).alias("set"))
+    # written out so that the set and the minima are columns used many times, which Catalyst then computes once
+    base = base.withColumn("mins", F.array(*[F.array_min(F.transform("set", lambda x: F.xxhash64(x, F.lit(k)))) for k in range(perms)]))
+    return base.withColumn("keys", F.array(*[F.xxhash64(F.lit(b), *[F.element_at("mins", b * rows + r + 1) for r in range(rows)]) for b in range(perms // rows)])).drop("mins")
 
 
 def near_pairs(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang", threshold: float = 0.7, perms: int = 64, rows: int = 4) -> DataFrame:
