@@ -24,12 +24,15 @@ REJECT_TERMS = (
 MOST_CHARS = 40
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, which has no built-in."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(name: Column) -> Column:
+    """Unicode NFKC, which has no built-in: a vectorised UDF."""
+    return F.pandas_udf(_nfkc, "string")(name)
+
+
 def normalise_ascii(name: Column | str) -> Column:
     """normalise() for names that are in NFKC already; stays in the JVM."""
     s = F.col(name) if isinstance(name, str) else name
