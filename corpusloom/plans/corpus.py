@@ -121,7 +121,7 @@ def jsonld_blocks(spark, d):
     return pages_with_json(spark, d).select("page_id", F.size(jl.blocks("html")).alias("n_blocks"))
 
 
-@R.query(f"with {PAGES} select page_id, trim(headline) as headline, case when trim(publisher) <> '' then trim(publisher) end as publisher, coalesce(canonical, url) as canonical, 'newsarticle' as types, 'Home / World / Last' as breadcrumb from p where page_id % 7 <> 0")
+@R.query(f"with {PAGES} select page_id, case when trim(headline) <> '' then trim(headline) end as headline, case when trim(publisher) <> '' then trim(publisher) end as publisher, coalesce(canonical, url) as canonical, 'newsarticle' as types, 'Home / World / Last' as breadcrumb from p where page_id % 7 <> 0")
 def jsonld_articles(spark, d):
     a = jl.extract_articles(pages_with_json(spark, d))
     return a.select("page_id", "headline", "publisher", "canonical", F.array_join("types", ",").alias("types"), F.array_join("breadcrumb", " / ").alias("breadcrumb"))
