@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -136,8 +136,33 @@ def merge_best(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 WARC = "uri string, date string, status int, content_type string, html string"
 
 
+class _Gunzip(io.RawIOBase):
+    """Reads gzip members one after another; ends where the data are broken, keeping what was read before."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.part, self.ready = data, 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.ready and self.at < len(self.data):
+            try:
+                self.part = self.part or zlib.decompressobj(31)
+                chunk = self.data[self.at : self.at + 65536]
+                self.ready = self.part.decompress(chunk)
+                self.at += len(chunk) - len(self.part.unused_data)
+                if self.part.eof:
+                    self.part = None
+            except zlib.error:
+                self.at = len(self.data)
+        n = min(len(out), len(self.ready))
+        out[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
+
+
 def _warc_records(data: bytes):
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+    stream = io.BufferedReader(_Gunzip(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -154,19 +179,16 @@ def _warc_records(data: bytes):
 
 def html_responses(data: bytes):
     """(uri, date, status, content type, text) of the HTML responses with status 200; a broken tail ends the file."""
-    try:
-        for head, body in _warc_records(data):
-            if head.get(b"warc-type") != b"response":
-                continue
+    for head, body in _warc_records(data):
+        if head.get(b"warc-type") == b"response":
             top, _, page = body.partition(b"\r\n\r\n")
             lines = top.split(b"\r\n")
-            status = int(lines[0].split()[1]) if len(lines[0].split()) > 1 and lines[0].split()[1].isdigit() else 0
+            code = lines[0].split()[1:2]
+            status = int(code[0]) if code and code[0].isdigit() else 0
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
             kind = fields.get(b"content-type", b"").decode("latin-1")
             if status == 200 and "html" in kind.lower():
                 yield head.get(b"warc-target-uri", b"").decode("utf8", "replace"), head.get(b"warc-date", b"").decode("latin-1"), status, kind, page.decode("utf8", "replace")
-    except (EOFError, OSError, gzip.BadGzipFile):
-        return
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
