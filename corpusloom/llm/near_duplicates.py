@@ -93,23 +93,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Two texts are linked if they share at least threshold_pct % of the word runs in either; groups are the connected
     components. Null ids, null and empty texts and texts under the word minimum are in no group; repeated rows of one id
     count once. Copies are collapsed before anything is compared. Buckets of up to SMALL distinct texts give all
-    their pairs. A larger bucket gives the pairs with its smallest id first; texts linked to that one are already
-    connected among themselves, and a remaining text is compared, in salted blocks, only with those of the bucket
-    that the triangle inequality of the Jaccard distance leaves possible. No pair is dropped for the size of its bucket.
+    their pairs. A larger bucket gives the pairs with its pivot first. Once these are verified, texts of one component need no
+    further comparison; a text outside the bucket's main component is compared, in salted blocks, with those of other
+    components that the triangle inequality of the Jaccard distance leaves possible. No link is lost to a bucket's size.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sk = cut(sketches(src, **sketch))
     reps = sk.groupBy("cls").agg(F.min(F.struct("id", "keys")).alias("r"))
     exploded = reps.select("r.id", F.explode("r.keys").alias("key"))
-    sizes = cut(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"))
+    # the pivot of a bucket is random by key, so a large group meets a different one in every table
+    pivot = F.min_by("id", F.xxhash64("id", "key"))
+    sizes = cut(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), pivot.alias("p")).where("n > 1"))
     of = lambda x: x.agg(F.max("n")).first()[0] or 0
     most = of(sizes)
     pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     if most > 2:
         pairs = pairs.union(_pairs_of_small(exploded, sizes))
     if most > SMALL:
-        hot = exploded.join(sizes.where(f"n > {SMALL}").select("key", F.col("lo").alias("p")), "key")
-        pairs = pairs.union(hot.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")))
+        hot = exploded.join(sizes.where(f"n > {SMALL}").select("key", "p"), "key")
+        pairs = pairs.union(hot.where("id <> p").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")))
     pairs = cut(pairs.distinct())
     bits = bitmap.build(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("k")).distinct(), "k")
     sets = run_sets(src, bits, sketch.get("width", 5), sketch.get("width_cjk", 10)).dropDuplicates(["id"])
@@ -117,13 +119,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if most > SMALL:
         sets = cut(sets)
         scored = cut(similarity(pairs, sets))
-        dist = scored.select(F.col("a").alias("p"), F.col("b").alias("id"), (1 - F.col("both") / F.col("all")).alias("d"))
-        rows = hot.where("id <> p").join(dist, ["p", "id"]).select("key", "id", "d")
+        known = cut(scored.where(linked).select("a", "b"))
+        dist = scored.select("a", "b", (1 - F.col("both") / F.col("all")).alias("d"))
+        far = hot.withColumn("a", F.least("p", "id")).withColumn("b", F.greatest("p", "id")).join(dist, ["a", "b"], "left").select("key", "id", F.coalesce("d", F.lit(0.0)).alias("d"))
+        root = connected_components(known, "a", "b").withColumnRenamed("node", "id")
+        rows = cut(far.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        of_key = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         salts, reach = 16, 1 - threshold_pct / 100 + 1e-9
-        rest = rows.where(F.col("d") > reach).select("key", F.col("id").alias("a"), F.col("d").alias("da"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-        more = rows.select("key", F.col("id").alias("b"), F.col("d").alias("db"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("s")).join(rest, ["key", "s"])
-        more = more.where((F.abs(F.col("da") - F.col("db")) <= reach) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        scored = scored.where(linked).select("a", "b").union(similarity(more, sets).where(linked).select("a", "b"))
+        open_ = rows.join(of_key.select("key", "main"), "key")
+        rest = open_.where("root <> main").select("key", F.col("id").alias("a"), F.col("d").alias("da"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+        more = open_.select("key", F.col("id").alias("b"), F.col("d").alias("db"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("s")).join(rest, ["key", "s"])
+        more = more.where((F.abs(F.col("da") - F.col("db")) <= reach) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        scored = known.union(similarity(more, sets).where(linked).select("a", "b"))
     else:
         scored = similarity(pairs, sets).where(linked)
     roots = connected_components(scored, "a", "b")

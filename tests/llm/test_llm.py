@@ -385,6 +385,7 @@ def test_piece_counts_equal_the_library():
 RESIDUE = [
     "Please enable JavaScript to read this.", "A story.\n\n404 – the page /x-1 could not be found on this server.", "The {{ name }} of the town", "Hello ${author.name} there", "Traceback (most recent call last): KeyError: 'x'",
     "ARADIĞINIZ SAYFA BULUNAMADI: /A-1", "Lorem ipsum dolor sit amet consectetur elit magna aliqua.", "Η σελίδα /x δεν βρέθηκε.", "服务器错误，编号 12", "By @@BYLINE@@ in town", "cost [INSERT QUOTE HERE] million", "a &lt;!-- teaser --&gt; b",
+    "Loading x-1 … if nothing happens, allow scripts and cookies.", "In <<placename>> it rained.", "Test test test 5 please ignore",
 ]
 CLEAN = [
     "“Please enable JavaScript” is the sentence she hates.", "A course shows how `{{ user.name }}` is replaced.", "The museum printed “lorem ipsum” on posters.", "The witness [name withheld] said {sic} so.", "The placeholder budget of 3 million will be replaced.",
