@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import char_tokens, dup_key, is_no_space, tokens
 from corpusloom.operators.sampling import keep_first
-from corpusloom.session import cut
+from corpusloom.session import cut, ship
 
 
 def exact_dedup(df: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
@@ -21,9 +23,33 @@ def _bands(df: DataFrame, id_col: str, text: str, lang: str, perms: int, rows: i
     t = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.when(chars, char_tokens(text)).otherwise(tokens(text)).alias("t"), F.when(chars, 10).otherwise(5).alias("n"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - F.col("n") + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.col("n")), " ")))
     base = t.where(F.size("t") > 0).select("id", F.array_distinct(runs).alias("set"))
-    # written out so that the set and the minima are columns used many times, which Catalyst then computes once
-    base = base.withColumn("mins", F.array(*[F.array_min(F.transform("set", lambda x: F.xxhash64(x, F.lit(k)))) for k in range(perms)]))
-    return base.withColumn("keys", F.array(*[F.xxhash64(F.lit(b), *[F.element_at("mins", b * rows + r + 1) for r in range(rows)]) for b in range(perms // rows)])).drop("mins")
+    ship(df.sparkSession)
+    return base.withColumn("keys", F.pandas_udf(_band_keys(perms, rows), "array<bigint>")("set"))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _band_keys(perms: int, rows: int):
+    """Band keys of MinHash signatures, vectorised: lambdas over arrays are interpreted in the JVM and take ten times as long."""
+
+    def keys(sets: pd.Series) -> pd.Series:
+        if not len(sets):
+            return pd.Series([], dtype=object)
+        flat = np.concatenate([np.asarray(s, np.int64) for s in sets]).view(np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+        out = np.empty((len(sets), perms // rows), np.uint64)
+        for b in range(perms // rows):
+            k = np.full(len(sets), b + 1, np.uint64)
+            for r in range(rows):
+                seed = np.uint64((b * rows + r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                k = _mix(k ^ np.minimum.reduceat(_mix(flat ^ seed), starts))
+            out[:, b] = k
+        return pd.Series(list(out.view(np.int64)))
+
+    return keys
 
 
 def near_pairs(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang", threshold: float = 0.7, perms: int = 64, rows: int = 4) -> DataFrame:

@@ -62,15 +62,17 @@ def fold_head(table: DataFrame, head: DataFrame, id_col: str, v: str, label: str
     return z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_l", "z"))), lambda s: s["z"]).alias("row"))
 
 
-def pool(tokens: DataFrame, table: DataFrame, doc: str, token: str, v: str, weight: str | None = None) -> DataFrame:
+def pool(tokens: DataFrame, table: DataFrame, doc: str, token: str, v: str, dims: int, weight: str | None = None) -> DataFrame:
     """(doc, pos, x): mean, or weighted mean, of the table rows of each document's tokens, element by element.
 
-    Tokens without a row are dropped; repeated tokens of a document are counted before the join.
+    Tokens without a row are dropped; repeated tokens of a document are counted before the join. With the number of
+    columns known, a document's sums are one aggregation row, not one for each element.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     n = tokens.groupBy(doc, token).agg(F.sum(w).alias("_w"))
-    j = n.join(table.select(token, F.posexplode(doubles(v)).alias("pos", "_x")), token)
-    return j.groupBy(doc, "pos").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("x"))
+    j = n.join(table.select(token, doubles(v).alias("_v")), token)
+    sums = j.groupBy(doc).agg(F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * F.element_at("_v", i + 1)).alias(f"_{i}") for i in range(dims)])
+    return sums.select(doc, F.posexplode(F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(dims)])).alias("pos", "x"))
 
 
 def smoothed_idf(df: Column, n: Column, power: float = 1.0) -> Column:

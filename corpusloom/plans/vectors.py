@@ -54,13 +54,13 @@ def ensemble_mean(spark, d):
 @R.query(f"with {TT}, n as (select doc_id, token, count(*) as n from tok where {HAS} group by 1, 2), x as (select doc_id, n, unnest({ROW}) as z, unnest([0, 1, 2, 3]) as pos from n) select doc_id, pos::int as pos, round(sum(n * z) / sum(n), 6) as x from x group by 1, 2")
 def mean_pool_table(spark, d):
     t = _tokens(spark, d)
-    return vc.pool(t, _table(t), "doc_id", "token", "row").select("doc_id", "pos", r6("x").alias("x"))
+    return vc.pool(t, _table(t), "doc_id", "token", "row", 4).select("doc_id", "pos", r6("x").alias("x"))
 
 
 @R.query(f"with {TT}, n as (select doc_id, token, count(*) * length(token) as n from tok where {HAS} group by 1, 2), x as (select doc_id, n, unnest({ROW}) as z, unnest([0, 1, 2, 3]) as pos from n) select doc_id, pos::int as pos, round(sum(n * z) / sum(n), 6) as x from x group by 1, 2")
 def weighted_pool(spark, d):
     t = _tokens(spark, d).withColumn("w", F.length("token"))
-    return vc.pool(t, _table(t), "doc_id", "token", "row", "w").select("doc_id", "pos", r6("x").alias("x"))
+    return vc.pool(t, _table(t), "doc_id", "token", "row", 4, "w").select("doc_id", "pos", r6("x").alias("x"))
 
 
 HEAD = "h as (select l as label, [((l * 7 + i * 3) % 11 - 5) / 10.0 for i in range(0, 64)] as w from range(0, 10) t(l))"

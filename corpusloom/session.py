@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,14 +31,20 @@ def get_session(master: str | None = None, app: str = "corpusloom", **conf: str)
     return b.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        app = spark.sparkContext.applicationId
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 

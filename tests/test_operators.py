@@ -119,8 +119,8 @@ def test_fold_equals_unfolded(spark):
     head = spark.createDataFrame([(0, [1.0, 1.0]), (1, [0.5, -1.0])], "label int, w array<double>")
     tok = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "zz")], "doc int, token string")
     folded = vectors.fold_head(table, head, "token", "row", "label", "w").withColumnRenamed("row", "r")
-    direct = {(r.doc, r.pos): r.x for r in vectors.pool(tok, table, "doc", "token", "row").collect()}
-    after = {(r.doc, r.pos): r.x for r in vectors.pool(tok, folded, "doc", "token", "r").collect()}
+    direct = {(r.doc, r.pos): r.x for r in vectors.pool(tok, table, "doc", "token", "row", 2).collect()}
+    after = {(r.doc, r.pos): r.x for r in vectors.pool(tok, folded, "doc", "token", "r", 2).collect()}
     assert after[1, 0] == pytest.approx(direct[1, 0] + direct[1, 1]) and after[1, 1] == pytest.approx(0.5 * direct[1, 0] - direct[1, 1])
 
 
