@@ -118,3 +118,45 @@ def best_of_grid(log: DataFrame, keys: list[str], score: str, tie: str) -> DataF
     """The best-scored row of each key of a result log; ties by the smaller `tie`."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
     return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def class_offsets(df: DataFrame, y: str, logits: str, classes: int, steps: tuple[float, ...] = (-0.5, -0.25, 0.0, 0.25, 0.5), passes: int = 1) -> list[float]:
+    """Offsets to add to the logits that raise macro-F1, by coordinate ascent: one aggregation tries all steps of a class.
+
+    Only counts by (step, y, p) come back; the rows stay distributed.
+    """
+    from corpusloom.operators.metrics import confusion_counts, scores
+    from corpusloom.operators.vectors import argmax, doubles
+
+    rows = df.where(F.col(y).isNotNull() & F.col(logits).isNotNull()).select(F.col(y).alias("y"), doubles(logits).alias("z"))
+    best = [0.0] * classes
+    for _ in range(passes):
+        for k in range(classes):
+            base = F.array(*map(F.lit, best))
+            tried = rows.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
+            z = F.zip_with("z", base, lambda a, b: a + b)
+            z = _add_at(z, k)
+            s = scores(confusion_counts(tried.withColumn("p", argmax(z)), groups=["step"]), ["step"]).collect()
+            if s:
+                best[k] += max(s, key=lambda r: (round(r.macro_f1, 12), -abs(r.step))).step
+    return best
+
+
+def _add_at(z: Column, k: int) -> Column:
+    return F.transform(z, lambda a, i: F.when(i == k, a + F.col("step")).otherwise(a))
+
+
+def ols(df: DataFrame, target: str, numeric: list[str], category: str | None = None) -> tuple[float, int]:
+    """(R squared, rows) of a linear regression with the category as dummies."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    d = df.dropna(subset=[target, *numeric, *([category] if category else [])])
+    cols = list(numeric)
+    if category:
+        d = StringIndexer(inputCol=category, outputCol="_i").fit(d).transform(d)
+        d = OneHotEncoder(inputCol="_i", outputCol="_d").fit(d).transform(d)
+        cols.append("_d")
+    d = VectorAssembler(inputCols=cols, outputCol="_x").transform(d)
+    fit = LinearRegression(featuresCol="_x", labelCol=target, solver="normal").fit(d)
+    return fit.summary.r2, fit.summary.numInstances

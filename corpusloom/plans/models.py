@@ -73,6 +73,22 @@ def source_normaliser(spark, d):
     return u.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count("headline").alias("with_headline"), F.count_distinct("domain").alias("sites"), F.count("source_label").alias("labelled"))
 
 
+@R.query("with e as (select event_type as g, value as v from events), m as (select g, avg(v) as m from e group by 1), a as (select avg(v) as a from e) select count(*) as n, round(1 - sum((v - m) ** 2) / sum((v - a) ** 2), 6) as r2 from e join m using (g), a")
+def ols_r2(spark, d):
+    """Share of the variance of value that the event type explains: a regression on dummies only."""
+    e = table(spark, d, "events").select(F.lit(0.0).alias("zero"), "value", "event_type")
+    r2, n = md.ols(e, "value", ["zero"], "event_type")
+    return spark.createDataFrame([(n, round(r2, 6))], "n bigint, r2 double")
+
+
+@R.query()
+def class_offset_calibration(spark, d):
+    """Offsets of the first four classes that raise the teacher's macro-F1 on the dev split."""
+    a = table(spark, d, "articles").where("split = 'dev' and gpt_label_id between 0 and 3 and teacher_logits is not null").dropDuplicates(["article_id"])
+    off = md.class_offsets(a.withColumn("z", F.slice("teacher_logits", 1, 4)), "gpt_label_id", "z", 4)
+    return spark.createDataFrame(list(enumerate(off)), "class int, offset double")
+
+
 HAS = "('0x' || substr(md5('has|' || token), 1, 6))::bigint % 10 > 0"
 
 

@@ -63,6 +63,13 @@ def weighted_pool(spark, d):
     return vc.pool(t, _table(t), "doc_id", "token", "row", 4, "w").select("doc_id", "pos", r6("x").alias("x"))
 
 
+@R.query(f"with g as (select doc_id, {TOKENS.format('text')} as t from documents where text is not null), tok as (select doc_id, unnest(t) as token, generate_subscripts(t, 1) as i from g), w as (select doc_id, token, case when i <= 50 then 1.0 else 0.25 end as w from tok where {HAS}), x as (select doc_id, w, unnest({ROW}) as z, unnest([0, 1, 2, 3]) as pos from w) select doc_id, pos::int as pos, round(sum(w * z) / sum(w), 6) as x from x group by 1, 2")
+def position_pool(spark, d):
+    """Tokens past the fiftieth weigh a quarter."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(tokens("text")).alias("i", "token")).withColumn("w", F.when(F.col("i") < 50, 1.0).otherwise(0.25))
+    return vc.pool(t, _table(t), "doc_id", "token", "row", 4, "w").select("doc_id", "pos", r6("x").alias("x"))
+
+
 HEAD = "h as (select l as label, [((l * 7 + i * 3) % 11 - 5) / 10.0 for i in range(0, 64)] as w from range(0, 10) t(l))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zlib
 from collections.abc import Iterable
 
@@ -204,3 +205,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(list(html_responses(bytes(data))), columns=["uri", "date", "status", "content_type", "html"])
 
     return files.mapInPandas(run, WARC)
+
+
+def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
+    """The Parquet table at `path`, built and written first if it is not there yet."""
+    if not exists(spark, path + "/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_model(table: DataFrame, meta: dict, path: str) -> None:
+    """A token table as Parquet and its metadata (bias, labels, tokenizer name) as one JSON line beside it."""
+    table.write.mode("overwrite").parquet(path + "/table")
+    table.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/meta")
+
+
+def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(path + "/table"), json.loads(spark.read.text(path + "/meta").first().value)

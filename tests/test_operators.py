@@ -239,3 +239,22 @@ def test_scorer_and_stream(spark, tmp_path):
     scoring.score_stream(spark, str(tmp_path / "in"), "doc_id int, text string", table, [0.5, 0.0], str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r.doc_id: (r.label, list(r.logits)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (1, [1.0, 2.0]), 2: (0, [0.5, 0.0]), 3: (0, [0.5, 0.0])}
+
+
+def test_model_store_and_cache(spark, tmp_path):
+    t = spark.createDataFrame([("a", [1.0])], "token string, row array<double>")
+    files.write_model(t, {"bias": [0.5], "labels": ["é"]}, str(tmp_path / "m"))
+    got, meta = files.read_model(spark, str(tmp_path / "m"))
+    assert got.first().token == "a" and meta == {"bias": [0.5], "labels": ["é"]}
+    built = []
+    for _ in range(2):
+        assert files.cached_table(spark, str(tmp_path / "c"), lambda: built.append(1) or t).count() == 1
+    assert built == [1]
+
+
+def test_class_offsets_raise_macro_f1(spark):
+    rows = [(0, [1.0, 0.9]), (0, [1.0, 0.0]), (1, [0.5, 0.3]), (1, [0.6, 0.3]), (1, [0.0, 1.0]), (None, [0.0, 1.0]), (1, None)]
+    df = spark.createDataFrame(rows, "y int, z array<double>")
+    off = models.class_offsets(df, "y", "z", 2)
+    f = lambda o: metrics.scores(metrics.confusion_counts(df.where("y is not null and z is not null").withColumn("p", vectors.argmax(F.zip_with("z", F.array(*map(F.lit, o)), lambda a, b: a + b))))).first().macro_f1
+    assert f(off) > f([0.0, 0.0])
