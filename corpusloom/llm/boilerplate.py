@@ -50,6 +50,8 @@ lanjutkan membaca|scroll untuk melanjutkan|reklama|artykuł sponsorowany|treść
 
 _NUMBER = re.compile(r"\d(?:[\d.,:  ]*\d)?")
 _WORD = re.compile(r"[^\W\d_](?:[\w'’\-]*[^\W_])?")
+_WORD_CUT = re.compile(rf"({_WORD.pattern})").split
+_SLOTS = re.compile(r"◇(?:[ \-]◇)+")
 _LEAD = re.compile(r"^\s*(?:(?:\d{1,2}|[ivx]{1,4})[.)]?|[•·▪►▶»›→*–—-]+)\s+")
 _TAGS = re.compile(r"^\s*(?:#[\w-]+[\s,;·|]*)+$")
 _TRAIL = re.compile(r"\s[»›>/·|•—]\s")
@@ -72,17 +74,26 @@ def page_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
+def _cut(line: str) -> tuple[list[str], list[str]]:
+    """The line's parts, every second one a word, and its words in lower case."""
+    parts = _WORD_CUT(_NUMBER.sub("0", unicodedata.normalize("NFKC", html.unescape(line)).strip()))
+    return parts, [w.casefold() for w in parts[1::2]]
+
+
+def _render(parts: list[str], low: list[str], common) -> str:
+    parts[1::2] = [w if w in common else "◇" for w in low]
+    return _SLOTS.sub("◇", " ".join("".join(parts).split())).casefold()
+
+
 def token(line: str, common: frozenset | set) -> str:
     """The line with rare words and numbers as slots; runs of slots are one."""
-    s = unicodedata.normalize("NFKC", html.unescape(line)).strip()
-    s = _WORD.sub(lambda m: m.group() if m.group().casefold() in common else "◇", s)
-    s = _NUMBER.sub("0", s)
-    return re.sub(r"◇(?:[ \-]◇)+", "◇", " ".join(s.split())).casefold()
+    return _render(*_cut(line), common)
 
 
 def readings(line: str, known: tuple) -> tuple[str, str]:
     """The line's token in the fine and, marked, in the coarse reading."""
-    return token(line, known[0]), "~ " + token(line, known[1])
+    parts, low = _cut(line)
+    return _render(parts, low, known[0]), "~ " + _render(parts, low, known[1])
 
 
 def shape(line: str, common: frozenset | set) -> str:
@@ -146,7 +157,8 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id_col, line_no): the lines that are not blank and not part of the article; lines count from 1, blank ones included.
 
     Needs the columns lang, domain, headline and text. Null ids and null or blank texts give no row; of rows that repeat an id
-    one counts. A page without its headline in the text is judged by the wrapper alone. A page whose language has too few
+    one counts. A page without its headline in the text, or with none given, takes the first line shaped as the
+    language's headlines are above its first paragraph; without such a line it is judged by the wrapper alone. A page whose language has too few
     pages to infer a wrapper from keeps all lines but tags, rights and marks of advertising and those above its headline.
     """
     spark, kind = pages.sparkSession, dict(pages.dtypes)[id_col]
@@ -235,6 +247,13 @@ def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame
     """Places of the lines of one page to remove."""
     head = headline_at(lines, headline)
     tokens = [readings(x, known) for x in lines]
+    if head < 0:  # the first line shaped like a headline above the first paragraph
+        for i, x in enumerate(lines):
+            if _is_long(x) and not frame_long.intersection(tokens[i]):
+                break
+            if x.strip() and shape(x, known[0]) in shapes:
+                head, headline = i, x
+                break
     z = zones(lines, tokens, head, frame_long)
     own = plain(headline)
     general, special, literal = wrapper
