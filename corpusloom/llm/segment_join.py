@@ -153,7 +153,7 @@ def segment_join(train: DataFrame, evaluation: DataFrame, id_col: str, text_col:
     tr = cut(_pass(pick(train), width, width_cjk, bits))
     tr_words = tr.dropDuplicates(["cls"])
     sub = tr_words.select(F.col("cls").alias("tcls"), F.size("words").alias("tn"), F.explode(F.arrays_zip("segs", "pos")).alias("x")).select("tcls", "tn", F.col("x.segs").alias("h"), F.col("x.pos").alias("tpos"))
-    near = (F.abs(F.col("pos") - F.col("tpos")) <= F.greatest("n", "tn") * F.lit(max_shift)) & (F.least("n", "tn") * 100 >= F.greatest("n", "tn") * (threshold_pct // 2))
+    near = F.abs(F.col("pos") - F.col("tpos")) <= F.greatest("n", "tn") * F.lit(max_shift)
     pairs = seg.join(sub, "h").where(near).groupBy(F.col("cls").alias("ecls"), "tcls").agg(F.count_distinct("pos").alias("n"), F.min("need").alias("need")).where("n >= need").select("ecls", "tcls")
     with_words = pairs.join(ev_words.select(F.col("cls").alias("ecls"), "w", F.col("words").alias("ew")), "ecls").join(tr_words.select(F.col("cls").alias("tcls"), F.col("words").alias("tw")), "tcls")
 

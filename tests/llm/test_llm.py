@@ -170,7 +170,8 @@ def small_corpus(seed=1, n=40):
 
 def test_segment_join_against_brute_force(spark):
     rows = [(i, t, lang, ("train", "dev", "test", None)[i % 4]) for i, t, lang in small_corpus()]
-    rows += [(500, rows[-1][1][:290], "zh", "train"), (rows[0][0], rows[0][1], "en", rows[0][3])]
+    rows += [(501, f"{rows[0][1]} {rows[0][1]} {rows[0][1]}", "en", "dev" if rows[0][3] == "train" else "train")]
+    rows += [(500, rows[-2][1][:290], "zh", "train"), (rows[0][0], rows[0][1], "en", rows[0][3])]
     df = spark.createDataFrame(rows, "article_id bigint, text string, lang string, split string")
     sets = {i: (run_set(t, lang), s) for i, t, lang, s in rows if t}
     want = sorted({(min(a, b), max(a, b)) for a, b in itertools.permutations(sets, 2) if sets[a][1] == "train" and sets[b][1] in ("dev", "test") and alike(sets[a][0], sets[b][0])})
