@@ -110,6 +110,10 @@ class Dictionary:
                     for d in deletes(text, bound):
                         self.index[d].append(len(self.forms))
                     self.forms.append((text, entry, often, bound))
+        self.exact: dict[str, tuple] = {}
+        for text, entry, often, _ in self.forms:
+            found = (0, 0.0, -often, entry is not None, entry or "")
+            self.exact[text] = min(found, self.exact.get(text, found))
         self.letters = np.array([_letters(f[0]) for f in self.forms]).reshape(-1, 64)
         self.bounds = np.array([f[3] for f in self.forms], np.int16)
         self.known = functools.lru_cache(200_000)(self._lookup)
@@ -143,14 +147,15 @@ class Dictionary:
         return list(out)
 
     def _lookup(self, name: str | None) -> str | None:
-        best = None
+        tries = []
         for words in self._word_sets(name) if name else ():
             near = self._near("".join(words)) if len(self.forms) else None
-            if not near:
-                continue
-            orders = {"".join(p) for p in itertools.permutations(words)} if len(words) <= 5 else {"".join(words), "".join(sorted(words))}
-            for text in sorted(orders):
-                best = min((c for c in (*self._candidates(text, near), best) if c), default=None)
+            if near:
+                orders = {"".join(p) for p in itertools.permutations(words)} if len(words) <= 5 else {"".join(words), "".join(sorted(words))}
+                tries.append((orders, near))
+        best = min((self.exact[t] for orders, _ in tries for t in orders if t in self.exact), default=None)  # nothing is closer
+        if best is None:
+            best = min((c for orders, near in tries for t in orders for c in self._candidates(t, near)), default=None)
         return (best[4] or None) if best else None
 
     def lookup(self, name: str | None) -> str | None:
@@ -189,7 +194,10 @@ def map_values(values: DataFrame, forms: DataFrame, id_col: str, name_col: str,
         d = _dictionary(sent, per_slip)
         return {"name": c["name"], "entry": pa.array([d.lookup(x) or UNMATCHED for x in c["name"].to_pylist()], pa.string())}
 
-    names = map_arrow(ids.select("name").distinct(), fn, "name string, entry string")
+    # few bytes but much work a row: spread by a number of partitions of its own, so that the planner neither takes the
+    # step for a repetition of the shuffle before nor merges its partitions
+    spread = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    names = map_arrow(ids.select("name").distinct().repartition(spread, "name"), fn, "name string, entry string")
     return ids.join(names, "name").select(F.col("id").cast(kind).alias(id_col), "entry")
 
 
