@@ -22,8 +22,8 @@ from corpusloom.session import cut
 
 #: (words in a term, winnowing window): together they guarantee a term in every shared run of 8 words (characters).
 TERM, TERM_CJK = (8, 1), (8, 1)
-#: A term of at most this many items starts candidates; one of more does so where too few rarer ones stand around it.
-RARE, NEED, NEED_CJK = 8, 10, 20
+#: Postings of a term of more items than this are cut into blocks by the items' hash.
+RARE = 8
 #: The threshold, in impacts of a term that stands in one item only: a passage of 24 words (60 characters) has 17 (53) terms,
 #: of which edits leave some; phrases that unrelated news share bring fewer on one diagonal.
 THETA, THETA_CJK = 5, 10
@@ -94,8 +94,8 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return map_arrow(items, fn, "term bigint, n bigint")
 
 
-def _postings(items: DataFrame, id_type: str, hot, least: tuple[int, int]) -> DataFrame:
-    """(term, hot, item, cjk, len, ipos): the terms that may start candidates."""
+def _postings(items: DataFrame, id_type: str, hot) -> DataFrame:
+    """(term, hot, item, cjk, len, ipos) of every term: edits may leave a passage none but terms that many items have."""
 
     def fn(c: dict) -> dict:
         out: dict[str, list] = {"row": [], "term": [], "hot": [], "cjk": [], "len": [], "ipos": []}
@@ -103,17 +103,11 @@ def _postings(items: DataFrame, id_type: str, hot, least: tuple[int, int]) -> Da
             common = bitmap.contains(hot.value, g[k])
             for i, x in _per_text(k, go):
                 lo = np.searchsorted(k, x[0])
-                busy, place = common[lo : lo + len(x)], (x - go[i]).astype(np.int32)
-                rare = np.concatenate([[0], np.cumsum(~busy)])
-                span = least[kind]
-                around = rare[np.searchsorted(place, place + span, "right")] - rare[np.searchsorted(place, place - span, "left")]
-                keep = ~busy | (around < (NEED_CJK if kind else NEED))
-                n = int(keep.sum())
                 for key, v in (("row", at[i]), ("cjk", bool(kind)), ("len", int(ow[i + 1] - ow[i]))):
-                    out[key].append(np.full(n, v))
-                out["term"].append(g[x][keep])
-                out["hot"].append(busy[keep])
-                out["ipos"].append(place[keep])
+                    out[key].append(np.full(len(x), v))
+                out["term"].append(g[x])
+                out["hot"].append(common[lo : lo + len(x)])
+                out["ipos"].append((x - go[i]).astype(np.int32))
         whole = lambda key, kind: np.concatenate([*out[key], np.zeros(0, kind)]).astype(kind)
         return {"term": whole("term", np.uint64).view(np.int64), "hot": whole("hot", np.bool_), "item": c["id"].take(whole("row", np.int64)), "cjk": whole("cjk", np.bool_), "len": whole("len", np.int32), "ipos": whole("ipos", np.int32)}
 
@@ -208,15 +202,14 @@ def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float =
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", lang_col: str = "lang", least: int = 24, least_cjk: int = 60) -> DataFrame:
     """(doc, item): documents that hold a passage of `least` words (characters in zh and ja) of a test item.
 
-    Null ids, null and empty texts and shorter items give no row; rows that repeat an id count once. A term found in
-    more than RARE items starts no candidate, unless the item has too few rarer terms around it: there all its terms do, so
-    items made of common phrases, and texts that many items repeat, are found too.
+    Null ids, null and empty texts and shorter items give no row; rows that repeat an id count once. Terms of many items
+    start candidates as all others do, so items made of common phrases, and passages that many items share, are found too.
     """
     texts = lambda d, i: d.select(F.col(i).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null")
     item_type, doc_type = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]
     src, span = cut(texts(items, item_id).dropDuplicates(["id"])), (least, least_cjk)
     often = _item_terms(src).groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") > RARE)
-    post = _postings(src, item_type, bitmap.build(often, "term", 24), span)
+    post = _postings(src, item_type, bitmap.build(often, "term", 24))
     size = F.broadcast(src.groupBy(F.coalesce(F.col("lang").isin(*CJK_LANGS), F.lit(False)).alias("cjk")).agg(F.count(F.lit(1)).alias("n")))  # two rows
     # blocks of a common term are cut by its items' hash; its document frequency is then bounded below, its impact above
     block = F.when(F.col("hot"), F.pmod(F.xxhash64("item"), F.lit(4096))).otherwise(F.lit(0))

@@ -211,6 +211,16 @@ def test_leaked_text_that_many_items_share(spark):
     assert leakage.leaked_passages(d, items, "doc_id", "doc_id").count() == 30
 
 
+def test_short_passage_between_the_items_own_text_that_many_items_share(spark):
+    rng = random.Random(12)
+    shared = {i: story(rng, n) for i, n in enumerate((24, 30, 40, 45))}
+    own = lambda: [f"y{rng.randrange(10**6)}" for _ in range(60)]
+    items = spark.createDataFrame([(f"t{i}-{j}", " ".join(own() + w + own()), "en") for i, w in shared.items() for j in range(12)], "doc_id string, text string, lang string")
+    d = spark.createDataFrame([(i, " ".join(w), "en") for i, w in shared.items()], "doc_id bigint, text string, lang string")
+    got = rows_of(leakage.leaked_passages(d, items, "doc_id", "doc_id"), "doc", "item")
+    assert got == sorted((i, f"t{i}-{j}") for i in shared for j in range(12))
+
+
 # --- p4 ---
 
 
