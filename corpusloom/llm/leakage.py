@@ -143,59 +143,74 @@ def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFr
     return map_arrow(docs.where("id is not null and text is not null"), fn, f"doc {id_type}, terms array<bigint>, pos array<int>, crowd array<int>, dw array<bigint>")
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
-def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float = 0.1, seed: int = 4) -> bool:
-    """Whether some `least` or more consecutive words of item stand in doc with at most `share` of them edited.
-
-    Maximal common runs of `seed` or more words are chained along nearly equal diagonals; the words between two of
-    them count their exact edit distance.
-    """
-    if len(item) < least or len(doc) < seed:
-        return False
+def _pieces(doc: np.ndarray, item: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in item, place in doc, words) of the maximal common runs of `seed` or more words."""
     gd, gi = runs(doc, np.array([0, len(doc)]), seed)[0], runs(item, np.array([0, len(item)]), seed)[0]
     order = np.argsort(gi, kind="stable")
     lo, hi = np.searchsorted(gi[order], gd, "left"), np.searchsorted(gi[order], gd, "right")
     n = hi - lo
     d = np.repeat(np.arange(len(gd)), n)
-    if not len(d):
-        return False
     i = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(d))]
     by = np.lexsort((i, i - d))
     d, i = d[by], i[by]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(i - d) != 0) | (np.diff(i) != 1)]))
-    size = np.diff(np.concatenate([new, [len(d)]])) + seed - 1
-    pieces = sorted(zip(i[new].tolist(), d[new].tolist(), size.tolist()))
-    if max(size) >= least:
-        return True
-    reach = int(least * share) + 2
-    # best chains that end in each piece: (item start, edits so far)
-    ends: list[list[tuple[int, int]]] = []
-    for k, (pi, pd, ps) in enumerate(pieces):
-        chains = [(pi, 0)]
-        for j in range(k - 1, -1, -1):
-            qi, qd, qs = pieces[j]
-            if pi - qi > 4 * least:
-                break
-            gi_, gd_ = pi - (qi + qs), pd - (qd + qs)
-            trim = max(0, -min(gi_, gd_))
-            if trim >= ps or qd >= pd or qi >= pi or max(gi_, gd_) + trim > reach:
-                continue
-            e = _edits(item[qi + qs : pi + trim], doc[qd + qs : pd + trim])
-            chains += [(s, x + e) for s, x in ends[j] if x + e <= share * (pi + ps - s) + reach]
-        chains = sorted(set(chains))[:64]
-        if any(pi + ps - s >= least and x <= share * (pi + ps - s) for s, x in chains):
+    new = np.flatnonzero(np.concatenate([[len(d) > 0], (np.diff(i - d) != 0) | (np.diff(i) != 1)]))
+    return i[new], d[new], np.diff(np.concatenate([new, [len(d)]])) + seed - 1
+
+
+def _budget(least: int, share: float) -> np.ndarray:
+    """The edits that passages may have, by their words from 0 to the most that need a look.
+
+    A longer one, its first and last words unchanged as of any passage, can be cut behind an unchanged word, without the edits that follow, into
+    two of `least` or more words; their edits add up to at most the whole's, so one of them is a passage too.
+    """
+    budget = np.floor(np.arange(4 * least) * share + 1e-9).astype(np.int32)
+    return budget[: np.flatnonzero(np.arange(4 * least) < 2 * least + budget)[-1] + 1]
+
+
+def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float = 0.1) -> bool:
+    """Whether some `least` or more consecutive words of item, the first and the last unchanged, stand in doc with at most `share` of them edited; exact.
+
+    The edits of a passage leave a common run of `seed` words, and their number bounds how far it strays from that run's
+    diagonal, so an edit distance banded around it, from each start in item, finds it.
+    """
+    if len(item) < least:
+        return False
+    budget = _budget(least, share)
+    most = len(budget) - 1
+    seed = min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
+    pi, pd, ps = _pieces(doc, item, seed)
+    if not len(pi) or ps.max() >= least:
+        return len(pi) > 0
+    # (start in item, diagonal) of every passage that holds a run of `seed` words of a piece
+    first, last = np.maximum(pi + seed - most, 0), np.minimum(pi + ps - seed, len(item) - least)
+    n = np.maximum(last - first + 1, 0)
+    start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    todo = np.unique(np.stack([start, np.repeat(pd - pi, n)], 1), axis=0)
+    return any(_aligned(doc, item, x[:, 0], x[:, 1], least, budget) for x in np.array_split(todo, -(-len(todo) // 4096) or 1))
+
+
+def _aligned(doc: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray, least: int, budget: np.ndarray) -> bool:
+    """Whether a passage begins at one of the starts and stays within the edit budget of its diagonal."""
+    wide = int(budget[-1])
+    t = np.arange(2 * wide + 1, dtype=np.int32)
+    at = (start + diagonal - wide)[:, None] + t  # the place in doc that column t of the band is at
+    row = np.zeros(at.shape, np.int32)
+    for n in range(1, len(budget)):
+        word = item[np.minimum(start + n - 1, len(item) - 1)][:, None]
+        same = (at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == word) & (start + n <= len(item))[:, None]
+        if n >= least and (same & (row <= budget[n])).any():
             return True
-        ends.append(chains)
+        if n == 1:
+            row = np.where(same, 0, wide + 1).astype(np.int32)
+        else:
+            step = row + ~same
+            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # a word of item is missing
+            row = step
+        row = np.minimum.accumulate(row - t, axis=1) + t  # doc has words more
+        live = (row.min(1) <= wide) & (start + n < len(item))
+        if not live.any():
+            return False
+        row, at, start = row[live], at[live] + 1, start[live]
     return False
 
 

@@ -221,6 +221,47 @@ def test_short_passage_between_the_items_own_text_that_many_items_share(spark):
     assert got == sorted((i, f"t{i}-{j}") for i in shared for j in range(12))
 
 
+def holds_by_brute_force(doc, item, least=24):
+    """A plain table for each start in both texts; the first and the last word of a passage are unchanged."""
+    for s, d in itertools.product(range(len(item) - least + 1), range(len(doc))):
+        if item[s] != doc[d]:
+            continue
+        row = list(range(len(doc) - d))
+        for n, w in enumerate(item[s + 1 :], 2):
+            last, row[0] = row[0], n - 1
+            for j, x in enumerate(doc[d + 1 :], 1):
+                if n >= least and x == w and 10 * last <= n:
+                    return True
+                last, row[j] = row[j], min(last + (x != w), row[j] + 1, row[j - 1] + 1)
+            if min(row) > 8:
+                break
+    return False
+
+
+def test_passage_verification_is_exact():
+    item = np.arange(1, 61, dtype=np.uint64)
+    for a, b in itertools.combinations(range(1, 23), 2):  # all placements of two changes inside 24 words
+        doc = item[10:34].copy()
+        doc[[a, b]] = 900, 901
+        assert leakage.holds_passage(doc, item, 24)
+    doc = item[:50].copy()
+    doc[22:27] = np.arange(900, 905)
+    assert leakage.holds_passage(doc, item, 24)
+    rng, seen = random.Random(13), Counter()
+    for _ in range(200):
+        n, edits = rng.randrange(24, 50), rng.randrange(2, 8)
+        item = [rng.randrange(1, 40) if rng.random() < 0.2 else 1000 + k for k in range(60)]
+        doc = item[5 : 5 + n]
+        for _ in range(edits):
+            k = rng.randrange(len(doc))
+            doc[k : k + 1] = rng.choice([[], [7000 + k], [doc[k], 8000 + k]])
+        doc = [1, 2, *doc, 3]
+        want = holds_by_brute_force(doc, item)
+        seen[want] += 1
+        assert leakage.holds_passage(np.array(doc, np.uint64), np.array(item, np.uint64), 24) == want
+    assert min(seen.values()) > 20
+
+
 # --- p4 ---
 
 
