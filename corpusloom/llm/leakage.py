@@ -1,11 +1,11 @@
 """Test passages in training text: BM25 over an inverted index of test items, with block-max WAND pruning.
 
-Terms are runs of words, thinned by winnowing (Schleimer et al., 2003) if they are shorter than 8, so every shared run of 8
-words holds a shared term, and a passage of `least` words with one word in ten changed always holds such a run. Postings of a term are kept in blocks with
-their largest BM25 impact. The training side drops terms the index has not (Bloom filter of fixed size), then,
-as WAND does, documents whose terms' upper bounds cannot reach the threshold and, block by block, postings whose
-block maximum cannot. Scores are summed by (document, item, passage), a passage being a band of diagonals, and what
-reaches the threshold is verified by alignment. The index is joined by term, never broadcast whole.
+Terms are runs of 6 words (7 characters in zh and ja), few enough words that the edits of a passage leave 7 (12) of its terms whole
+wherever they stand (`_bounds`). Postings of a term are kept in blocks with their largest BM25 impact. The training side drops terms the index has not
+(Bloom filter of fixed size), then terms in no stretch that has as many as a passage keeps and, block by block, postings whose
+block maximum cannot reach the threshold. The threshold is that many impacts of the commonest terms, so no step drops a passage. Scores are summed
+by (document, item, passage), a passage being a band of diagonals, and what reaches the threshold is verified by
+alignment. The index is joined by term, never broadcast whole.
 """
 
 from __future__ import annotations
@@ -20,13 +20,10 @@ from corpusloom.llm.segment_join import _lists
 from corpusloom.llm.wordkernel import CJK_LANGS, groups_by_width, runs, take, word_hashes
 from corpusloom.session import cut
 
-#: (words in a term, winnowing window): together they guarantee a term in every shared run of 8 words (characters).
-TERM, TERM_CJK = (8, 1), (8, 1)
+#: (words in a term, winnowing window); a window over 1 would lose passages.
+TERM, TERM_CJK = (6, 1), (7, 1)
 #: Postings of a term of more items than this are cut into blocks by the items' hash.
 RARE = 8
-#: The threshold, in impacts of a term that stands in one item only: a passage of 24 words (60 characters) has 17 (53) terms,
-#: of which edits leave some; phrases that unrelated news share bring fewer on one diagonal.
-THETA, THETA_CJK = 5, 10
 K1, B = 1.2, 0.75
 #: The length an item's BM25 norm is relative to, in words.
 MEAN_WORDS = 300
@@ -49,18 +46,40 @@ def winnow(grams: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _dense(k: np.ndarray, offsets: np.ndarray, span: int, least: int) -> np.ndarray:
-    """Of ascending term places those in some passage of `span` places of one text that has `least` of them.
+def _budget(least: int, share: float = 0.1) -> np.ndarray:
+    """The edits that passages may have, by their words from 0 to the most that need a look.
+
+    A longer one, its first and last words unchanged as of any passage, can be cut behind an unchanged word, without the edits that follow, into
+    two of `least` or more words; their edits add up to at most the whole's, so one of them is a passage too.
+    """
+    budget = np.floor(np.arange(4 * least) * share + 1e-9).astype(np.int32)
+    return budget[: np.flatnonzero(np.arange(4 * least) < 2 * least + budget)[-1] + 1]
+
+
+def _bounds(least: int, width: int) -> list[tuple[int, int]]:
+    """(terms, places): every document that holds a passage has, for one of them, that many of its terms within that many places.
 
-    No term brings more than one unit of the threshold, so other places have no passage whose upper bound reaches it.
+    An edit breaks at most `width` terms and adds at most a word to the document. A word more without an edit more adds one to both
+    numbers, which a stretch shorter by a place also has, so the first length of each number of edits stands for all.
     """
-    keep = np.zeros(len(k), np.bool_)
-    if len(k) >= least:
-        text = np.searchsorted(offsets, k, "right")
-        last = least - 1
-        ok = np.flatnonzero((k[last:] - k[: len(k) - last] < span) & (text[last:] == text[: len(k) - last]))
-        for j in range(least):
-            keep[ok + j] = True
+    budget = _budget(least).tolist()
+    first = [n for n in range(least, len(budget)) if n == least or budget[n] > budget[n - 1]]
+    bounds = [(n - width + 1 - width * budget[n], n + budget[n] - width + 1) for n in first]
+    if min(bounds)[0] < 1:
+        raise ValueError(f"passages of {least} words may hold no whole run of {width}")
+    return bounds
+
+
+def _dense(k: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """Of ascending term places those in a stretch of one text with as many of them as one of the bounds asks for."""
+    text, keep = np.searchsorted(offsets, k, "right"), np.zeros(len(k), np.bool_)
+    for least, span in bounds:
+        if len(k) >= least:
+            last, edge = least - 1, np.zeros(len(k) + 1, np.int32)
+            ok = np.flatnonzero((k[last:] - k[: len(k) - last] < span) & (text[last:] == text[: len(k) - last]))
+            edge[ok] += 1
+            edge[ok + least] -= 1
+            keep |= np.cumsum(edge[:-1]) > 0
     return np.flatnonzero(keep)
 
 
@@ -130,8 +149,8 @@ def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFr
         rows, terms, pos, crowd, words = [], [], [], [], []
         for kind, at, g, go, k, hw, ow in _grams(c):
             k = k[bitmap.contains(bits.value, g[k])]
-            span = least[kind] - (TERM_CJK if kind else TERM)[0] + 1
-            k = k[_dense(k, go, span, THETA_CJK if kind else THETA)]
+            bounds = _bounds(least[kind], (TERM_CJK if kind else TERM)[0])
+            k, span = k[_dense(k, go, bounds)], max(n for _, n in bounds)
             for i, x in _per_text(k, go):
                 rows.append(at[i])
                 terms.append(g[x])
@@ -157,16 +176,6 @@ def _pieces(doc: np.ndarray, item: np.ndarray, seed: int) -> tuple[np.ndarray, n
     return i[new], d[new], np.diff(np.concatenate([new, [len(d)]])) + seed - 1
 
 
-def _budget(least: int, share: float) -> np.ndarray:
-    """The edits that passages may have, by their words from 0 to the most that need a look.
-
-    A longer one, its first and last words unchanged as of any passage, can be cut behind an unchanged word, without the edits that follow, into
-    two of `least` or more words; their edits add up to at most the whole's, so one of them is a passage too.
-    """
-    budget = np.floor(np.arange(4 * least) * share + 1e-9).astype(np.int32)
-    return budget[: np.flatnonzero(np.arange(4 * least) < 2 * least + budget)[-1] + 1]
-
-
 def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float = 0.1) -> bool:
     """Whether some `least` or more consecutive words of item, the first and the last unchanged, stand in doc with at most `share` of them edited; exact.
 
@@ -233,16 +242,18 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
     blocks = blocks.join(size, "cjk")
     norm = lambda n: (K1 + 1) / (1 + K1 * (1 - B + B * n / F.lit(MEAN_WORDS)))
     df = F.when(F.col("hot"), F.lit(RARE + 1)).otherwise(F.least("df", F.lit(RARE)))
-    idf, top = F.log(1 + (F.col("n") - F.least(df, F.col("n")) + 0.5) / (F.least(df, F.col("n")) + 0.5)), F.log(1 + (F.col("n") - 0.5) / 1.5)
-    blocks = blocks.withColumn("idf", idf).withColumn("top", top).withColumn("need", F.when(F.col("cjk"), THETA_CJK).otherwise(THETA) * 0.999)
-    blocks = cut(blocks.select("term", "postings", "idf", (F.col("idf") * norm(F.col("shortest"))).alias("most"), (F.col("top") * norm(F.col("shortest"))).alias("unit"), "top", "need"))
+    weight = lambda df: F.log(1 + (F.col("n") - F.least(df, F.col("n")) + 0.5) / (F.least(df, F.col("n")) + 0.5))
+    need = F.when(F.col("cjk"), min(_bounds(least_cjk, TERM_CJK[0]))[0]).otherwise(min(_bounds(least, TERM[0]))[0]) * 0.999
+    # no term has a smaller impact than one of RARE + 1 items, so as many terms as a passage keeps reach theta
+    blocks = blocks.withColumn("idf", weight(df)).withColumn("top", weight(F.lit(1))).withColumn("theta", need * weight(F.lit(RARE + 1)))
+    blocks = cut(blocks.select("term", "postings", "idf", (F.col("idf") * norm(F.col("shortest"))).alias("most"), (F.col("top") * norm(F.col("shortest"))).alias("unit"), (F.col("theta") * norm(F.col("shortest"))).alias("least"), "theta"))
     hits = cut(_hits(texts(docs, doc_id), doc_type, bitmap.build(blocks, "term"), span))
     q = hits.select("doc", F.explode(F.arrays_zip("terms", "pos", "crowd")).alias("x")).select("doc", F.col("x.terms").alias("term"), F.col("x.pos").alias("dpos"), F.col("x.crowd").alias("crowd"))
     # block-max: the block's best impact and at most a unit from each other term of the passage must reach the threshold
-    q = q.join(blocks, "term").where(F.col("most") + (F.col("crowd") - 1) * F.col("unit") >= F.col("need") * F.col("unit"))
-    q = q.select("doc", "dpos", "idf", "top", "need", F.explode("postings").alias("p"))
+    q = q.join(blocks, "term").where(F.col("most") + (F.col("crowd") - 1) * F.col("unit") >= F.col("least"))
+    q = q.select("doc", "dpos", "idf", "theta", F.explode("postings").alias("p"))
     band = F.floor((F.col("dpos") - F.col("p.ipos")) / 32)
-    q = q.select("doc", F.col("p.item").alias("item"), F.explode(F.array(band, band - 1)).alias("band"), (F.col("idf") * norm(F.col("p.len"))).alias("impact"), (F.col("need") * F.col("top") * norm(F.col("p.len"))).alias("theta"))
+    q = q.select("doc", F.col("p.item").alias("item"), F.explode(F.array(band, band - 1)).alias("band"), (F.col("idf") * norm(F.col("p.len"))).alias("impact"), (F.col("theta") * norm(F.col("p.len"))).alias("theta"))
     cand = q.groupBy("doc", "item", "band").agg(F.sum("impact").alias("score"), F.min("theta").alias("theta")).where("score >= theta").select("doc", "item").distinct()
     pairs = cand.join(hits.select("doc", "dw"), "doc").join(_words(src, item_type), "item")
 

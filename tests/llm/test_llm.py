@@ -262,6 +262,22 @@ def test_passage_verification_is_exact():
     assert min(seen.values()) > 20
 
 
+def test_passages_with_edits_anywhere(spark):
+    rng = random.Random(14)
+    own = lambda n: [f"y{rng.randrange(10**6)}" for _ in range(n)]
+    long, short, mid = own(500), own(24), own(30)
+    docs = {1: [w if k % 10 else "changed" for k, w in enumerate(long)], 2: [w if k % 8 != 7 else "changed" for k, w in enumerate(mid)], 3: [w if k % 8 else "changed" for k, w in enumerate(long)]}
+    for n, (a, b) in enumerate(itertools.combinations(range(1, 23), 2)):
+        docs[100 + n] = own(10) + [w if k not in (a, b) else "changed" for k, w in enumerate(short)] + own(10)
+    zh = [chr(0x4E00 + rng.randrange(3000)) for _ in range(300)]
+    rows = [(i, " ".join(w), "en") for i, w in docs.items()] + [(4, "".join(c if k % 10 else "改" for k, c in enumerate(zh)), "zh")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    items = [("long", " ".join(long), "en"), ("short", " ".join(short), "en"), ("mid", " ".join(mid), "en"), ("zh", "".join(zh), "zh")]
+    t = spark.createDataFrame(items, "doc_id string, text string, lang string")
+    got = rows_of(leakage.leaked_passages(d, t, "doc_id", "doc_id"), "doc", "item")
+    assert got == [(1, "long"), (2, "mid"), (3, "long"), (4, "zh")] + [(i, "short") for i in sorted(docs) if i >= 100]
+
+
 # --- p4 ---
 
 
