@@ -4,7 +4,7 @@ Terms are runs of 6 words (7 characters in zh and ja), few enough words that the
 wherever they stand (`_bounds`). Postings of a term are kept in blocks with their largest BM25 impact. The training side drops terms the index has not
 (Bloom filter of fixed size), then terms in no stretch that has as many as a passage keeps and, block by block, postings whose
 block maximum cannot reach the threshold. The threshold is that many impacts of the commonest terms, so no step drops a passage. Scores are summed
-by (document, item, passage), a passage being a band of diagonals, and what reaches the threshold is verified by
+by (document, item), shared terms must be as dense as a passage's in some band of diagonals, and what remains is verified by
 alignment. The index is joined by term, never broadcast whole.
 """
 
@@ -133,6 +133,28 @@ def _postings(items: DataFrame, id_type: str, hot) -> DataFrame:
     return map_arrow(items, fn, f"term bigint, hot boolean, item {id_type}, cjk boolean, len int, ipos int")
 
 
+def _close(lists: list[np.ndarray], bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
+    """Which lists of shared terms, (place in doc) << 32 | (place in item), are as dense as a passage's within `wide` diagonals."""
+    ok = np.zeros(len(lists), np.bool_)
+    if not len(lists):
+        return ok
+    pair, at = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    place = at >> 32
+    step = wide + 1
+    for shift in (0, step):  # two tilings: diagonals that differ by `wide` share a tile of one
+        tile = (place - (at & 0xFFFFFFFF) + shift) // (2 * step)
+        by = np.lexsort((place, tile, pair))
+        group, place_, pair_ = tile[by], place[by], pair[by]
+        new = np.concatenate([[True], (np.diff(pair_) != 0) | (np.diff(group) != 0)])
+        once = new | np.concatenate([[True], np.diff(place_) != 0])
+        number = (np.cumsum(new) - 1)[once]
+        # _dense wants ascending places over all texts: each tile's begin where no stretch reaches from the one before
+        far = np.int64(1) << 32
+        k = place_[once] + number * far
+        ok[pair_[once][_dense(k, np.arange(number[-1] + 2) * far, bounds)]] = True
+    return ok
+
+
 def _words(items: DataFrame, id_type: str) -> DataFrame:
     def fn(c: dict) -> dict:
         langs = c["lang"].to_pylist()
@@ -180,13 +202,15 @@ def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float =
     """Whether some `least` or more consecutive words of item, the first and the last unchanged, stand in doc with at most `share` of them edited; exact.
 
     The edits of a passage leave a common run of `seed` words, and their number bounds how far it strays from that run's
-    diagonal, so an edit distance banded around it, from each start in item, finds it.
+    diagonal, so an edit distance banded around it, from each start in item, finds it. Unchanged words before a passage, fewer than
+    `least`, make a longer one with the same edits, so only starts behind words that differ are tried.
     """
     if len(item) < least:
         return False
     budget = _budget(least, share)
+    wide, seed = int(budget[-1]), min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
+    budget = np.floor(np.arange(len(budget) + least) * share + 1e-9).astype(np.int32)
     most = len(budget) - 1
-    seed = min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
     pi, pd, ps = _pieces(doc, item, seed)
     if not len(pi) or ps.max() >= least:
         return len(pi) > 0
@@ -195,12 +219,11 @@ def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float =
     n = np.maximum(last - first + 1, 0)
     start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
     todo = np.unique(np.stack([start, np.repeat(pd - pi, n)], 1), axis=0)
-    return any(_aligned(doc, item, x[:, 0], x[:, 1], least, budget) for x in np.array_split(todo, -(-len(todo) // 4096) or 1))
+    return any(_aligned(doc, item, x[:, 0], x[:, 1], least, budget, wide) for x in np.array_split(todo, -(-len(todo) // 4096) or 1))
 
 
-def _aligned(doc: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray, least: int, budget: np.ndarray) -> bool:
+def _aligned(doc: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray, least: int, budget: np.ndarray, wide: int) -> bool:
     """Whether a passage begins at one of the starts and stays within the edit budget of its diagonal."""
-    wide = int(budget[-1])
     t = np.arange(2 * wide + 1, dtype=np.int32)
     at = (start + diagonal - wide)[:, None] + t  # the place in doc that column t of the band is at
     row = np.zeros(at.shape, np.int32)
@@ -210,7 +233,8 @@ def _aligned(doc: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.
         if n >= least and (same & (row <= budget[n])).any():
             return True
         if n == 1:
-            row = np.where(same, 0, wide + 1).astype(np.int32)
+            before = (at > 0) & (at <= len(doc)) & (start > 0)[:, None] & (doc[np.clip(at - 1, 0, len(doc) - 1)] == item[np.maximum(start - 1, 0)][:, None])
+            row = np.where(same & ~before, 0, wide + 1).astype(np.int32)
         else:
             step = row + ~same
             step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # a word of item is missing
@@ -246,15 +270,27 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
     need = F.when(F.col("cjk"), min(_bounds(least_cjk, TERM_CJK[0]))[0]).otherwise(min(_bounds(least, TERM[0]))[0]) * 0.999
     # no term has a smaller impact than one of RARE + 1 items, so as many terms as a passage keeps reach theta
     blocks = blocks.withColumn("idf", weight(df)).withColumn("top", weight(F.lit(1))).withColumn("theta", need * weight(F.lit(RARE + 1)))
-    blocks = cut(blocks.select("term", "postings", "idf", (F.col("idf") * norm(F.col("shortest"))).alias("most"), (F.col("top") * norm(F.col("shortest"))).alias("unit"), (F.col("theta") * norm(F.col("shortest"))).alias("least"), "theta"))
+    blocks = cut(blocks.select("term", "postings", "idf", (F.col("idf") * norm(F.col("shortest"))).alias("most"), "cjk", (F.col("top") * norm(F.col("shortest"))).alias("unit"), (F.col("theta") * norm(F.col("shortest"))).alias("least"), "theta"))
     hits = cut(_hits(texts(docs, doc_id), doc_type, bitmap.build(blocks, "term"), span))
     q = hits.select("doc", F.explode(F.arrays_zip("terms", "pos", "crowd")).alias("x")).select("doc", F.col("x.terms").alias("term"), F.col("x.pos").alias("dpos"), F.col("x.crowd").alias("crowd"))
     # block-max: the block's best impact and at most a unit from each other term of the passage must reach the threshold
     q = q.join(blocks, "term").where(F.col("most") + (F.col("crowd") - 1) * F.col("unit") >= F.col("least"))
-    q = q.select("doc", "dpos", "idf", "theta", F.explode("postings").alias("p"))
-    band = F.floor((F.col("dpos") - F.col("p.ipos")) / 32)
-    q = q.select("doc", F.col("p.item").alias("item"), F.explode(F.array(band, band - 1)).alias("band"), (F.col("idf") * norm(F.col("p.len"))).alias("impact"), (F.col("theta") * norm(F.col("p.len"))).alias("theta"))
-    cand = q.groupBy("doc", "item", "band").agg(F.sum("impact").alias("score"), F.min("theta").alias("theta")).where("score >= theta").select("doc", "item").distinct()
+    q = q.select("doc", "cjk", "dpos", "idf", "theta", F.explode("postings").alias("p"))
+    at = F.shiftleft(F.col("dpos").cast("bigint"), 32) + F.col("p.ipos")
+    q = q.select("doc", F.col("p.item").alias("item"), "cjk", at.alias("at"), (F.col("idf") * norm(F.col("p.len"))).alias("impact"), (F.col("theta") * norm(F.col("p.len"))).alias("theta"))
+    cand = q.groupBy("doc", "item", "cjk").agg(F.sum("impact").alias("score"), F.min("theta").alias("theta"), F.collect_list("at").alias("at")).where("score >= theta")
+
+    def close(c: dict) -> dict:
+        cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
+        ok = np.zeros(len(cjk), np.bool_)
+        for kind in (False, True):
+            rows = np.flatnonzero(cjk == kind)
+            n, (width, _) = span[kind], TERM_CJK if kind else TERM
+            lists = [c["at"][int(i)].values.to_numpy() for i in rows]
+            ok[rows] = _close(lists, _bounds(n, width), int(_budget(n)[-1]))
+        return {k: c[k].take(np.flatnonzero(ok)) for k in ("doc", "item")}
+
+    cand = map_arrow(cand.select("doc", "item", "cjk", "at"), close, f"doc {doc_type}, item {item_type}").distinct()
     pairs = cand.join(hits.select("doc", "dw"), "doc").join(_words(src, item_type), "item")
 
     def verify(c: dict) -> dict:
