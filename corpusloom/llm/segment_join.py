@@ -54,8 +54,7 @@ def _pass(df: DataFrame, width: int, width_cjk: int, bits) -> DataFrame:
                 if bits is None:
                     k = np.flatnonzero((where % size == 0) & ((n[of] >= short) == (size == long)))
                 else:
-                    k = np.flatnonzero(n[of] < 2 * short) if size != long else np.arange(len(r))
-                    k = k[bitmap.contains(bits.value, r[k])]
+                    k = np.flatnonzero(bitmap.contains(bits.value, r))
                 text.append(of[k])
                 hit.append(r[k])
                 place.append(where[k].astype(np.int32))

@@ -179,6 +179,13 @@ def test_segment_join_against_brute_force(spark):
     assert segment_join.split_overlap(df.limit(0)).count() == 0
 
 
+def test_short_text_against_a_longer_one_that_repeats_it(spark):
+    text = " ".join(story(random.Random(16), 20))
+    rows = [(1, text, "en", "test"), (2, " ".join([text] * 3), "en", "train")]
+    df = spark.createDataFrame(rows, "article_id bigint, text string, lang string, split string")
+    assert alike(run_set(text, "en"), run_set(rows[1][1], "en")) and rows_of(segment_join.split_overlap(df), "article_id_a", "article_id_b") == [(1, 2)]
+
+
 # --- p3 ---
 
 
