@@ -25,12 +25,13 @@ from corpusloom.llm.segment_join import _lists
 from corpusloom.llm.wordkernel import mix, word_hashes
 from corpusloom.session import cut
 
-TABLES, RADIUS, SIMILAR_PCT, LEAST_WORDS, MOST_WORDS = 4, 3, 80, 4, 40
+TABLES, RADIUS, SIMILAR_PCT, LEAST_WORDS, LEAST_CJK = 4, 3, 80, 4, 8
 
 _CUT = re.compile(r"[\n\r  ]+|(?<=[.!?])\s+|(?<=[。！？])")
 _CODE = re.compile(r"`[^`\n]{1,120}`|<code>.{1,200}?</code>", re.S)
 _QUOTED = re.compile(r"“[^“”\n]{0,160}”|«[^«»\n]{0,160}»|„[^„“”\n]{0,160}[“”]|\"[^\"\n]{0,160}\"|‘[^‘’\n]{0,160}’|「[^「」\n]{0,160}」|『[^『』\n]{0,160}』")
 _MASK = re.compile(r"(?<!\S)(?:\S*?\d\S*|/\S+)")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _TITLE = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆ-ΫА-Я][a-zà-öø-ÿā-žά-ώа-я]\w*"
 _NAME = re.compile(rf"(?<=[^\s.!?…]) {_TITLE}(?: {_TITLE})*")
 _SLOT_SIGNS = ("{", "}", "<", "[", "$$", "%%", "%(", "@@", "__", "|", "TK TK", "XXX", "undefined")
@@ -87,14 +88,19 @@ def masked(text: str) -> str:
     return fold(_NAME.sub(" ", _MASK.sub("", text)))
 
 
+def is_cjk(segment: str) -> bool:
+    """Whether most of the segment is Chinese or Japanese, where each character is compared as a word."""
+    return not segment.isascii() and 2 * len(_CJK.findall(segment)) > len(segment)
+
+
 def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each list of word hashes; 0 for an empty one."""
     out = np.zeros(len(offsets) - 1, np.uint64)
     full = np.flatnonzero(np.diff(offsets) > 0)
-    for lo in range(0, len(full), 4096):
-        at = full[lo : lo + 4096]
+    for lo in range(0, len(full), 512):
+        at = full[lo : lo + 512]
         a, b = offsets[at[0]], offsets[at[-1] + 1]
-        bits = np.unpackbits(hashes[a:b].view(np.uint8)).reshape(-1, 64).astype(np.int16)
+        bits = np.unpackbits(hashes[a:b].view(np.uint8)).reshape(-1, 64).astype(np.int32)
         ones = np.add.reduceat(bits, offsets[at] - a, axis=0)
         n = np.diff(offsets)[at]
         out[at] = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
@@ -125,14 +131,15 @@ def _scan(df: DataFrame, id_type: str, bits) -> DataFrame:
                 rows.extend([i] * len(found))
                 segs.extend(found)
             else:
-                found = [s for s in segments(masked(_QUOTED.sub("◌", t))) if len(s) < 400]
+                found = [s for s in segments(masked(_QUOTED.sub("◌", t)))]
                 rows.extend([i] * len(found))
                 segs.extend(found)
-        h, o = word_hashes(segs, [None] * len(segs))
+        cjk = [is_cjk(s) for s in segs]
+        h, o = word_hashes(segs, ["zh" if x else None for x in cjk])
         n = np.diff(o)
         sims = simhash(h, o)
         keys = table_keys(sims)
-        fit = (n >= LEAST_WORDS) & (n <= MOST_WORDS)
+        fit = n >= np.where(cjk, LEAST_CJK, LEAST_WORDS)
         if bits is not None:
             fit &= bitmap.contains(bits.value, keys.ravel()).reshape(keys.shape).any(1)
             keep = np.flatnonzero(fit)

@@ -486,6 +486,27 @@ def test_residue_spreads_to_near_copies(spark):
     assert (2 in got) == (int(sims[0] ^ sims[1]).bit_count() <= residue.RADIUS)
 
 
+def test_residue_spreads_in_chinese_and_in_long_segments(spark):
+    def near(seed, lang, units, join):  # a copy with one unit changed, inside the radius, that no pattern starts
+        h = lambda x: residue.simhash(*wordkernel.word_hashes([residue.masked(x)], [lang]))[0]
+        for k in range(500):
+            x = join.join([chr(0x5000 + k) if lang else f"q{chr(97 + k % 26)}{chr(97 + k // 26)}", *units[1:]])
+            if not residue.messages(x) and int(h(seed) ^ h(x)).bit_count() <= residue.RADIUS:
+                return x
+        return None
+
+    rng = random.Random(15)
+    tail = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    long = " ".join(["lorem", *tail]).replace("lorem", "Page not found because")
+    copy = near(long, None, long.split(), " ")
+    head = next(x for x in ("页面不存在", "页面未找到", "您访问的页面不存在", "找不到页面", "您访问的页面") if residue.messages(x))
+    zh = head + "".join(chr(0x4E00 + 7 * k) for k in range(90))
+    zh_copy = near(zh, "zh", list(zh), "")
+    assert copy and zh_copy
+    rows = [(1, long), (2, copy), (3, zh), (4, zh_copy), (5, "Nothing to see in this ordinary story about a bridge.")]
+    assert rows_of(residue.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id") == [(1,), (2,), (3,), (4,)]
+
+
 # --- the whole tables, and where results must not depend on partitions ---
 
 
