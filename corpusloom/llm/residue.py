@@ -34,7 +34,7 @@ _MASK = re.compile(r"(?<!\S)(?:\S*?\d\S*|/\S+)")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _TITLE = r"[A-ZÀ-ÖØ-ÞĀ-ŽΆ-ΫА-Я][a-zà-öø-ÿā-žά-ώа-я]\w*"
 _NAME = re.compile(rf"(?<=[^\s.!?…]) {_TITLE}(?: {_TITLE})*")
-_SLOT_SIGNS = ("{", "}", "<", "[", "$$", "%%", "%(", "@@", "__", "|", "TK TK", "XXX", "undefined")
+_SLOT_SIGNS = ("{", "}", "<", "[", "$$", "%%", "%(", "@@", "__", "|", "««", "TK TK", "XXX", "undefined")
 
 
 @functools.lru_cache(1)
@@ -156,7 +156,7 @@ def _scan(df: DataFrame, id_type: str, bits) -> DataFrame:
     return map_arrow(df.where("id is not null and text is not null"), fn, f"id {id_type}, fit boolean, sim bigint, words array<bigint>, keys array<bigint>")
 
 
-def residue_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 4) -> DataFrame:
+def residue_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 60) -> DataFrame:
     """(id_col): documents that are, or hold, template slots, filler text, error messages or script notices.
 
     Null ids, null and empty texts give no row; repeated ids one. Quoted and code-quoted mentions are no cases.
@@ -183,5 +183,7 @@ def residue_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         spread = roots.join(roots.join(known, "node", "left_semi").select("root").distinct(), "root", "left_semi").select("node").union(known).distinct()
         flagged = flagged.union(seen.join(spread, "node", "left_semi").select("id")).distinct()
         fresh = cut(nodes.join(spread, "node", "left_semi").join(known, "node", "left_anti"))
-        label = label.unionByName(fresh)
+        label = cut(label.unionByName(fresh))
+    else:
+        raise RuntimeError("labels did not settle")
     return flagged.select(F.col("id").alias(id_col))

@@ -507,6 +507,32 @@ def test_residue_spreads_in_chinese_and_in_long_segments(spark):
     assert rows_of(residue.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id") == [(1,), (2,), (3,), (4,)]
 
 
+def test_slot_in_double_guillemets():
+    assert residue.has_slot("Bonjour ««prenom»», voici les nouvelles.")
+
+
+def test_residue_spreads_along_long_chains(spark):
+    """Each step changes a word more, within the radius of the one before only."""
+    rng = random.Random(17)
+    units = ["Page", "not", "found", "because", *(f"w{chr(97 + k % 26)}{chr(97 + rng.randrange(26))}{chr(97 + k // 26)}" for k in range(60))]
+    sim = lambda u: residue.simhash(*wordkernel.word_hashes([residue.masked(" ".join(u))], [None]))[0]
+    chain = [units]
+    for step in range(7):
+        for k in range(5000):
+            new = list(chain[-1])
+            new[step] = f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}"
+            far = [int(sim(new) ^ sim(c)).bit_count() for c in chain]
+            if far[-1] <= residue.RADIUS and all(x > residue.RADIUS for x in far[:-1]):
+                break
+        else:
+            pytest.fail("no chain")
+        chain.append(new)
+    texts = [" ".join(c) for c in chain]
+    assert not any(map(residue.messages, texts[1:]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert rows_of(residue.residue_documents(d), "doc_id") == [(i,) for i in range(len(texts))]
+
+
 # --- the whole tables, and where results must not depend on partitions ---
 
 
