@@ -1,6 +1,6 @@
-"""A Bloom filter of fixed size (two probes), used to drop rows that can have no partner.
+"""A blocked Bloom filter (three bits in one 64-bit word), used to drop rows that can have no partner.
 
-Its size is set by a parameter and does not grow with the data. Built over more keys than fit, it only lets more rows
+Its size follows the number of keys up to a fixed limit. Built over more keys than fit, it only lets more rows
 through: it never drops a row whose key was put in, so results stay whole at every size.
 """
 
@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut
 
 LOG2_BITS = 27  # 16 MB
+#: A filter has about BITS_A_KEY bits a key, from 2**LEAST_LOG2 to 2**MOST_LOG2 bits (64 MB) in all.
+BITS_A_KEY, LEAST_LOG2, MOST_LOG2 = 24, 16, 29
+
+
+def log2_size(keys: int) -> int:
+    """log2 of the bits of a filter for so many keys."""
+    return min(max((max(keys, 1) * BITS_A_KEY - 1).bit_length(), LEAST_LOG2), MOST_LOG2)
 
 
 class Bits:
@@ -49,12 +56,10 @@ def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS) -> Bits:
     Its non-zero words, at most 2**(log2_bits - 6), are written to the shared folder, where the workers read them; only
     if they cannot reach that folder by its address they are sent through the driver.
     """
-    lift = 64 - log2_bits
-    slot = f"explode(array(shiftrightunsigned({key}, {lift}), shiftrightunsigned(shiftleft({key}, {log2_bits}), {lift}))) as slot"
+    one = lambda shift: f"shiftleft(1L, cast(shiftrightunsigned({key}, {shift}) & 63 as int))"
     words = (
         df.where(F.col(key).isNotNull())
-        .selectExpr(slot)
-        .selectExpr("cast(shiftright(slot, 6) as int) as i", "shiftleft(1L, cast(slot & 63 as int)) as b")
+        .selectExpr(f"cast(shiftrightunsigned({key}, {70 - log2_bits}) as int) as i", f"{one(0)} | {one(6)} | {one(12)} as b")
         .groupBy("i")
         .agg(F.bit_or("b").alias("b"))
     )
@@ -71,10 +76,9 @@ def build(df: DataFrame, key: str, log2_bits: int = LOG2_BITS) -> Bits:
 
 
 def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For unsigned 64-bit keys; both slots are made of the key's own bits, so keys must be hashes."""
-    log2_bits = int(len(bits)).bit_length() + 5
+    """For unsigned 64-bit keys; word and bits are made of the key's own bits, so keys must be hashes."""
+    word = bits[(keys >> np.uint64(65 - int(len(bits)).bit_length())).astype(np.int64)]
     hit = np.ones(len(keys), np.bool_)
-    for k in (keys, keys << np.uint64(log2_bits)):
-        slot = k >> np.uint64(64 - log2_bits)
-        hit &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    for shift in (0, 6, 12):
+        hit &= (word >> ((keys >> np.uint64(shift)) & np.uint64(63))) & np.uint64(1) != 0
     return hit

@@ -1,49 +1,40 @@
-"""Test passages in training text: BM25 over an inverted index of test items, with block-max WAND pruning.
+"""Test passages in training text: BM25 over an inverted index of test items, with WAND pruning.
 
 Terms are runs of 6 words (7 characters in zh and ja), few enough words that the edits of a passage leave 7 (12) of its terms whole
-wherever they stand (`_bounds`). Postings of a term are kept in blocks with their largest BM25 impact. The training side drops terms the index has not
-(Bloom filter of fixed size), then terms in no stretch that has as many as a passage keeps and, block by block, postings whose
-block maximum cannot reach the threshold. The threshold is that many impacts of the commonest terms, so no step drops a passage. Scores are summed
-by (document, item), shared terms must be as dense as a passage's in some band of diagonals, and what remains is verified by
-alignment. The index is joined by term, never broadcast whole.
+wherever they stand (`_bounds`). The items are the query set: their index is cut into blocks of bounded size, and every training text is run against
+every block. A training text first drops terms that no item has (Bloom filter) and then terms in no stretch that has as many as a passage
+keeps. In a block, an item's threshold is the least score its passages can keep; its pivot terms are those left when each passage's commonest
+terms that together stay below the threshold are taken out, and only their postings start candidates. A candidate's upper
+bound, summed over the terms that a signature of the item admits, must reach the threshold; then its exact score must, and the shared terms must be as dense as a
+passage's in some band of diagonals. Every bound is one that all passages meet, so no step drops one. What remains is verified by alignment.
+A term counts once in an item, so the item's length norm multiplies its score and its threshold alike and is left out of both.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from corpusloom.llm import bitmap
 from corpusloom.llm.arrowmap import map_arrow, ragged
 from corpusloom.llm.segment_join import _lists
-from corpusloom.llm.wordkernel import CJK_LANGS, groups_by_width, runs, take, word_hashes
-from corpusloom.session import cut
-
-#: (words in a term, winnowing window); a window over 1 would lose passages.
-TERM, TERM_CJK = (6, 1), (7, 1)
-#: Postings of a term of more items than this are cut into blocks by the items' hash.
-RARE = 8
-K1, B = 1.2, 0.75
-#: The length an item's BM25 norm is relative to, in words.
-MEAN_WORDS = 300
-
-
-def winnow(grams: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
-    """Places of the grams that are the least of some window of `window` grams of their text; all of short texts."""
-    n = len(grams)
-    chosen = np.zeros(n, np.bool_)
-    if n >= window:
-        least = grams[: n - window + 1].copy()
-        for j in range(1, window):
-            np.minimum(least, grams[j : n - window + 1 + j], out=least)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        inside = text[: n - window + 1] == text[window - 1 :]
-        for j in range(window):
-            chosen[j : n - window + 1 + j] |= inside & (grams[j : n - window + 1 + j] == least)
-    size = np.diff(offsets)
-    chosen |= np.repeat(size < window, size)
-    return np.flatnonzero(chosen)
+from corpusloom.llm.wordkernel import CJK_LANGS, groups_by_width, mix, runs, take, word_hashes
+from corpusloom.session import cut, ship
+
+#: Words, and characters in zh and ja, of a term.
+TERM, TERM_CJK = 6, 7
+#: A block of the index has about this many words at most (one item may have more).
+BLOCK_WORDS = 3_000_000
+#: Bits of an item's signature for each of its terms.
+SIGN_BITS = 16
 
 
 def _budget(least: int, share: float = 0.1) -> np.ndarray:
@@ -83,62 +74,11 @@ def _dense(k: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]]) ->
     return np.flatnonzero(keep)
 
 
-def _grams(c: dict):
-    """(row, zh or ja, terms, places, words) of each text with terms."""
-    langs = c["lang"].to_pylist()
-    h, o = word_hashes(c["text"].to_pylist(), langs)
-    for kind, at in groups_by_width(langs, 0, 1):
-        width, window = TERM_CJK if kind else TERM
-        hw, ow = take(h, o, at)
-        g, go = runs(hw, ow, width)
-        yield kind, at, g, go, winnow(g, go, window), hw, ow
-
-
-def _per_text(k: np.ndarray, go: np.ndarray):
-    edge = np.searchsorted(k, go)
-    for i in np.flatnonzero(np.diff(edge)):
-        yield i, k[edge[i] : edge[i + 1]]
-
-
-def _item_terms(items: DataFrame) -> DataFrame:
-    """(term, n): the distinct terms of the items, counted within each batch."""
-
-    def fn(c: dict) -> dict:
-        found = [np.zeros(0, np.uint64)]
-        for _, _, g, go, k, _, _ in _grams(c):
-            found += [np.unique(g[x]) for _, x in _per_text(k, go)]
-        term, n = np.unique(np.concatenate(found), return_counts=True)
-        return {"term": term.view(np.int64), "n": n}
-
-    return map_arrow(items, fn, "term bigint, n bigint")
-
-
-def _postings(items: DataFrame, id_type: str, hot) -> DataFrame:
-    """(term, hot, item, cjk, len, ipos) of every term: edits may leave a passage none but terms that many items have."""
-
-    def fn(c: dict) -> dict:
-        out: dict[str, list] = {"row": [], "term": [], "hot": [], "cjk": [], "len": [], "ipos": []}
-        for kind, at, g, go, k, _, ow in _grams(c):
-            common = bitmap.contains(hot.value, g[k])
-            for i, x in _per_text(k, go):
-                lo = np.searchsorted(k, x[0])
-                for key, v in (("row", at[i]), ("cjk", bool(kind)), ("len", int(ow[i + 1] - ow[i]))):
-                    out[key].append(np.full(len(x), v))
-                out["term"].append(g[x])
-                out["hot"].append(common[lo : lo + len(x)])
-                out["ipos"].append((x - go[i]).astype(np.int32))
-        whole = lambda key, kind: np.concatenate([*out[key], np.zeros(0, kind)]).astype(kind)
-        return {"term": whole("term", np.uint64).view(np.int64), "hot": whole("hot", np.bool_), "item": c["id"].take(whole("row", np.int64)), "cjk": whole("cjk", np.bool_), "len": whole("len", np.int32), "ipos": whole("ipos", np.int32)}
-
-    return map_arrow(items, fn, f"term bigint, hot boolean, item {id_type}, cjk boolean, len int, ipos int")
-
-
-def _close(lists: list[np.ndarray], bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
-    """Which lists of shared terms, (place in doc) << 32 | (place in item), are as dense as a passage's within `wide` diagonals."""
-    ok = np.zeros(len(lists), np.bool_)
-    if not len(lists):
+def _close_flat(pair: np.ndarray, at: np.ndarray, pairs: int, bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
+    """Which pairs have shared terms, (place in doc) << 32 | (place in item), as dense as a passage's within `wide` diagonals."""
+    ok = np.zeros(pairs, np.bool_)
+    if not len(pair):
         return ok
-    pair, at = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
     place = at >> 32
     step = wide + 1
     for shift in (0, step):  # two tilings: diagonals that differ by `wide` share a tile of one
@@ -155,148 +95,422 @@ def _close(lists: list[np.ndarray], bounds: list[tuple[int, int]], wide: int) ->
     return ok
 
 
-def _words(items: DataFrame, id_type: str) -> DataFrame:
+def _grams(c: dict):
+    """(row, zh or ja, terms, their offsets) of each text with terms."""
+    langs = c["lang"].to_pylist()
+    h, o = word_hashes(c["text"].to_pylist(), langs)
+    for kind, at in groups_by_width(langs, 0, 1):
+        yield kind, at, *runs(*take(h, o, at), TERM_CJK if kind else TERM)
+
+
+def _terms(items: DataFrame) -> DataFrame:
+    """(term): the terms of the items, each once in a batch."""
+
     def fn(c: dict) -> dict:
-        langs = c["lang"].to_pylist()
-        h, o = word_hashes(c["text"].to_pylist(), langs)
-        return {"item": c["id"], "cjk": [x in CJK_LANGS for x in langs], "iw": ragged(h, o, "int64")}
+        return {"term": np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for _, _, g, _ in _grams(c))])).view(np.int64)}
 
-    return map_arrow(items, fn, f"item {id_type}, cjk boolean, iw array<bigint>")
+    return map_arrow(items, fn, "term bigint")
 
 
 def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFrame:
-    """(doc, terms, pos, crowd, dw): the terms the index has in passages that have enough of them; crowd is how many."""
+    """(doc, cjk, terms, pos): the terms that some item has, in stretches with as many of them as a passage keeps."""
 
     def fn(c: dict) -> dict:
-        rows, terms, pos, crowd, words = [], [], [], [], []
-        for kind, at, g, go, k, hw, ow in _grams(c):
-            k = k[bitmap.contains(bits.value, g[k])]
-            bounds = _bounds(least[kind], (TERM_CJK if kind else TERM)[0])
-            k, span = k[_dense(k, go, bounds)], max(n for _, n in bounds)
-            for i, x in _per_text(k, go):
+        rows, kinds, terms, pos = [], [], [], []
+        for kind, at, g, go in _grams(c):
+            k = np.flatnonzero(bitmap.contains(bits.value, g))
+            k = k[_dense(k, go, _bounds(least[kind], TERM_CJK if kind else TERM))]
+            edge = np.searchsorted(k, go)
+            for i in np.flatnonzero(np.diff(edge)):
+                x = k[edge[i] : edge[i + 1]]
                 rows.append(at[i])
+                kinds.append(bool(kind))
                 terms.append(g[x])
                 pos.append((x - go[i]).astype(np.int32))
-                crowd.append((np.searchsorted(x, x + span, "left") - np.searchsorted(x, x - span, "right")).astype(np.int32))
-                words.append(hw[ow[i] : ow[i + 1]])
-        return {"doc": c["id"].take(np.asarray(rows, np.int64)), "terms": _lists(terms), "pos": _lists(pos, np.int32), "crowd": _lists(crowd, np.int32), "dw": _lists(words)}
+        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32)}
 
-    return map_arrow(docs.where("id is not null and text is not null"), fn, f"doc {id_type}, terms array<bigint>, pos array<int>, crowd array<int>, dw array<bigint>")
+    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>")
 
 
-def _pieces(doc: np.ndarray, item: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in item, place in doc, words) of the maximal common runs of `seed` or more words."""
-    gd, gi = runs(doc, np.array([0, len(doc)]), seed)[0], runs(item, np.array([0, len(item)]), seed)[0]
+def _pivots(idf: np.ndarray, go: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each term is a pivot, the threshold of each item) of items given by the idf of their terms in order.
+
+    A passage of n words keeps `need` of its terms. The threshold is the least sum of `need` terms of a stretch of n words. In each
+    stretch the need - 1 commonest terms stay below it, so a passage that keeps no other term does not exist.
+    """
+    budget = _budget(least).tolist()
+    pivot, theta = np.zeros(len(idf), np.bool_), np.full(len(go) - 1, np.inf)
+    for n in (n for n in range(least, len(budget)) if n == least or budget[n] > budget[n - 1]):
+        span, need = n - width + 1, n - width + 1 - width * budget[n]
+        count = np.maximum(np.diff(go) - span + 1, 0)
+        item = np.repeat(np.arange(len(count)), count)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + go[item]
+        for lo in range(0, len(start), 100_000):
+            at = start[lo : lo + 100_000, None] + np.arange(span)
+            x = idf[at]
+            order = np.argpartition(x, need - 1, axis=1)
+            pivot[np.take_along_axis(at, order[:, need - 1 :], 1).ravel()] = True
+            np.minimum.at(theta, item[lo : lo + 100_000], np.take_along_axis(x, order[:, :need], 1).sum(1))
+    return pivot, theta * 0.9999  # for sums in another order
+
+
+def _index(items: DataFrame, id_type: str, least: tuple[int, int]) -> DataFrame:
+    """(block, item, cjk, words, idf, pivot, theta) of items (id, text, lang, block): idf within the block, pivots and threshold."""
+    ship(items.sparkSession)
+    schema = f"block bigint, item {id_type}, cjk boolean, words array<bigint>, idf array<float>"
+    to = to_arrow_schema(_parse_datatype_string(schema))
+
+    def weigh(t: pa.Table) -> pa.Table:
+        langs = t["lang"].to_pylist()
+        h, o = word_hashes(t["text"].to_pylist(), langs)
+        parts = []
+        for kind, at in groups_by_width(langs, 0, 1):
+            hw, ow = take(h, o, at)
+            g, go = runs(hw, ow, TERM_CJK if kind else TERM)
+            item = np.repeat(np.arange(len(at)), np.diff(go))
+            by = np.lexsort((item, g))
+            new = np.concatenate([[True], np.diff(g[by]) != 0])[: len(by)]
+            first = new | np.concatenate([[True], np.diff(item[by]) != 0])[: len(by)]
+            term = np.cumsum(new) - 1
+            df = np.bincount(term[first], minlength=1)
+            n = np.count_nonzero(np.diff(go))
+            idf = np.empty(len(g), np.float32)
+            idf[by] = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+            some = pa.array(at)
+            columns = [t["block"].combine_chunks().take(some), t["id"].combine_chunks().take(some), pa.array(np.full(len(at), bool(kind))), ragged(hw, ow, "int64"), ragged(idf, go, "float32")]
+            parts.append(pa.Table.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(columns, to)], schema=to))
+        return pa.concat_tables(parts)
+
+    def mark(c: dict) -> dict:
+        cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
+        out, kinds = [], []
+        for kind in (False, True):
+            at = np.flatnonzero(cjk == kind)
+            idf = c["idf"].take(pa.array(at))
+            go = np.concatenate([[0], np.cumsum(idf.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            pivot, theta = _pivots(idf.flatten().to_numpy(), go, least[kind], TERM_CJK if kind else TERM)
+            kinds.append(at)
+            out.append((ragged(pivot, go, pa.bool_()), theta))
+        by = pa.array(np.concatenate(kinds))
+        return {k: c[k].take(by) for k in ("block", "item", "cjk", "words", "idf")} | {"pivot": pa.concat_arrays([p for p, _ in out]), "theta": np.concatenate([t for _, t in out])}
+
+    weighed = items.groupBy("block").applyInArrow(weigh, schema)
+    spread = 2 * items.sparkSession.sparkContext.defaultParallelism + 1
+    return map_arrow(weighed.repartition(spread, "item"), mark, schema + ", pivot array<boolean>, theta double")
+
+
+class Block:
+    """A block of the index of items of one kind (zh and ja or not), in memory."""
+
+    def __init__(self, t: pa.Table, kind: bool):
+        t = t.filter(pa.array(np.asarray(t["cjk"].to_pylist(), np.bool_) == kind)).combine_chunks()
+        part = lambda name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t[name].type)
+        self.ids, words = part("item"), part("words")
+        width = TERM_CJK if kind else TERM
+        g, self.go = runs(words.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), width)
+        idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
+        self.theta = part("theta").to_numpy()
+        item = np.repeat(np.arange(len(self.ids)), np.diff(self.go)).astype(np.int32)
+        by = np.argsort(g, kind="stable")
+        self.terms, self.items, self.places = g[by], item[by], (by - self.go[item[by]]).astype(np.int32)  # all postings, by term
+        self.distinct, first = np.unique(self.terms, return_index=True)
+        self.idf, self.edge = idf[by][first], np.append(first, len(by))
+        keep = np.flatnonzero(pivot[by])
+        number = np.repeat(np.arange(len(first)), np.diff(self.edge))[keep]
+        self.pivot_items, self.pivot_edge = self.items[keep], np.searchsorted(number, np.arange(len(first) + 1))
+        # signatures: one slot of bits for each item, its bits set by its terms
+        self.slots = np.maximum(SIGN_BITS * np.diff(self.go), 64)
+        self.base = np.cumsum(self.slots) - self.slots
+        self.signs = np.zeros(int(self.slots.sum()), np.bool_)
+        self.signs[self._sign(g, item)] = True
+
+    def _sign(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return self.base[item] + ((term >> np.uint64(40)).astype(np.int64) % self.slots[item])
+
+    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]], wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.distinct):
+            return none
+        k = np.minimum(np.searchsorted(self.distinct, term), len(self.distinct) - 1)
+        mine = np.flatnonzero(self.distinct[k] == term)
+        row = (np.searchsorted(offsets, mine, "right") - 1).astype(np.int64)
+        far = np.int64(1) << 32  # one ascending scale of places, texts far apart
+        keep = _dense(pos[mine] + row * far, np.arange(len(offsets)) * far, bounds)
+        k, row, term, pos = k[mine[keep]], row[keep], term[mine[keep]], pos[mine[keep]].astype(np.int64)
+        pairs = [np.zeros(0, np.int64)]
+        for lo, hi in _runs_of(self.pivot_edge[k + 1] - self.pivot_edge[k], 4_000_000):
+            n = self.pivot_edge[k[lo:hi] + 1] - self.pivot_edge[k[lo:hi]]
+            at = np.repeat(self.pivot_edge[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pairs.append(np.unique(np.repeat(row[lo:hi], n) * len(self.ids) + self.pivot_items[at]))
+        pairs = np.unique(np.concatenate(pairs))
+        edge = np.searchsorted(row, np.arange(len(offsets)))
+        out = [np.zeros(0, np.int64)]
+        for lo, hi in _runs_of(edge[pairs // len(self.ids) + 1] - edge[pairs // len(self.ids)], 4_000_000):
+            out.append(pairs[lo:hi][self._reach(pairs[lo:hi], k, term, pos, edge, bounds, wide)])
+        out = np.concatenate(out)
+        return out // len(self.ids), out % len(self.ids)
+
+    def _reach(self, pairs: np.ndarray, k: np.ndarray, term: np.ndarray, pos: np.ndarray, edge: np.ndarray, bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
+        """Places of the pairs whose upper bound, exact score and density reach those of a passage."""
+        row, item = pairs // len(self.ids), pairs % len(self.ids)
+        n = edge[row + 1] - edge[row]
+        pair = np.repeat(np.arange(len(pairs)), n)
+        hit = np.repeat(edge[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        keep = self.signs[self._sign(term[hit], item[pair])]
+        pair, hit = pair[keep], hit[keep]
+        for exact in (False, True):
+            if exact:  # the places in the item of each shared term
+                a, b = self.edge[k[hit]], self.edge[k[hit] + 1]
+                m = b - a
+                at = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
+                pair, hit = np.repeat(pair, m), np.repeat(hit, m)
+                keep = self.items[at] == item[pair]
+                pair, hit, at = pair[keep], hit[keep], at[keep]
+            new = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(hit) != 0)])[: len(pair)]
+            score = np.bincount(pair[new], self.idf[k[hit[new]]], minlength=len(pairs))
+            far = np.int64(1) << 32
+            dense = np.zeros(len(pairs), np.bool_)
+            dense[pair[new][_dense(pos[hit[new]] + pair[new] * far, np.arange(len(pairs) + 1) * far, bounds)]] = True
+            ok = (score >= self.theta[item]) & dense
+            keep = ok[pair]
+            pair, hit = pair[keep], hit[keep]
+            if exact:
+                at = at[keep]
+        left, group = np.unique(pair, return_inverse=True)
+        ok = _close_flat(group, (pos[hit] << 32) | self.places[at], len(left), bounds, wide)
+        return left[ok]
+
+
+def _runs_of(sizes: np.ndarray, most: int):
+    """(from, to) cuts of a list into runs whose sizes add up to `most` at most, or hold one element."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+@functools.lru_cache(1)
+def _load(path: str, number: int) -> tuple[Block, Block]:
+    where, folder = fs.FileSystem.from_uri(path)
+    t = ds.dataset(folder, format="parquet", filesystem=where, exclude_invalid_files=False).to_table(filter=ds.field("block") == number)
+    return Block(t, False), Block(t, True)
+
+
+class Shared:
+    """A block of the index, read by each Python worker from the shared folder, or sent where it cannot reach that."""
+
+    def __init__(self, table: DataFrame, number: int):
+        self.path, self.number, self.sent = table.inputFiles()[0].rpartition("/")[0], number, None
+        try:
+            fs.FileSystem.from_uri(self.path)
+        except (OSError, ValueError):  # an address that only Hadoop understands; a block has a bounded size
+            self.sent = table.sparkSession.sparkContext.broadcast(table.where(F.col("block") == number).toArrow())
+
+    @property
+    def value(self) -> tuple[Block, Block]:
+        return (Block(self.sent.value, False), Block(self.sent.value, True)) if self.sent else _load(self.path, self.number)
+
+
+def _candidates(hits: DataFrame, block: Shared, doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
+    """(doc, item) of the pairs of texts and items of a block that may share a passage."""
+
+    def fn(c: dict) -> dict:
+        cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
+        docs, items = [c["doc"].slice(0, 0)], [block.value[0].ids.slice(0, 0)]
+        for kind in (False, True):
+            at = np.flatnonzero(cjk == kind)
+            if len(at) and len(block.value[kind].ids):
+                terms, pos = c["terms"].take(pa.array(at)), c["pos"].take(pa.array(at))
+                offsets = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                bounds = _bounds(least[kind], TERM_CJK if kind else TERM)
+                row, item = block.value[kind].candidates(terms.flatten().to_numpy().view(np.uint64), pos.flatten().to_numpy(), offsets, bounds, int(_budget(least[kind])[-1]))
+                docs.append(c["doc"].take(pa.array(at[row])))
+                items.append(block.value[kind].ids.take(pa.array(item)))
+        return {"doc": pa.concat_arrays(docs), "item": pa.concat_arrays(items)}
+
+    return map_arrow(hits, fn, f"doc {doc_type}, item {item_type}")
+
+
+def _words(texts: DataFrame, id_type: str, name: str, bits) -> DataFrame:
+    """(name, cjk, name_words) of the texts whose hashed id is in the filter."""
+
+    def fn(c: dict) -> dict:
+        at = np.flatnonzero(bitmap.contains(bits.value, c["k"].to_numpy().view(np.uint64)))
+        texts, langs = [c["text"][int(i)].as_py() for i in at], [c["lang"][int(i)].as_py() for i in at]
+        h, o = word_hashes(texts, langs)
+        return {name: c["id"].take(pa.array(at)), "cjk": [x in CJK_LANGS for x in langs], f"{name}_words": ragged(h, o, "int64")}
+
+    return map_arrow(texts.withColumn("k", F.xxhash64("id")), fn, f"{name} {id_type}, cjk boolean, {name}_words array<bigint>")
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*lists, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
+
+
+def _pieces(doc: np.ndarray, do: np.ndarray, item: np.ndarray, io: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """(pair, place in item, place in doc, words) of the maximal common runs of `seed` or more words of each pair of texts.
+
+    Texts and places are those of the joined lists.
+    """
+
+    def keyed(x: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, go = runs(x, o, seed)
+        pair = np.repeat(np.arange(len(o) - 1), np.diff(go))
+        return mix(g ^ mix(pair.astype(np.uint64), 3), 5), pair, np.arange(len(g)) - go[pair] + o[pair]
+
+    gd, pair, dplace = keyed(doc, do)
+    gi, _, iplace = keyed(item, io)
     order = np.argsort(gi, kind="stable")
     lo, hi = np.searchsorted(gi[order], gd, "left"), np.searchsorted(gi[order], gd, "right")
     n = hi - lo
     d = np.repeat(np.arange(len(gd)), n)
-    i = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(d))]
-    by = np.lexsort((i, i - d))
-    d, i = d[by], i[by]
-    new = np.flatnonzero(np.concatenate([[len(d) > 0], (np.diff(i - d) != 0) | (np.diff(i) != 1)]))
-    return i[new], d[new], np.diff(np.concatenate([new, [len(d)]])) + seed - 1
+    i = iplace[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(d))]]
+    pair, d = pair[d], dplace[d]
+    by = np.lexsort((i, i - d, pair))
+    pair, d, i = pair[by], d[by], i[by]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(i - d) != 0) | (np.diff(i) != 1) | (np.diff(pair) != 0)])[: len(d)])
+    return pair[new], i[new], d[new], np.diff(np.append(new, len(d))) + seed - 1
+
+
+def _union(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The whole numbers in any of the ranges lo to hi, ascending."""
+    if not len(lo):
+        return lo
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], np.maximum.accumulate(hi[by])
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    lo, hi = lo[new], hi[np.append(new[1:], len(hi)) - 1]
+    n = hi - lo + 1
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def holds_passages(docs: list[np.ndarray], items: list[np.ndarray], least: int, share: float = 0.1) -> np.ndarray:
+    """For each pair whether some `least` or more consecutive words of the item, the first and the last unchanged, stand in doc with at most `share` of them edited; exact.
+
+    The edits of a passage leave a common run of `seed` words, and their number bounds how far it strays over the diagonals, so it lies within a
+    tile of one of two tilings of them. An edit distance within the tile, from each start in item, finds it. Tried are the starts from which
+    on the tile has as many shorter runs as a passage leaves whole, and which stand behind words that differ: unchanged words before a
+    passage, fewer than `least`, make a longer one with the same edits. All pairs are aligned side by side.
+    """
+    budget = _budget(least, share)
+    wide, seed = int(budget[-1]), min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
+    kinds = [n for n in range(least, len(budget)) if n == least or budget[n] > budget[n - 1]]
+    budget = np.floor(np.arange(len(budget) + least) * share + 1e-9).astype(np.int32)
+    most, width, step = len(budget) - 1, max(seed - 1, 1), wide + 1
+    leaves = [(max(n - width + 1 - width * int(budget[n]), 1), n - width + 1) for n in kinds]
+    (doc, do), (item, io) = _flat(docs), _flat(items)
+    pair, pi, pd, ps = _pieces(doc, do, item, io, width)
+    ok = np.zeros(len(docs), np.bool_)
+    ok[pair[ps >= least]] = True
+    pair, pi, pd, ps = (x[~ok[pair]] for x in (pair, pi, pd, ps))
+    m, long = ps - width + 1, ps >= seed
+    place = np.repeat(pi - np.cumsum(m) + m, m) + np.arange(m.sum())
+    first, last = np.maximum(pi + seed - most, io[pair])[long], np.minimum(pi + ps - seed, io[pair + 1] - least)[long]
+    fits = last >= first
+    for shift in (0, step):
+        tile = (pd - pi + shift) // (2 * step)
+        by = np.lexsort((tile, pair))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.concatenate([[True], (np.diff(pair[by]) != 0) | (np.diff(tile[by]) != 0)])[: len(by)]) - 1
+        base = np.zeros(len(by), np.int64)
+        base[rank] = tile * 2 * step - shift
+        hits = np.unique((np.repeat(rank, m) << 32) | place)
+        enough = np.zeros(len(by) + 1, np.bool_)  # tiles with a stretch that has as many
+        for need, span in leaves:
+            far = max(len(hits) - need + 1, 0)
+            enough[hits[:far][hits[need - 1 :] - hits[:far] < span] >> 32] = True
+        some = fits & enough[rank[long]]
+        tiles = rank[long][some] << 32
+        todo = _union(tiles | first[some], tiles | last[some])
+        here = np.searchsorted(hits, todo)
+        todo = todo[np.any([np.searchsorted(hits, todo + span) - here >= need for need, span in leaves], axis=0)]
+        at, diagonal = todo & 0xFFFFFFFF, base[todo >> 32]
+        of = np.searchsorted(io, at, "right") - 1
+        for lo in range(0, len(at), 8192):
+            part = lo + np.flatnonzero(~ok[of[lo : lo + 8192]])
+            if len(part):
+                ok[_aligned(doc, do, item, io, of[part], at[part], diagonal[part], 2 * step, least, budget, wide)] = True
+    return ok
 
 
 def holds_passage(doc: np.ndarray, item: np.ndarray, least: int, share: float = 0.1) -> bool:
-    """Whether some `least` or more consecutive words of item, the first and the last unchanged, stand in doc with at most `share` of them edited; exact.
+    """holds_passages of one pair."""
+    return bool(holds_passages([doc], [item], least, share)[0])
+
+
+def _aligned(doc, do, item, io, pair, start, diagonal, columns: int, least: int, budget: np.ndarray, wide: int) -> np.ndarray:
+    """The pairs of which a passage begins at one of the starts and stays within so many diagonals from the given one on.
 
-    The edits of a passage leave a common run of `seed` words, and their number bounds how far it strays from that run's
-    diagonal, so an edit distance banded around it, from each start in item, finds it. Unchanged words before a passage, fewer than
-    `least`, make a longer one with the same edits, so only starts behind words that differ are tried.
+    A passage that holds no shorter one has, at its k-th word of item, at most a share of k + least - 1 words of edits: else what follows,
+    if it is long enough, is a passage by itself.
     """
-    if len(item) < least:
-        return False
-    budget = _budget(least, share)
-    wide, seed = int(budget[-1]), min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
-    budget = np.floor(np.arange(len(budget) + least) * share + 1e-9).astype(np.int32)
-    most = len(budget) - 1
-    pi, pd, ps = _pieces(doc, item, seed)
-    if not len(pi) or ps.max() >= least:
-        return len(pi) > 0
-    # (start in item, diagonal) of every passage that holds a run of `seed` words of a piece
-    first, last = np.maximum(pi + seed - most, 0), np.minimum(pi + ps - seed, len(item) - least)
-    n = np.maximum(last - first + 1, 0)
-    start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    todo = np.unique(np.stack([start, np.repeat(pd - pi, n)], 1), axis=0)
-    return any(_aligned(doc, item, x[:, 0], x[:, 1], least, budget, wide) for x in np.array_split(todo, -(-len(todo) // 4096) or 1))
-
-
-def _aligned(doc: np.ndarray, item: np.ndarray, start: np.ndarray, diagonal: np.ndarray, least: int, budget: np.ndarray, wide: int) -> bool:
-    """Whether a passage begins at one of the starts and stays within the edit budget of its diagonal."""
-    t = np.arange(2 * wide + 1, dtype=np.int32)
-    at = (start + diagonal - wide)[:, None] + t  # the place in doc that column t of the band is at
-    row = np.zeros(at.shape, np.int32)
-    for n in range(1, len(budget)):
-        word = item[np.minimum(start + n - 1, len(item) - 1)][:, None]
-        same = (at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == word) & (start + n <= len(item))[:, None]
-        if n >= least and (same & (row <= budget[n])).any():
-            return True
-        if n == 1:
-            before = (at > 0) & (at <= len(doc)) & (start > 0)[:, None] & (doc[np.clip(at - 1, 0, len(doc) - 1)] == item[np.maximum(start - 1, 0)][:, None])
-            row = np.where(same & ~before, 0, wide + 1).astype(np.int32)
-        else:
-            step = row + ~same
-            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # a word of item is missing
-            row = step
-        row = np.minimum.accumulate(row - t, axis=1) + t  # doc has words more
-        live = (row.min(1) <= wide) & (start + n < len(item))
-        if not live.any():
-            return False
-        row, at, start = row[live], at[live] + 1, start[live]
-    return False
-
-
-def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", lang_col: str = "lang", least: int = 24, least_cjk: int = 60) -> DataFrame:
+    t = np.arange(columns, dtype=np.int32)
+    at = (start + diagonal)[:, None] + t  # the place in doc that column t of the band is at
+    lo, hi, end = do[pair][:, None], do[pair + 1][:, None], io[pair + 1]
+    inside = (at > lo) & (at <= hi) & (start > io[pair])[:, None]
+    before = inside & (doc[np.clip(at - 1, 0, len(doc) - 1)] == item[np.maximum(start - 1, 0)][:, None])
+    same = (at >= lo) & (at < hi) & (doc[np.clip(at, 0, len(doc) - 1)] == item[start][:, None])
+    row = np.where(same & ~before, 0, wide + 1).astype(np.int32)
+    row = np.minimum.accumulate(row - t, axis=1) + t
+    found = [pair[:0]]
+    for n in range(2, len(budget)):
+        most = min(int(budget[min(n + least - 2, len(budget) - 1)]), wide)
+        live = (row.min(1) <= most) & (start + n <= end)
+        if not live.all():
+            row, at, start, pair, lo, hi, end = (x[live] for x in (row, at, start, pair, lo, hi, end))
+        if not len(row):
+            break
+        at = at + 1
+        word = item[start + n - 1][:, None]
+        same = (at >= lo) & (at < hi) & (doc[np.clip(at, 0, len(doc) - 1)] == word)
+        if n >= least:
+            hit = (same & (row <= budget[n])).any(1)
+            if hit.any():
+                found.append(np.unique(pair[hit]))
+                left = ~np.isin(pair, found[-1])
+                row, at, start, pair, lo, hi, end, same = (x[left] for x in (row, at, start, pair, lo, hi, end, same))
+        step = row + ~same
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)  # a word of item is missing
+        row = np.minimum.accumulate(step - t, axis=1) + t  # doc has words more
+    return np.concatenate(found)
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text_col: str = "text", lang_col: str = "lang", least: int = 24, least_cjk: int = 60, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc, item): documents that hold a passage of `least` words (characters in zh and ja) of a test item.
 
-    Null ids, null and empty texts and shorter items give no row; rows that repeat an id count once. Terms of many items
-    start candidates as all others do, so items made of common phrases, and passages that many items share, are found too.
+    Null ids, null and empty texts and shorter items give no row; rows that repeat an id count once, of different texts under one item id the
+    first in order. Items made of common phrases, and passages that many items share, are found as all others. Each block of
+    the index is one pass over the documents' terms that stand in some item, not over the documents.
     """
     texts = lambda d, i: d.select(F.col(i).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null")
     item_type, doc_type = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]
-    src, span = cut(texts(items, item_id).dropDuplicates(["id"])), (least, least_cjk)
-    often = _item_terms(src).groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") > RARE)
-    post = _postings(src, item_type, bitmap.build(often, "term", 24))
-    size = F.broadcast(src.groupBy(F.coalesce(F.col("lang").isin(*CJK_LANGS), F.lit(False)).alias("cjk")).agg(F.count(F.lit(1)).alias("n")))  # two rows
-    # blocks of a common term are cut by its items' hash; its document frequency is then bounded below, its impact above
-    block = F.when(F.col("hot"), F.pmod(F.xxhash64("item"), F.lit(4096))).otherwise(F.lit(0))
-    one = F.struct("item", "ipos", "len")
-    blocks = post.groupBy("term", "cjk", "hot", block.alias("block")).agg(F.collect_list(one).alias("postings"), F.min("len").alias("shortest"), F.count(F.lit(1)).alias("df"))
-    blocks = blocks.join(size, "cjk")
-    norm = lambda n: (K1 + 1) / (1 + K1 * (1 - B + B * n / F.lit(MEAN_WORDS)))
-    df = F.when(F.col("hot"), F.lit(RARE + 1)).otherwise(F.least("df", F.lit(RARE)))
-    weight = lambda df: F.log(1 + (F.col("n") - F.least(df, F.col("n")) + 0.5) / (F.least(df, F.col("n")) + 0.5))
-    need = F.when(F.col("cjk"), min(_bounds(least_cjk, TERM_CJK[0]))[0]).otherwise(min(_bounds(least, TERM[0]))[0]) * 0.999
-    # no term has a smaller impact than one of RARE + 1 items, so as many terms as a passage keeps reach theta
-    blocks = blocks.withColumn("idf", weight(df)).withColumn("top", weight(F.lit(1))).withColumn("theta", need * weight(F.lit(RARE + 1)))
-    blocks = cut(blocks.select("term", "postings", "idf", (F.col("idf") * norm(F.col("shortest"))).alias("most"), "cjk", (F.col("top") * norm(F.col("shortest"))).alias("unit"), (F.col("theta") * norm(F.col("shortest"))).alias("least"), "theta"))
-    hits = cut(_hits(texts(docs, doc_id), doc_type, bitmap.build(blocks, "term"), span))
-    q = hits.select("doc", F.explode(F.arrays_zip("terms", "pos", "crowd")).alias("x")).select("doc", F.col("x.terms").alias("term"), F.col("x.pos").alias("dpos"), F.col("x.crowd").alias("crowd"))
-    # block-max: the block's best impact and at most a unit from each other term of the passage must reach the threshold
-    q = q.join(blocks, "term").where(F.col("most") + (F.col("crowd") - 1) * F.col("unit") >= F.col("least"))
-    q = q.select("doc", "cjk", "dpos", "idf", "theta", F.explode("postings").alias("p"))
-    at = F.shiftleft(F.col("dpos").cast("bigint"), 32) + F.col("p.ipos")
-    q = q.select("doc", F.col("p.item").alias("item"), "cjk", at.alias("at"), (F.col("idf") * norm(F.col("p.len"))).alias("impact"), (F.col("theta") * norm(F.col("p.len"))).alias("theta"))
-    cand = q.groupBy("doc", "item", "cjk").agg(F.sum("impact").alias("score"), F.min("theta").alias("theta"), F.collect_list("at").alias("at")).where("score >= theta")
-
-    def close(c: dict) -> dict:
-        cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
-        ok = np.zeros(len(cjk), np.bool_)
-        for kind in (False, True):
-            rows = np.flatnonzero(cjk == kind)
-            n, (width, _) = span[kind], TERM_CJK if kind else TERM
-            lists = [c["at"][int(i)].values.to_numpy() for i in rows]
-            ok[rows] = _close(lists, _bounds(n, width), int(_budget(n)[-1]))
-        return {k: c[k].take(np.flatnonzero(ok)) for k in ("doc", "item")}
-
-    cand = map_arrow(cand.select("doc", "item", "cjk", "at"), close, f"doc {doc_type}, item {item_type}").distinct()
-    pairs = cand.join(hits.select("doc", "dw"), "doc").join(_words(src, item_type), "item")
+    span = least, least_cjk
+    src = cut(texts(items, item_id).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("t")).select("id", "t.*"))
+    words = F.length("text") / F.when(F.col("lang").isin(*CJK_LANGS), 1).otherwise(5)  # about as many as there are
+    about = int(src.agg(F.sum(words)).first()[0] or 0)
+    blocks = -(-about // block_words)
+    bits = bitmap.build(_terms(src), "term", bitmap.log2_size(about))
+    hits = cut(_hits(texts(docs, doc_id), doc_type, bits, span))
+    src = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
+    found = [hits.select("doc", F.lit(None).cast(item_type).alias("item")).limit(0)]
+    index = cut(_index(src, item_type, span))
+    if not index.isEmpty():
+        found += [_candidates(hits, Shared(index, k), doc_type, item_type, span) for k in range(blocks)]
+    pairs = cut(functools.reduce(DataFrame.union, found).distinct())
+    key = lambda c: pairs.select(F.xxhash64(c).alias("k")).distinct()
+    size = bitmap.log2_size(pairs.count())
+    pairs = pairs.join(_words(texts(docs, doc_id), doc_type, "doc", bitmap.build(key("doc"), "k", size)), "doc")
+    pairs = pairs.join(_words(src.drop("block"), item_type, "item", bitmap.build(key("item"), "k", size)).drop("cjk"), "item")
 
     def verify(c: dict) -> dict:
-        a, b = ([x.values.to_numpy().view(np.uint64) for x in c[k]] for k in ("dw", "iw"))
-        ok = [holds_passage(x, y, least_cjk if k else least) for x, y, k in zip(a, b, c["cjk"].to_pylist())]
-        at = np.flatnonzero(np.asarray(ok, np.bool_))
-        return {"doc": c["doc"].take(at), "item": c["item"].take(at)}
+        a, b = ([x.values.to_numpy().view(np.uint64) for x in c[k]] for k in ("doc_words", "item_words"))
+        cjk, ok = np.asarray(c["cjk"].to_pylist(), np.bool_), np.zeros(len(a), np.bool_)
+        for kind in (False, True):
+            at = np.flatnonzero(cjk == kind)
+            ok[at] = holds_passages([a[i] for i in at], [b[i] for i in at], span[kind])
+        at = np.flatnonzero(ok)
+        return {"doc": c["doc"].take(pa.array(at)), "item": c["item"].take(pa.array(at))}
 
     return map_arrow(pairs, verify, f"doc {doc_type}, item {item_type}").distinct()
