@@ -32,9 +32,11 @@ from corpusloom.session import cut, ship
 #: Words, and characters in zh and ja, of a term.
 TERM, TERM_CJK = 6, 7
 #: A block of the index has about this many words at most (one item may have more).
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_500_000
 #: Bits of an item's signature for each of its terms.
 SIGN_BITS = 16
+#: Candidate terms that a worker looks at side by side.
+AT_ONCE = 1_000_000
 
 
 def _budget(least: int, share: float = 0.1) -> np.ndarray:
@@ -205,19 +207,18 @@ class Block:
     def __init__(self, t: pa.Table, kind: bool):
         t = t.filter(pa.array(np.asarray(t["cjk"].to_pylist(), np.bool_) == kind)).combine_chunks()
         part = lambda name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t[name].type)
-        self.ids, words = part("item"), part("words")
+        self.ids, words = part("item"), part("words")  # ids are bounded by the block's size
         width = TERM_CJK if kind else TERM
         g, self.go = runs(words.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), width)
         idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
         self.theta = part("theta").to_numpy()
         item = np.repeat(np.arange(len(self.ids)), np.diff(self.go)).astype(np.int32)
-        by = np.argsort(g, kind="stable")
-        self.terms, self.items, self.places = g[by], item[by], (by - self.go[item[by]]).astype(np.int32)  # all postings, by term
-        self.distinct, first = np.unique(self.terms, return_index=True)
-        self.idf, self.edge = idf[by][first], np.append(first, len(by))
+        by = np.argsort(g, kind="stable")  # postings by term, then by item
+        self.distinct, first = np.unique(g[by], return_index=True)
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number * len(self.ids) + item[by]
         keep = np.flatnonzero(pivot[by])
-        number = np.repeat(np.arange(len(first)), np.diff(self.edge))[keep]
-        self.pivot_items, self.pivot_edge = self.items[keep], np.searchsorted(number, np.arange(len(first) + 1))
+        self.pivot_items, self.pivot_edge = item[by][keep], np.searchsorted(number[keep], np.arange(len(first) + 1))
         # signatures: one slot of bits for each item, its bits set by its terms
         self.slots = np.maximum(SIGN_BITS * np.diff(self.go), 64)
         self.base = np.cumsum(self.slots) - self.slots
@@ -239,14 +240,14 @@ class Block:
         keep = _dense(pos[mine] + row * far, np.arange(len(offsets)) * far, bounds)
         k, row, term, pos = k[mine[keep]], row[keep], term[mine[keep]], pos[mine[keep]].astype(np.int64)
         pairs = [np.zeros(0, np.int64)]
-        for lo, hi in _runs_of(self.pivot_edge[k + 1] - self.pivot_edge[k], 4_000_000):
+        for lo, hi in _runs_of(self.pivot_edge[k + 1] - self.pivot_edge[k], AT_ONCE):
             n = self.pivot_edge[k[lo:hi] + 1] - self.pivot_edge[k[lo:hi]]
             at = np.repeat(self.pivot_edge[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
             pairs.append(np.unique(np.repeat(row[lo:hi], n) * len(self.ids) + self.pivot_items[at]))
         pairs = np.unique(np.concatenate(pairs))
         edge = np.searchsorted(row, np.arange(len(offsets)))
         out = [np.zeros(0, np.int64)]
-        for lo, hi in _runs_of(edge[pairs // len(self.ids) + 1] - edge[pairs // len(self.ids)], 4_000_000):
+        for lo, hi in _runs_of(edge[pairs // len(self.ids) + 1] - edge[pairs // len(self.ids)], AT_ONCE):
             out.append(pairs[lo:hi][self._reach(pairs[lo:hi], k, term, pos, edge, bounds, wide)])
         out = np.concatenate(out)
         return out // len(self.ids), out % len(self.ids)
@@ -261,12 +262,11 @@ class Block:
         pair, hit = pair[keep], hit[keep]
         for exact in (False, True):
             if exact:  # the places in the item of each shared term
-                a, b = self.edge[k[hit]], self.edge[k[hit] + 1]
-                m = b - a
+                key = k[hit] * len(self.ids) + item[pair]
+                a = np.searchsorted(self.postings, key)
+                m = np.searchsorted(self.postings, key, "right") - a
                 at = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
                 pair, hit = np.repeat(pair, m), np.repeat(hit, m)
-                keep = self.items[at] == item[pair]
-                pair, hit, at = pair[keep], hit[keep], at[keep]
             new = np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(hit) != 0)])[: len(pair)]
             score = np.bincount(pair[new], self.idf[k[hit[new]]], minlength=len(pairs))
             far = np.int64(1) << 32
