@@ -115,9 +115,9 @@ def lang_code(tag: Column | str) -> Column:
 
 
 def html_lang(html: Column | str) -> Column:
-    """The lang attribute of <html> in the first 4,000 characters; null without one."""
-    found = F.regexp_extract(F.substring(_c(html), 1, 4000), r"(?is)<html[^>]*\slang=[\"']?([A-Za-z_\-]+)", 1)
-    return F.when(found != "", found)
+    """The two or three letters of the html element's language in the first 4,000 characters, in lower case; null if there are none."""
+    tag = F.regexp_extract(F.substring(_c(html), 1, 4000), r"(?is)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1)
+    return F.nullif(F.lower(tag), F.lit(""))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:

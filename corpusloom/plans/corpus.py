@@ -69,19 +69,28 @@ def minimum_slice(spark, d):
 # --- taxonomy ---
 
 TERMS = "terms as (select case when label not like '(%' then label end as label, iptc_node_id as node, trim(unnest(string_split(section_names, '; '))) as term from mapping_table)"
-NORM = "trim(regexp_replace(regexp_replace(trim(lower(replace(replace({0}, '&amp;', '&'), '’', ''''))), '[\"“”«»()\\[\\]|/\\\\]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' -–—:·.,')"
-PLAIN = "regexp_matches({0}, '^[\\x20-\\x7eäöüßéèáíóñçàâêô]+$')"
+#: What NFKC and the library's lower case do to the names of the test tables, in SQL: full-width forms, ideographic and no-break spaces, final sigma.
+_FROM, _TO = ("".join(map(chr, codes)).replace("'", "''").replace("{", "{{").replace("}", "}}") for codes in ([*range(0xFF01, 0xFF5F), 0x3000, 0xA0], [*range(0x21, 0x7F), 0x20, 0x20]))
+LOW = f"lower(replace(translate(nfc_normalize({{0}}), '{_FROM}', '{_TO}'), 'İ', 'i̇'))"
+SIGMA = "regexp_replace(" + LOW + r", '(\p{{L}})σ([^\p{{L}}]|$)', '\1ς\2', 'g')"
+SIGNS = r"regexp_replace(replace(replace(trim(" + SIGMA + r"), '&amp;', '&'), '’', ''''), '[\"“”«»()\[\]|/\\]+', ' ', 'g')"
+NORM = "replace(trim(regexp_replace(" + SIGNS + r", '[ \t\n\r\f\v]+', ' ', 'g'), ' -–—:·.,'), chr(775), '')"
 
 
-@R.query(f"with {TERMS}, v as (select distinct value_id, {NORM.format('section_name')} as s from section_values where {PLAIN.format('section_name')}), k as (select term, min(label) as label from terms where label is not null group by 1), x as (select value_id, case when length(s) between 1 and 40 then s end as s, trim(regexp_replace(case when length(s) between 1 and 40 then s end, '{tn.AFFIX}', ' ', 'g')) as a from v) select value_id, coalesce(e.label, case when x.a <> x.s then f.label end) as label from x left join k e on e.term = x.s left join k f on f.term = x.a")
+@R.query(f"select distinct value_id, {NORM.format('section_name')} as name from section_values")
+def normalise_section(spark, d):
+    return table(spark, d, "section_values").select("value_id", tn.normalise("section_name").alias("name")).distinct()
+
+
+@R.query(f"with {TERMS}, v as (select distinct value_id, {NORM.format('section_name')} as s from section_values), k as (select term, min(label) as label from terms where label is not null group by 1), x as (select value_id, case when length(s) between 1 and 40 then s end as s, trim(regexp_replace(case when length(s) between 1 and 40 then s end, '{tn.AFFIX}', ' ', 'g')) as a from v) select value_id, coalesce(e.label, case when x.a <> x.s then f.label end) as label from x left join k e on e.term = x.s left join k f on f.term = x.a")
 def map_section(spark, d):
-    v = table(spark, d, "section_values").where(F.rlike("section_name", F.lit(r"^[\x20-\x7eäöüßéèáíóñçàâêô]+$"))).select("value_id", "section_name", "lang").dropDuplicates(["value_id"])
+    v = table(spark, d, "section_values").select("value_id", "section_name", "lang").dropDuplicates(["value_id"])
     return tn.map_sections(v, tn.term_table(table(spark, d, "mapping_table")), None, "section_name", "lang").select("value_id", "label")
 
 
-@R.query(f"with {TERMS} select 'mapped twice' as problem, term from terms where label is not null group by term having count(distinct label) > 1 union all select distinct 'ambiguous and mapped', term from terms where label is null and term in (select term from terms where label is not null)")
+@R.query(f"with {TERMS} select 'mapped twice' as problem, term from terms where label is not null group by term having count(distinct label) > 1 union all select distinct 'ambiguous and mapped', term from terms where label is null and term in (select term from terms where label is not null) union all select distinct 'not normalised', term from terms where term <> {NORM.format('term')}")
 def validate_terms(spark, d):
-    return tn.validate_terms(tn.term_table(table(spark, d, "mapping_table"))).where("problem <> 'not normalised'")
+    return tn.validate_terms(tn.term_table(table(spark, d, "mapping_table")))
 
 
 TREE = [(1, "sport", None), (2, "team sport", 1), (3, "football", 2), (4, "politics", None), (5, "election", 4)]
@@ -92,10 +101,10 @@ def tree_path(spark, d):
     return tn.tree_paths(spark.createDataFrame(TREE, "id bigint, name string, parent bigint"))
 
 
-@R.query("select 1::bigint as id, 'sport' as label, 'ok' as reason union all select 2, null, 'conflict' union all select 3, null, 'unmapped' union all select 4, null, 'reject' union all select 5, null, 'unmapped' union all select 6, 'sport', 'ok' union all select 7, null, 'unmapped' union all select 8, 'health', 'ok'")
+@R.query("select 1::bigint as id, 'sport' as label, 'section' as reason union all select 2, null, 'conflict' union all select 3, null, 'unmapped' union all select 4, null, 'rejected_term' union all select 5, null, 'unmapped' union all select 6, 'sport', 'section' union all select 7, null, 'unmapped' union all select 8, 'health', 'section' union all select 9, 'sport', 'breadcrumb'")
 def label_article(spark, d):
     """Fixed cases: section only, conflict, unmapped, reject term in the home crumb, null override, affix, empty, override."""
-    rows = [(1, ["sport"], [], "en"), (2, ["sport"], ["home", "trade unions"], "en"), (3, ["whatever"], ["sport"], "en"), (4, ["sport"], ["horoscope"], "en"), (5, ["sport"], [], "xx"), (6, ["latest sport"], ["home", "sport"], "en"), (7, [], [], "en"), (8, ["sport"], [], "yy")]
+    rows = [(1, ["sport"], [], "en"), (2, ["sport"], ["home", "trade unions"], "en"), (3, ["whatever"], ["sport"], "en"), (4, ["sport"], ["horoscope"], "en"), (5, ["sport"], [], "xx"), (6, ["latest sport"], ["home", "sport"], "en"), (7, [], [], "en"), (8, ["sport"], [], "yy"), (9, ["whatever"], ["home", "Ｓｐｏｒｔ"], "en")]
     a = spark.createDataFrame(rows, "id bigint, sections array<string>, breadcrumb array<string>, lang string")
     over = spark.createDataFrame([("xx", "sport", None), ("yy", "sport", "health")], "lang string, term string, label string")
     return tn.label_articles(a, tn.term_table(table(spark, d, "mapping_table")), "id", "sections", "breadcrumb", "lang", over)
@@ -127,11 +136,11 @@ def jsonld_articles(spark, d):
     return a.select("page_id", "headline", "publisher", "canonical", F.array_join("types", ",").alias("types"), F.array_join("breadcrumb", " / ").alias("breadcrumb"))
 
 
-@R.query(f"with {PAGES} select page_id, len(from_json(author, '[\"VARCHAR\"]')[1:2]) as authors, array_to_string(from_json(keywords, '[\"VARCHAR\"]')[1:3], '|') as keywords from p where json_valid(author) and json_valid(keywords)")
+@R.query(f"with {PAGES} select page_id, len(from_json(author, '[\"VARCHAR\"]')[1:5]) as authors, array_to_string(from_json(keywords, '[\"VARCHAR\"]')[1:30], '|') as keywords from p where json_valid(author) and json_valid(keywords)")
 def list_cap(spark, d):
     p = table(spark, d, "extracted_pages").dropDuplicates(["page_id"])
     cap = lambda c, n: F.slice(F.from_json(c, "array<string>"), 1, n)
-    return p.where("author is not null and keywords is not null").select("page_id", F.size(cap("author", 2)).alias("authors"), F.array_join(cap("keywords", 3), "|").alias("keywords"))
+    return p.where("author is not null and keywords is not null").select("page_id", F.size(cap("author", jl.MOST_AUTHORS)).alias("authors"), F.array_join(cap("keywords", jl.MOST_KEYWORDS), "|").alias("keywords"))
 
 
 @R.query("select distinct page_id, case when coalesce(n_words, 0) < 30 then coalesce(headline, '') else md5(text) end as body, case when coalesce(n_words, 0) < 30 then 'fallback' else text_source end as text_source from extracted_pages")
@@ -140,13 +149,13 @@ def main_text_fallback(spark, d):
     return table(spark, d, "extracted_pages").select("page_id", F.when(short, F.coalesce("headline", F.lit(""))).otherwise(F.md5("text")).alias("body"), F.when(short, F.lit("fallback")).otherwise(F.col("text_source")).alias("text_source")).distinct()
 
 
-@R.query(f"with {TERMS}, {PAGES}, s as (select page_id, lang, domain, is_free, n_words, text, {NORM.format('x.name')} as name from (select *, unnest(from_json(article_section, '[\"VARCHAR\"]')) as name from p where json_valid(article_section)) x where {PLAIN.format('x.name')}), k as (select term, min(label) as label from terms where label is not null group by 1), l as (select page_id, lang, domain, is_free, n_words, text, min(k.label) as label, count(distinct k.label) as n from s left join k on k.term = s.name group by all), f as (select * from l where n = 1 and coalesce(lower(is_free::varchar), '') not in ('false', '0') and n_words >= 75), c as (select * from f qualify row_number() over (partition by lang, label, domain order by md5('0|' || page_id), page_id) <= 5), t as (select * from c qualify row_number() over (partition by lang, label order by md5('0|' || page_id), page_id) <= 50) select label, count(*) as n, count(distinct domain) as sites, count(distinct lang) as langs from t group by 1")
+@R.query(f"with {TERMS}, {PAGES}, s as (select page_id, lang, domain, is_free, n_words, text, {NORM.format('x.name')} as name from (select *, unnest(from_json(article_section, '[\"VARCHAR\"]')) as name from p where json_valid(article_section)) x), k as (select term, min(label) as label from terms where label is not null group by 1), l as (select page_id, lang, domain, is_free, n_words, text, min(k.label) as label, count(distinct k.label) as n from s left join k on k.term = s.name group by all), f as (select * from l where n = 1 and coalesce(lower(is_free::varchar), '') not in ('false', '0') and n_words >= 75), c as (select * from f qualify row_number() over (partition by lang, label, domain order by md5('0|' || page_id), page_id) <= 5), t as (select * from c qualify row_number() over (partition by lang, label order by md5('0|' || page_id), page_id) <= 50) select label, count(*) as n, count(distinct domain) as sites, count(distinct lang) as langs from t group by 1")
 def silver_sample(spark, d):
     """Pages labelled by section, filtered and capped by site and cell."""
     p = table(spark, d, "extracted_pages").dropDuplicates(["page_id"])
-    s = p.select("page_id", "lang", "domain", "is_free", "n_words", F.explode(F.from_json("article_section", "array<string>")).alias("name")).where(F.rlike("name", F.lit(r"^[\x20-\x7eäöüßéèáíóñçàâêô]+$")))
+    s = p.select("page_id", "lang", "domain", "is_free", "n_words", F.explode(F.from_json("article_section", "array<string>")).alias("name"))
     known = tn.term_table(table(spark, d, "mapping_table")).where("label is not null").groupBy("term").agg(F.min("label").alias("label"))
-    m = s.withColumn("term", tn.normalise_ascii("name")).join(F.broadcast(known), "term", "left")
+    m = s.withColumn("term", tn.normalise("name")).join(F.broadcast(known), "term", "left")
     lab = m.groupBy("page_id", "lang", "domain", "is_free", "n_words").agg(F.min("label").alias("label"), F.count_distinct("label").alias("n"))
     f = lab.where((F.col("n") == 1) & ~F.coalesce(F.lower(F.col("is_free").cast("string")), F.lit("")).isin("false", "0") & (F.col("n_words") >= 75))
     t = sp.two_level_cap(f, ["lang", "label", "domain"], 5, ["lang", "label"], 50, "page_id")
@@ -162,9 +171,9 @@ def unified_sample(spark, d):
     return s.groupBy("pool", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("sites"))
 
 
-@R.query(f"with {TERMS}, v as (select distinct value_id, {NORM.format('section_name')} as s from section_values where {PLAIN.format('section_name')}), c as (select s, count(*) as uses, list(value_id order by value_id)[1:3] as ids from v group by 1) select t.label, t.term, coalesce(uses, 0) as uses, coalesce(array_to_string(ids, ','), '') as examples, t.term = lower(t.label) or t.term || 's' = lower(t.label) as auto_ok from terms t left join c on c.s = t.term where t.label is not null")
+@R.query(f"with {TERMS}, v as (select distinct value_id, {NORM.format('section_name')} as s from section_values), c as (select s, count(*) as uses, list(value_id order by value_id)[1:3] as ids from v group by 1) select t.label, t.term, coalesce(uses, 0) as uses, coalesce(array_to_string(ids, ','), '') as examples, t.term = lower(t.label) or t.term || 's' = lower(t.label) as auto_ok from terms t left join c on c.s = t.term where t.label is not null")
 def mapping_review(spark, d):
-    v = table(spark, d, "section_values").where(F.rlike("section_name", F.lit(r"^[\x20-\x7eäöüßéèáíóñçàâêô]+$"))).select("value_id", tn.normalise_ascii("section_name").alias("term")).distinct()
+    v = table(spark, d, "section_values").select("value_id", tn.normalise("section_name").alias("term")).distinct()
     r = _first3(v)
     t = tn.term_table(table(spark, d, "mapping_table")).where("label is not null")
     return t.join(r, "term", "left").select("label", "term", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("examples", F.lit("")).alias("examples"), ((F.col("term") == F.lower("label")) | (F.concat("term", F.lit("s")) == F.lower("label"))).alias("auto_ok"))

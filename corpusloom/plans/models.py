@@ -92,11 +92,19 @@ def class_offset_calibration(spark, d):
 HAS = "('0x' || substr(md5('has|' || token), 1, 6))::bigint % 10 > 0"
 
 
-@R.query(f"with tok as (select doc_id, unnest(case when len({TOKENS.format('text')}) > 0 then {TOKENS.format('text')} else [null] end) as token from documents where text is not null), x as (select doc_id, case when token is not null and {HAS} then (('0x' || substr(md5('0|' || token), 1, 6))::bigint % 1000) / 1000.0 end as z from tok) select doc_id, round(coalesce(avg(z), 0) + 0.25, 6) as first from x group by 1")
+WHOLE = "[" + ", ".join(f"(('0x' || substr(md5('{k}|' || token), 1, 6))::bigint % 1000)" for k in range(17)) + "]"
+
+
+@R.query(
+    f"with tok as (select doc_id, unnest({TOKENS.format('text')}) as token from documents where text is not null), t as (select token, {WHOLE} as row from (select distinct token from tok) where {HAS}), "
+    "x as (select doc_id, unnest(row) as z, unnest(range(17)) as pos from tok join t using (token)), m as (select doc_id, pos, sum(z)::double / count(*) + 0.25 as z from x group by 1, 2), "
+    "k as (select doc_id, pos, z from m qualify row_number() over (partition by doc_id order by z desc, pos) = 1) "
+    "select d.doc_id, coalesce(k.pos, 0)::int as label, round(coalesce(k.z, 0.25), 6) as best from documents d left join k using (doc_id) where text is not null"
+)
 def score_documents(spark, d):
-    """The table-scoring path: tokens, lookup, mean, bias."""
+    """The table-scoring path: tokens, lookup of 17 columns, mean, bias, label. The table's values are whole numbers, so that sums are exact."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     num = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(k), F.col("token"))), 1, 6), 16, 10).cast("bigint")
     t = docs.select(F.explode(tokens("text")).alias("token")).distinct().where(num("has|") % 10 > 0)
-    t = t.select("token", F.array(*[(num(f"{k}|") % 1000) / 1000.0 for k in range(3)]).alias("row"))
-    return scoring.score(docs, t, [0.25, 0.0, 0.0]).select("doc_id", r6(F.element_at("logits", 1)).alias("first"))
+    t = t.select("token", F.array(*[(num(f"{k}|") % 1000).cast("double") for k in range(17)]).alias("row"))
+    return scoring.score(docs, t, [0.25] * 17).select("doc_id", "label", r6(F.array_max("logits")).alias("best"))

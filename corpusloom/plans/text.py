@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import taxonomy
 from corpusloom.plans.base import LOWER, NO_SPACE, TOKENS, WORDS, Registry, r6, table
 
 R = Registry()
@@ -103,9 +102,9 @@ def lang_code(spark, d):
     return table(spark, d, "extracted_pages").groupBy(F.col("html_lang").alias("tag"), tx.lang_code("html_lang").alias("code")).agg(F.count_distinct("page_id").alias("n"))
 
 
-@R.query("with p as (select distinct page_id, '<!doctype html><HTML class=\"a\" lang=\"' || html_lang || '\"><head>' as html from extracted_pages) select page_id, nullif(regexp_extract(substr(html, 1, 4000), '(?is)<html[^>]*\\slang=[\"'']?([A-Za-z_\\-]+)', 1), '') as lang from p")
+@R.query("with p as (select distinct page_id, '<!doctype html><HTML class=\"a\" lang = \"' || html_lang || '\"><head>' as html from extracted_pages) select page_id, lower(nullif(regexp_extract(substr(html, 1, 4000), '(?is)<html[^>]*\\slang\\s*=\\s*[\"'']?([A-Za-z]{2,3})', 1), '')) as lang from p")
 def html_lang(spark, d):
-    p = table(spark, d, "extracted_pages").select("page_id", F.concat(F.lit('<!doctype html><HTML class="a" lang="'), "html_lang", F.lit('"><head>')).alias("html")).distinct()
+    p = table(spark, d, "extracted_pages").select("page_id", F.concat(F.lit('<!doctype html><HTML class="a" lang = "'), "html_lang", F.lit('"><head>')).alias("html")).distinct()
     return p.select("page_id", tx.html_lang("html").alias("lang"))
 
 
@@ -155,9 +154,3 @@ def min_group(spark, d):
 def lid_and_priority(spark, d):
     origin = F.col("label_origin")
     return table(spark, d, "unified_test").select("doc_id", ((~F.col("lid_checked")) | F.col("lang").isin("en", "de", "fr")).alias("passes"), F.when(F.startswith(origin, F.lit("human")), 1).when(F.endswith(origin, F.lit("category")), 2).otherwise(3).alias("priority")).distinct()
-
-
-@R.query("select value_id, trim(regexp_replace(regexp_replace(trim(lower(replace(replace(section_name, '&amp;', '&'), '’', ''''))), '[\"“”«»()\\[\\]|/\\\\]+', ' ', 'g'), ' +', ' ', 'g'), ' -–—:·.,') as name from (select distinct value_id, section_name from section_values) where regexp_matches(section_name, '^[a-zA-Z &;.,:/()-]+$')")
-def normalise_section(spark, d):
-    v = table(spark, d, "section_values").where(F.rlike("section_name", F.lit("^[a-zA-Z &;.,:/()-]+$"))).select("value_id", "section_name").distinct()
-    return v.select("value_id", taxonomy.normalise_ascii("section_name").alias("name"))

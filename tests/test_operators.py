@@ -159,11 +159,11 @@ def test_sections(spark):
     assert {r.problem for r in taxonomy.validate_terms(bad).collect()} == {"mapped twice", "ambiguous and mapped", "not normalised"}
 
 
-LD = '<script type="application/ld+json">{}</script>'
+LD = '<script type = "application/ld+json">{}</script>'
 
 
 def test_jsonld_cases(spark):
-    art = {"@type": ["Thing", "NewsArticle"], "headline": "A &amp; <b>B</b>", "mainEntityOfPage": {"@id": "http://c"}, "author": [{"name": "X"}, "Y"], "keywords": "a, b,,c"}
+    art = {"@type": ["Thing", "NewsArticle"], "headline": "A &amp; <b>B</b>", "mainEntityOfPage": {"@id": "http://c"}, "author": [{"name": "X"}, "Y"], "keywords": ["a, b", "", {"name": "c"}], "articleBody": ["one", "<i>two</i>"], "url": [None, {"@value": "http://c"}]}
     crumbs = {"@type": "BreadcrumbList", "itemListElement": [{"position": 2, "name": "two"}, {"position": "1", "item": {"name": "one"}}, {"name": "three"}]}
     poor = {"@type": "Article", "headline": "poor"}
     pages = [
@@ -178,8 +178,11 @@ def test_jsonld_cases(spark):
     got = {r.page_id: r for r in jsonld.extract_articles(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
     assert set(got) == {1, 2, 3}
     assert got[1].headline.split() == ["A", "&", "B"]
-    assert got[1].canonical == "http://c" and got[1].author == ["X", "Y"] and got[1].keywords == ["a", "b", "c"] and got[1].breadcrumb == ["one", "two", "three"]
+    assert got[1].canonical == "http://c" and got[1].author == ["X", "Y"] and got[1].keywords == ["a, b", "c"] and got[1].body == "one two" and got[1].breadcrumb == ["one", "two", "three"]
     assert got[2].headline == "tail" and got[2].canonical == "u2"
+    assert jsonld.crumb_names(jsonld.things('{"itemListElement": [{"position": 2, "name": "B"}, {"name": "A"}]}')[:1]) == ["A", "B"]
+    twins = '{"@type": "Article", "n": 1, "x": {"@type": "Article", "n": 2, "y": 3}, "z": {"@type": "Article", "n": 4, "y": 3}}'
+    assert [t.fields["n"] for t in jsonld.things(twins)] == [1, 2, 4]
     assert {r.domain for r in jsonld.excluded_domains(spark.createDataFrame([("www.a.b",), (None,)], "domain string")).collect()} == {"www.a.b", "a.b"}
 
 
@@ -258,3 +261,44 @@ def test_class_offsets_raise_macro_f1(spark):
     off = models.class_offsets(df, "y", "z", 2)
     f = lambda o: metrics.scores(metrics.confusion_counts(df.where("y is not null and z is not null").withColumn("p", vectors.argmax(F.zip_with("z", F.array(*map(F.lit, o)), lambda a, b: a + b))))).first().macro_f1
     assert f(off) > f([0.0, 0.0])
+
+
+def test_page_extraction(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    art = lambda **k: LD.format(json.dumps({"@type": "NewsArticle", "headline": "h", **k}))
+    page = '<html class="a" lang = "de-DE"><body><nav><a href="/">Home page</a></nav><article><p>Main &amp; text of the page.</p><p><a>all of it a link</a></p></article><p>Footer</p>{}</body></html>'
+    rows = [
+        (1, "http://a.x/1", page.format(art(articleBody=long, inLanguage="en-US", url="http://a.x/c"))),
+        (2, "http://a.x/2", page.format(art(articleBody="teaser"))),
+        (3, "http://a.x/c", page.format(art(articleBody=long))),
+        (4, "http://www.bad.x/4", page.format(art(articleBody=long))),
+        (5, "http://a.x/5", art(articleBody="")),
+        (6, None, None),
+    ]
+    got = {r.page_id: r for r in jsonld.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string"), spark.createDataFrame([("bad.x",)], "domain string")).collect()}
+    assert set(got) == {1, 2}
+    assert got[1].n_words == 40 and got[1].lang == "en" and got[1].html_lang == "de" and got[1].text_source == "articleBody"
+    assert got[2].text == "Main & text of the page." and got[2].text_source == "main text" and got[2].domain == "a.x"
+    assert jsonld.main_text(None) == "" and jsonld.main_text("<p>a<br>b</p>") == "a\nb"
+
+
+def test_deep_trees_and_nodes(spark):
+    chain = spark.createDataFrame([(i, str(i), i - 1 if i else None) for i in range(24)] + [(90, "x", 91), (91, "y", 90)], "id bigint, name string, parent bigint")
+    got = {r.id: r.depth for r in taxonomy.tree_paths(chain).collect()}
+    assert got == {i: i + 1 for i in range(24)}
+    terms = spark.createDataFrame([("a", "1", "t"), ("a", "2", "u"), ("b", "3", "v"), ("b", "4", "w")], "label string, node string, term string")
+    nodes = spark.createDataFrame([(1, "n", None, "top a", False), (2, "n", None, "top b", False), (3, "n", None, "top b", True)], "id bigint, name string, parent bigint, top_name string, retired boolean")
+    tops = spark.createDataFrame([("a", "top a"), ("b", "top b")], "label string, top_name string")
+    assert {tuple(r) for r in taxonomy.validate_terms(terms, nodes, tops).collect()} == {("node missing or retired", "3"), ("node missing or retired", "4"), ("node under another top", "2")}
+
+
+def test_scoring_by_matrix_and_by_join(spark):
+    from corpusloom.streaming import scoring
+
+    docs = spark.createDataFrame([(1, "a b a zz"), (2, ""), (3, None), (4, "zz")], "doc_id int, text string")
+    t = spark.createDataFrame([("a", [1.0, 3.0]), ("b", [4.0, 0.0]), (None, [9.0, 9.0])], "token string, row array<double>")
+    want = {1: (1, [2.5, 2.0]), 2: (0, [0.5, 0.0]), 3: (0, [0.5, 0.0]), 4: (0, [0.5, 0.0])}
+    want[1] = (0, [2.5, 2.0])
+    for most in (0, 10):
+        assert {r.doc_id: (r.label, r.logits) for r in scoring.score(docs, t, [0.5, 0.0], most_rows=most).collect()} == want
+    assert {r.label for r in scoring.score(docs, t.limit(0), [0.5, 0.0]).collect()} == {0}
