@@ -33,6 +33,8 @@ from corpusloom.session import cut, ship
 TERM, TERM_CJK = 6, 7
 #: A block of the index has about this many words at most (one item may have more).
 BLOCK_WORDS = 1_500_000
+#: Characters of the runs that texts in zh and ja are looked at once more by: of these an edit breaks few.
+FINE_CJK = 4
 #: Bits of an item's signature for each of its terms.
 SIGN_BITS = 16
 #: Candidate terms that a worker looks at side by side.
@@ -98,28 +100,29 @@ def _close_flat(pair: np.ndarray, at: np.ndarray, pairs: int, bounds: list[tuple
 
 
 def _grams(c: dict):
-    """(row, zh or ja, terms, their offsets) of each text with terms."""
+    """(row, zh or ja, terms, their offsets, words, their offsets) of each text with terms."""
     langs = c["lang"].to_pylist()
     h, o = word_hashes(c["text"].to_pylist(), langs)
     for kind, at in groups_by_width(langs, 0, 1):
-        yield kind, at, *runs(*take(h, o, at), TERM_CJK if kind else TERM)
+        words = take(h, o, at)
+        yield kind, at, *runs(*words, TERM_CJK if kind else TERM), *words
 
 
 def _terms(items: DataFrame) -> DataFrame:
     """(term): the terms of the items, each once in a batch."""
 
     def fn(c: dict) -> dict:
-        return {"term": np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for _, _, g, _ in _grams(c))])).view(np.int64)}
+        return {"term": np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in _grams(c))])).view(np.int64)}
 
     return map_arrow(items, fn, "term bigint")
 
 
 def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFrame:
-    """(doc, cjk, terms, pos): the terms that some item has, in stretches with as many of them as a passage keeps."""
+    """(doc, cjk, terms, pos, chars): the terms that some item has, in stretches with as many of them as a passage keeps; all characters in zh and ja."""
 
     def fn(c: dict) -> dict:
-        rows, kinds, terms, pos = [], [], [], []
-        for kind, at, g, go in _grams(c):
+        rows, kinds, terms, pos, chars = [], [], [], [], []
+        for kind, at, g, go, hw, ow in _grams(c):
             k = np.flatnonzero(bitmap.contains(bits.value, g))
             k = k[_dense(k, go, _bounds(least[kind], TERM_CJK if kind else TERM))]
             edge = np.searchsorted(k, go)
@@ -129,9 +132,10 @@ def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFr
                 kinds.append(bool(kind))
                 terms.append(g[x])
                 pos.append((x - go[i]).astype(np.int32))
-        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32)}
+                chars.append(hw[ow[i] : ow[i + 1]] if kind else hw[:0])
+        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32), "chars": _lists(chars)}
 
-    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>")
+    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>, chars array<bigint>")
 
 
 def _pivots(idf: np.ndarray, go: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +205,29 @@ def _index(items: DataFrame, id_type: str, least: tuple[int, int]) -> DataFrame:
     return map_arrow(weighed.repartition(spread, "item"), mark, schema + ", pivot array<boolean>, theta double")
 
 
+class Signature:
+    """For each item some bits for each of its terms, set by the term's hash: a term whose bit is not set is not in the item."""
+
+    def __init__(self, terms: np.ndarray, offsets: np.ndarray):
+        self.size = np.maximum(SIGN_BITS * np.diff(offsets), 64)
+        self.base = np.cumsum(self.size) - self.size
+        self.bits = np.zeros(int(self.size.sum()), np.bool_)
+        self.bits[self._at(terms, np.repeat(np.arange(len(self.size)), np.diff(offsets)))] = True
+
+    def _at(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return self.base[item] + ((term >> np.uint64(40)).astype(np.int64) % self.size[item])
+
+    def admits(self, terms: np.ndarray, offsets: np.ndarray, text: np.ndarray, item: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+        """Places of the pairs of a text and an item of which a stretch of the text has as many terms that the item may hold as a bound asks for."""
+        n = offsets[text + 1] - offsets[text]
+        pair, at = np.repeat(np.arange(len(text)), n), np.repeat(offsets[text] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        k = np.flatnonzero(self.may_hold(terms[at], item[pair]))
+        return _distinct(pair[k[_dense(k, np.append(0, np.cumsum(n)), bounds)]])
+
+    def may_hold(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return self.bits[self._at(term, item)]
+
+
 class Block:
     """A block of the index of items of one kind (zh and ja or not), in memory."""
 
@@ -209,7 +236,8 @@ class Block:
         part = lambda name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t[name].type)
         self.ids, words = part("item"), part("words")  # ids are bounded by the block's size
         width = TERM_CJK if kind else TERM
-        g, self.go = runs(words.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), width)
+        words = words.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        g, self.go = runs(*words, width)
         idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
         self.theta = part("theta").to_numpy()
         item = np.repeat(np.arange(len(self.ids)), np.diff(self.go)).astype(np.int32)
@@ -219,17 +247,12 @@ class Block:
         self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number * len(self.ids) + item[by]
         keep = np.flatnonzero(pivot[by])
         self.pivot_items, self.pivot_edge = item[by][keep], np.searchsorted(number[keep], np.arange(len(first) + 1))
-        # signatures: one slot of bits for each item, its bits set by its terms
-        self.slots = np.maximum(SIGN_BITS * np.diff(self.go), 64)
-        self.base = np.cumsum(self.slots) - self.slots
-        self.signs = np.zeros(int(self.slots.sum()), np.bool_)
-        self.signs[self._sign(g, item)] = True
-
-    def _sign(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
-        return self.base[item] + ((term >> np.uint64(40)).astype(np.int64) % self.slots[item])
+        self.sign = Signature(g, self.go)
+        self.fine_grams, self.fine_offsets = runs(*words, FINE_CJK) if kind else (None, None)
+        self.fine = Signature(self.fine_grams, self.fine_offsets) if kind else None
 
-    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]], wide: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order."""
+    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]], wide: int, chars: tuple, fine: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order, in zh and ja their characters too."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.distinct):
             return none
@@ -243,13 +266,24 @@ class Block:
         for lo, hi in _runs_of(self.pivot_edge[k + 1] - self.pivot_edge[k], AT_ONCE):
             n = self.pivot_edge[k[lo:hi] + 1] - self.pivot_edge[k[lo:hi]]
             at = np.repeat(self.pivot_edge[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            pairs.append(np.unique(np.repeat(row[lo:hi], n) * len(self.ids) + self.pivot_items[at]))
-        pairs = np.unique(np.concatenate(pairs))
+            pairs.append(_distinct(np.repeat(row[lo:hi], n) * len(self.ids) + self.pivot_items[at]))
+        pairs = _distinct(np.concatenate(pairs))
         edge = np.searchsorted(row, np.arange(len(offsets)))
         out = [np.zeros(0, np.int64)]
         for lo, hi in _runs_of(edge[pairs // len(self.ids) + 1] - edge[pairs // len(self.ids)], AT_ONCE):
             out.append(pairs[lo:hi][self._reach(pairs[lo:hi], k, term, pos, edge, bounds, wide)])
         out = np.concatenate(out)
+        if self.fine:
+            grams, off = runs(*chars, FINE_CJK)
+            row, left = out // len(self.ids), [out[:0]]
+            for lo, hi in _runs_of(off[row + 1] - off[row], AT_ONCE):
+                left.append(out[lo:hi][self.fine.admits(grams, off, row[lo:hi], out[lo:hi] % len(self.ids), fine)])
+            out = np.concatenate(left)
+            texts, left = Signature(grams, off), [out[:0]]
+            row, item = out // len(self.ids), out % len(self.ids)
+            for lo, hi in _runs_of(self.fine_offsets[item + 1] - self.fine_offsets[item], AT_ONCE):
+                left.append(out[lo:hi][texts.admits(self.fine_grams, self.fine_offsets, item[lo:hi], row[lo:hi], fine)])
+            out = np.concatenate(left)
         return out // len(self.ids), out % len(self.ids)
 
     def _reach(self, pairs: np.ndarray, k: np.ndarray, term: np.ndarray, pos: np.ndarray, edge: np.ndarray, bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
@@ -258,7 +292,7 @@ class Block:
         n = edge[row + 1] - edge[row]
         pair = np.repeat(np.arange(len(pairs)), n)
         hit = np.repeat(edge[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        keep = self.signs[self._sign(term[hit], item[pair])]
+        keep = self.sign.may_hold(term[hit], item[pair])
         pair, hit = pair[keep], hit[keep]
         for exact in (False, True):
             if exact:  # the places in the item of each shared term
@@ -282,6 +316,11 @@ class Block:
         return left[ok]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], np.diff(x) != 0])[: len(x)]]
+
+
 def _runs_of(sizes: np.ndarray, most: int):
     """(from, to) cuts of a list into runs whose sizes add up to `most` at most, or hold one element."""
     ends, lo = np.cumsum(sizes), 0
@@ -325,7 +364,9 @@ def _candidates(hits: DataFrame, block: Shared, doc_type: str, item_type: str, l
                 terms, pos = c["terms"].take(pa.array(at)), c["pos"].take(pa.array(at))
                 offsets = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
                 bounds = _bounds(least[kind], TERM_CJK if kind else TERM)
-                row, item = block.value[kind].candidates(terms.flatten().to_numpy().view(np.uint64), pos.flatten().to_numpy(), offsets, bounds, int(_budget(least[kind])[-1]))
+                chars = c["chars"].take(pa.array(at))
+                chars = chars.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(chars.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                row, item = block.value[kind].candidates(terms.flatten().to_numpy().view(np.uint64), pos.flatten().to_numpy(), offsets, bounds, int(_budget(least[kind])[-1]), chars, _bounds(least[kind], FINE_CJK) if kind else [])
                 docs.append(c["doc"].take(pa.array(at[row])))
                 items.append(block.value[kind].ids.take(pa.array(item)))
         return {"doc": pa.concat_arrays(docs), "item": pa.concat_arrays(items)}
@@ -362,8 +403,13 @@ def _pieces(doc: np.ndarray, do: np.ndarray, item: np.ndarray, io: np.ndarray, s
 
     gd, pair, dplace = keyed(doc, do)
     gi, _, iplace = keyed(item, io)
+    seen, slot = np.zeros(1 << 22, np.bool_), np.uint64(42)
+    seen[gi >> slot] = True
+    some = seen[gd >> slot]
+    gd, pair, dplace = gd[some], pair[some], dplace[some]
     order = np.argsort(gi, kind="stable")
-    lo, hi = np.searchsorted(gi[order], gd, "left"), np.searchsorted(gi[order], gd, "right")
+    gi = gi[order]
+    lo, hi = np.searchsorted(gi, gd, "left"), np.searchsorted(gi, gd, "right")
     n = hi - lo
     d = np.repeat(np.arange(len(gd)), n)
     i = iplace[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(d))]]
@@ -398,7 +444,7 @@ def holds_passages(docs: list[np.ndarray], items: list[np.ndarray], least: int,
     wide, seed = int(budget[-1]), min(-(-(n - e) // (e + 1)) for n, e in enumerate(budget.tolist()) if n >= least)
     kinds = [n for n in range(least, len(budget)) if n == least or budget[n] > budget[n - 1]]
     budget = np.floor(np.arange(len(budget) + least) * share + 1e-9).astype(np.int32)
-    most, width, step = len(budget) - 1, max(seed - 1, 1), wide + 1
+    most, width, step = len(budget) - 1, max(seed // 2, 1), wide + 1
     leaves = [(max(n - width + 1 - width * int(budget[n]), 1), n - width + 1) for n in kinds]
     (doc, do), (item, io) = _flat(docs), _flat(items)
     pair, pi, pd, ps = _pieces(doc, do, item, io, width)
@@ -416,7 +462,7 @@ def holds_passages(docs: list[np.ndarray], items: list[np.ndarray], least: int,
         rank[by] = np.cumsum(np.concatenate([[True], (np.diff(pair[by]) != 0) | (np.diff(tile[by]) != 0)])[: len(by)]) - 1
         base = np.zeros(len(by), np.int64)
         base[rank] = tile * 2 * step - shift
-        hits = np.unique((np.repeat(rank, m) << 32) | place)
+        hits = np.sort((np.repeat(rank, m) << 32) | place)  # a place that counts twice only lets more through
         enough = np.zeros(len(by) + 1, np.bool_)  # tiles with a stretch that has as many
         for need, span in leaves:
             far = max(len(hits) - need + 1, 0)
@@ -424,8 +470,8 @@ def holds_passages(docs: list[np.ndarray], items: list[np.ndarray], least: int,
         some = fits & enough[rank[long]]
         tiles = rank[long][some] << 32
         todo = _union(tiles | first[some], tiles | last[some])
-        here = np.searchsorted(hits, todo)
-        todo = todo[np.any([np.searchsorted(hits, todo + span) - here >= need for need, span in leaves], axis=0)]
+        here, padded = np.searchsorted(hits, todo), np.append(hits, np.full(max(leaves)[0], np.iinfo(np.int64).max))
+        todo = todo[np.any([padded[here + need - 1] < todo + span for need, span in leaves], axis=0)]
         at, diagonal = todo & 0xFFFFFFFF, base[todo >> 32]
         of = np.searchsorted(io, at, "right") - 1
         for lo in range(0, len(at), 8192):
