@@ -32,13 +32,13 @@ from corpusloom.session import cut, ship
 #: Words, and characters in zh and ja, of a term.
 TERM, TERM_CJK = 6, 7
 #: A block of the index has about this many words at most (one item may have more).
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 #: Characters of the runs that texts in zh and ja are looked at once more by: of these an edit breaks few.
 FINE_CJK = 4
 #: Bits of an item's signature for each of its terms.
 SIGN_BITS = 16
-#: Candidate terms that a worker looks at side by side.
-AT_ONCE = 1_000_000
+#: Candidate terms, and words of texts, that a worker looks at side by side: what fits into a core's cache.
+AT_ONCE, WORDS_AT_ONCE = 500_000, 120_000
 
 
 def _budget(least: int, share: float = 0.1) -> np.ndarray:
@@ -236,7 +236,8 @@ class Block:
         part = lambda name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t[name].type)
         self.ids, words = part("item"), part("words")  # ids are bounded by the block's size
         width = TERM_CJK if kind else TERM
-        words = words.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        words, to = _joined(words)
+        words = words.view(np.uint64), to
         g, self.go = runs(*words, width)
         idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
         self.theta = part("theta").to_numpy()
@@ -246,7 +247,7 @@ class Block:
         number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
         self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number * len(self.ids) + item[by]
         keep = np.flatnonzero(pivot[by])
-        self.pivot_items, self.pivot_edge = item[by][keep], np.searchsorted(number[keep], np.arange(len(first) + 1))
+        self.pivot_items, self.pivot_edge = item[by][keep].astype(np.int32), np.searchsorted(number[keep], np.arange(len(first) + 1))
         self.sign = Signature(g, self.go)
         self.fine_grams, self.fine_offsets = runs(*words, FINE_CJK) if kind else (None, None)
         self.fine = Signature(self.fine_grams, self.fine_offsets) if kind else None
@@ -352,23 +353,26 @@ class Shared:
         return (Block(self.sent.value, False), Block(self.sent.value, True)) if self.sent else _load(self.path, self.number)
 
 
+def _joined(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 def _candidates(hits: DataFrame, block: Shared, doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
     """(doc, item) of the pairs of texts and items of a block that may share a passage."""
 
     def fn(c: dict) -> dict:
         cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
         docs, items = [c["doc"].slice(0, 0)], [block.value[0].ids.slice(0, 0)]
+        many = c["terms"].value_lengths().to_numpy(zero_copy_only=False) + c["chars"].value_lengths().to_numpy(zero_copy_only=False)
         for kind in (False, True):
-            at = np.flatnonzero(cjk == kind)
-            if len(at) and len(block.value[kind].ids):
-                terms, pos = c["terms"].take(pa.array(at)), c["pos"].take(pa.array(at))
-                offsets = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-                bounds = _bounds(least[kind], TERM_CJK if kind else TERM)
-                chars = c["chars"].take(pa.array(at))
-                chars = chars.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(chars.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-                row, item = block.value[kind].candidates(terms.flatten().to_numpy().view(np.uint64), pos.flatten().to_numpy(), offsets, bounds, int(_budget(least[kind])[-1]), chars, _bounds(least[kind], FINE_CJK) if kind else [])
+            own, of = block.value[kind], np.flatnonzero(cjk == kind)
+            bounds, fine = _bounds(least[kind], TERM_CJK if kind else TERM), _bounds(least[kind], FINE_CJK) if kind else []
+            for lo, hi in _runs_of(many[of].astype(np.int64), WORDS_AT_ONCE) if len(own.ids) else ():
+                at = of[lo:hi]
+                (terms, to), (pos, _), chars = (_joined(c[k].take(pa.array(at))) for k in ("terms", "pos", "chars"))
+                row, item = own.candidates(terms.view(np.uint64), pos, to, bounds, int(_budget(least[kind])[-1]), (chars[0].view(np.uint64), chars[1]), fine)
                 docs.append(c["doc"].take(pa.array(at[row])))
-                items.append(block.value[kind].ids.take(pa.array(item)))
+                items.append(own.ids.take(pa.array(item)))
         return {"doc": pa.concat_arrays(docs), "item": pa.concat_arrays(items)}
 
     return map_arrow(hits, fn, f"doc {doc_type}, item {item_type}")
@@ -555,7 +559,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
         cjk, ok = np.asarray(c["cjk"].to_pylist(), np.bool_), np.zeros(len(a), np.bool_)
         for kind in (False, True):
             at = np.flatnonzero(cjk == kind)
-            ok[at] = holds_passages([a[i] for i in at], [b[i] for i in at], span[kind])
+            for lo, hi in _runs_of(np.array([len(a[i]) + len(b[i]) for i in at], np.int64), WORDS_AT_ONCE):
+                ok[at[lo:hi]] = holds_passages([a[i] for i in at[lo:hi]], [b[i] for i in at[lo:hi]], span[kind])
         at = np.flatnonzero(ok)
         return {"doc": c["doc"].take(pa.array(at)), "item": c["item"].take(pa.array(at))}
 
