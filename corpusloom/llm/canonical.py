@@ -2,7 +2,8 @@
 
 Every form of the reference list is stored under each string got by deleting up to its distance bound of characters
 (SymSpell). A value's own deletes meet it there if their Damerau-Levenshtein distance is within the bound; candidates
-are ranked by weighted distance, then by the frequency of the entry. The dictionary is broadcast after a check of its size.
+are ranked by weighted distance, then by the frequency of the entry. As words may stand in any order, what is indexed are
+the first letters of a name in sorted order, which no order of its words changes. The dictionary is broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,9 +12,8 @@ import functools
 import html
 import itertools
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,10 @@ from corpusloom.llm.arrowmap import map_arrow
 from corpusloom.session import ship
 
 UNMATCHED = "(unmatched)"
-#: Fixed value: the most reference forms the driver takes; a larger list is refused rather than broadcast.
+#: The forms of a block of the dictionary; a longer list is looked up block by block.
 MOST_FORMS = 20_000
+#: Sorted letters of a form that its deletes are made of.
+PREFIX = 10
 PER_SLIP = 7
 #: Words that join two names and words that name no subject.
 JOINERS = frozenset("and e ed y et und ve dan en i και и及 和 与 與 と the of".split())
@@ -85,18 +87,12 @@ def weighted_distance(a: str, b: str, bound: int) -> tuple[int, float]:
     return one[-1] if one[-1][0] <= bound else (bound + 1, float("inf"))
 
 
-def _letters(text: str) -> np.ndarray:
-    h = np.zeros(64, np.int16)
-    for c in text:
-        h[ord(c) * 2654435761 % 4294967296 >> 26] += 1
-    return h
-
-
 class Dictionary:
     """Symmetric-delete index of (form, entry, frequency); an entry of None marks a form that must not be mapped.
 
     A form is stored without spaces, with and without its joining words; its bound is one slip for every `per_slip` of its characters
-    as written. A letter-count bound, the same for every word order, skips names no form can be near to.
+    as written. Within k slips, at most k letters of either name are not in the other, whatever the order of the words, so the sorted letters of both, or any
+    prefix of them, meet in a string with at most k deleted from each.
     """
 
     def __init__(self, forms: list[tuple[str, str | None, int]], per_slip: int = PER_SLIP):
@@ -107,60 +103,87 @@ class Dictionary:
             for text in dict.fromkeys(("".join(words), "".join(_plain(words)))):
                 if text:
                     bound = len(form.strip()) // per_slip
-                    for d in deletes(text, bound):
+                    for d in deletes("".join(sorted(text))[:PREFIX], bound):
                         self.index[d].append(len(self.forms))
                     self.forms.append((text, entry, often, bound))
+        self.most = max((f[3] for f in self.forms), default=0)
         self.exact: dict[str, tuple] = {}
         for text, entry, often, _ in self.forms:
-            found = (0, 0.0, -often, entry is not None, entry or "")
+            found = (0.0, 0, -often, entry is not None, entry or "")
             self.exact[text] = min(found, self.exact.get(text, found))
-        self.letters = np.array([_letters(f[0]) for f in self.forms]).reshape(-1, 64)
-        self.bounds = np.array([f[3] for f in self.forms], np.int16)
+        self.letters = [Counter(f[0]) for f in self.forms]
         self.known = functools.lru_cache(200_000)(self._lookup)
 
-    def _near(self, text: str) -> set[int]:
+    def _near(self, text: str) -> list[int]:
         """Forms that some order of this text's words may be within the bound of."""
-        d = self.letters - _letters(text)
-        far = np.maximum(np.where(d > 0, d, 0).sum(1), np.where(d < 0, -d, 0).sum(1))
-        return set(np.flatnonzero(far <= self.bounds + (self.bounds > 0)).tolist())
+        own, out = Counter(text), []
+        for k in {k for d in deletes("".join(sorted(text))[:PREFIX], self.most) for k in self.index.get(d, ())}:
+            form, _, _, bound = self.forms[k]
+            if abs(len(form) - len(text)) <= bound and (own - self.letters[k]).total() <= bound and (self.letters[k] - own).total() <= bound:
+                out.append(k)
+        return out
 
-    def _candidates(self, text: str, near: set[int]) -> list[tuple]:
-        most = max(self.forms[k][3] for k in near)
+    def _candidates(self, text: str, near: list[int]) -> list[tuple]:
         out = []
-        for k in {k for d in deletes(text, most) for k in self.index.get(d, ())} & near:
+        for k in near:
             form, entry, often, bound = self.forms[k]
             edits, weight = weighted_distance(text, form, bound)
             if edits <= bound:
-                out.append((edits, weight, -often, entry is not None, entry or ""))
+                out.append((weight, edits, -often, entry is not None, entry or ""))
         return out
 
     def _word_sets(self, name: str) -> list[tuple[str, ...]]:
         """The words with any of the words that name no subject left out, each with and without joining words."""
         words = normal_words(name)
-        generic = [k for k, w in enumerate(words) if w in GENERIC][:5]
+        generic = [k for k, w in enumerate(words) if w in GENERIC]
+        if len(generic) > MOST_ORDERED:  # many generic words: none, any one, or all of them are left out
+            few = [(), *((k,) for k in generic), tuple(generic)]
+        else:
+            few = [c for n in range(len(generic) + 1) for c in itertools.combinations(generic, n)]
         out: dict[tuple[str, ...], None] = {}
-        for n in range(len(generic) + 1):
-            for gone in itertools.combinations(generic, n):
-                kept = tuple(w for k, w in enumerate(words) if k not in gone)
-                if kept:
-                    out[kept] = out[_plain(kept)] = None
+        for gone in few:
+            kept = tuple(w for k, w in enumerate(words) if k not in gone)
+            if kept:
+                out[kept] = out[_plain(kept)] = None
         return list(out)
 
-    def _lookup(self, name: str | None) -> str | None:
+    def _lookup(self, name: str | None) -> tuple | None:
         tries = []
         for words in self._word_sets(name) if name else ():
-            near = self._near("".join(words)) if len(self.forms) else None
+            near = self._near("".join(words))
             if near:
-                orders = {"".join(p) for p in itertools.permutations(words)} if len(words) <= 5 else {"".join(words), "".join(sorted(words))}
-                tries.append((orders, near))
-        best = min((self.exact[t] for orders, _ in tries for t in orders if t in self.exact), default=None)  # nothing is closer
+                tries.append((words, near))
+        best = min((self.exact[t] for words, near in tries for t in orders(words, [self.forms[k][0] for k in near]) if t in self.exact), default=None)  # nothing is closer
         if best is None:
-            best = min((c for orders, near in tries for t in orders for c in self._candidates(t, near)), default=None)
-        return (best[4] or None) if best else None
+            best = min((c for words, near in tries for t in orders(words, [self.forms[k][0] for k in near]) for c in self._candidates(t, near)), default=None)
+        return best
+
+    def rank(self, name: str | None) -> tuple | None:
+        """(weighted edits, edits, minus frequency, whether it may be mapped, entry) of the closest form; None for no match."""
+        return self.known(name)
 
     def lookup(self, name: str | None) -> str | None:
         """The closest entry; None for no match, a null or blank name, or a form that must not be mapped."""
-        return self.known(name)
+        best = self.known(name)
+        return (best[4] or None) if best else None
+
+
+#: Names of up to so many words are tried in all orders.
+MOST_ORDERED = 5
+
+
+def orders(words: tuple[str, ...], forms: list[str]) -> set[str]:
+    """The words joined in the orders that are tried: all of a few; of more their own, the sorted one, and the orders their places in a form suggest."""
+    if len(words) <= MOST_ORDERED:
+        return {"".join(p) for p in itertools.permutations(words)}
+    out = {"".join(words), "".join(sorted(words))}
+    for f in forms:
+        at = [f.find(w) for w in words]
+        for w, k in zip(words, range(len(words))):  # a misspelt word goes where the form has room for it
+            if at[k] < 0:
+                at[k] = next((f.find(w[j : j + 3]) - j for j in range(max(len(w) - 2, 0)) if w[j : j + 3] in f), len(f))
+        out.add("".join(w for _, w in sorted(zip(at, words), key=lambda x: x[0])))
+    return out
 
 
 def reference_forms(mapping: DataFrame, glosses: DataFrame) -> DataFrame:
@@ -174,31 +197,40 @@ def reference_forms(mapping: DataFrame, glosses: DataFrame) -> DataFrame:
     return counted.select(F.col("entry").alias("form"), F.col("to").alias("entry"), "often").union(second.join(counted, "entry").select("form", "to", "often"))
 
 
-def map_values(values: DataFrame, forms: DataFrame, id_col: str, name_col: str, per_slip: int = PER_SLIP) -> DataFrame:
+def map_values(values: DataFrame, forms: DataFrame, id_col: str, name_col: str, per_slip: int = PER_SLIP, most_forms: int = MOST_FORMS) -> DataFrame:
     """(id_col, entry) of each distinct id whose name is neither null nor blank; '(unmatched)' where nothing fits.
 
     One slip for every `per_slip` characters of the form is forgiven. An id with several names takes the first of
     them in order; a null id gives no row. Equal names are looked up once. An empty reference matches nothing.
     """
-    size = forms.limit(MOST_FORMS + 1).collect()
-    if len(size) > MOST_FORMS:
-        raise ValueError(f"more than {MOST_FORMS} reference forms: use a join on the deletes instead of a broadcast")
     spark = values.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(sorted(((r[0], r[1], r[2]) for r in size), key=repr))
     kind = dict(values.dtypes)[id_col]
     blank = F.regexp_replace(F.col(name_col), r"(?U)[\s​﻿]+", "") == ""
     ids = values.where(F.col(name_col).isNotNull() & ~blank & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(name_col).alias("name"))
+    blocks = max(-(-forms.count() // most_forms), 1)
+    forms = forms.select("form", "entry", "often", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block"))
+
+    def looked_up(block: int) -> DataFrame:
+        rows = forms.where(F.col("block") == block).collect()  # about MOST_FORMS
+        sent = spark.sparkContext.broadcast(sorted(((r[0], r[1], r[2]) for r in rows), key=repr))
+
+        def fn(c: dict) -> dict:
+            found = [_dictionary(sent, per_slip).rank(x) for x in c["name"].to_pylist()]
+            columns = {k: pa.array([None if r is None else r[i] for r in found], t) for i, (k, t) in enumerate((("weight", pa.float64()), ("edits", pa.int32()), ("rare", pa.int64()), ("mapped", pa.bool_()), ("entry", pa.string())))}
+            return {"name": c["name"]} | columns
 
-    def fn(c: dict) -> dict:
-        d = _dictionary(sent, per_slip)
-        return {"name": c["name"], "entry": pa.array([d.lookup(x) or UNMATCHED for x in c["name"].to_pylist()], pa.string())}
+        return map_arrow(names, fn, "name string, weight double, edits int, rare bigint, mapped boolean, entry string")
 
     # few bytes but much work a row: spread by a number of partitions of its own, so that the planner neither takes the
     # step for a repetition of the shuffle before nor merges its partitions
     spread = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
-    names = map_arrow(ids.select("name").distinct().repartition(spread, "name"), fn, "name string, entry string")
-    return ids.join(names, "name").select(F.col("id").cast(kind).alias(id_col), "entry")
+    names = ids.select("name").distinct().repartition(spread, "name")
+    best = functools.reduce(DataFrame.union, map(looked_up, range(blocks)))
+    if blocks > 1:
+        best = best.where("weight is not null").groupBy("name").agg(F.min(F.struct("weight", "edits", "rare", "mapped", "entry")).alias("b")).select("name", "b.*")
+    entry = F.coalesce(F.nullif("entry", F.lit("")), F.lit(UNMATCHED))
+    return ids.join(best.select("name", "entry"), "name", "left").select(F.col("id").cast(kind).alias(id_col), entry.alias("entry"))
 
 
 _built: dict[tuple, Dictionary] = {}
