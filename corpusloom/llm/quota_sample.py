@@ -62,6 +62,7 @@ def allocate(targets: list[tuple[str, int, int]], counts: dict[str, int], n: int
     weight = {c: permille or 0 for c, permille, _ in targets}
     have = {c: counts.get(c, 0) for c in quota}
     take = {c: min(quota[c], have[c]) for c in quota}
+    own = dict(take)
     path = {c: tree.get(c, ()) for c in quota}
     got: dict[str, dict[int, int]] = {c: {} for c in quota}
     unmet = {c: quota[c] - take[c] for c in quota}
@@ -87,7 +88,7 @@ def allocate(targets: list[tuple[str, int, int]], counts: dict[str, int], n: int
                 unmet[c] -= used
                 left -= used
     return [
-        {"category": c, "available": have[c], "quota": quota[c], "taken": take[c], "from_siblings": got[c].get(0, 0), "from_cousins": sum(v for k, v in got[c].items() if k), "unplaced": unmet[c], "short": have[c] < quota[c]}
+        {"category": c, "available": have[c], "quota": quota[c], "taken": take[c], "from_siblings": got[c].get(0, 0), "from_cousins": sum(v for k, v in got[c].items() if k), "unplaced": unmet[c], "short": own[c] < quota[c]}
         for c in quota
     ]
 
