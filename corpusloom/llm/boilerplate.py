@@ -11,7 +11,6 @@ add up in any order, the alignment is one distributed aggregation, whatever shar
 
 from __future__ import annotations
 
-import functools
 import functools
 import html
 import itertools
@@ -20,7 +19,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +34,10 @@ LEAD_WORDS = 8
 WORD_SHARE, WORD_SHARE_COARSE = 0.004, 0.03
 LEAST_PAGES, LONG_SHARE = 3, 0.0005
 FRAME_SHARE, HOST_PAGES, HOST_SHARE, SHAPE_SHARE = 0.6, 8, 0.15, 0.02
+#: Hosts' wrappers of up to so many tokens in all are sent to the workers; more are joined by host.
+MOST_OWN = 1_000_000
+#: Lines whose readings a worker keeps: lines of frames recur.
+CACHED = 1 << 16
 #: Old language codes.
 LEGACY = {"in": "id", "iw": "he", "ji": "yi", "mo": "ro", "sh": "sr"}
 #: Marks of advertising and interruptions, which stand inside articles and so cannot be told by place.
@@ -66,6 +69,12 @@ class _All:
 _ALL = _All()
 
 
+def key(token: str) -> int:
+    """The signed 64-bit hash that stands for a token outside this process."""
+    return xxhash.xxh3_64_intdigest(token.encode()) - (1 << 63)
+
+
+@functools.lru_cache(CACHED)
 def plain(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", html.unescape(text or "")).split()).casefold()
 
@@ -85,17 +94,22 @@ def _render(parts: list[str], low: list[str], common) -> str:
     return _SLOTS.sub("◇", " ".join("".join(parts).split())).casefold()
 
 
-def token(line: str, common: frozenset | set) -> str:
+@functools.lru_cache(CACHED)
+def token(line: str, common: frozenset | _All) -> str:
     """The line with rare words and numbers as slots; runs of slots are one."""
     return _render(*_cut(line), common)
 
 
-def readings(line: str, known: tuple) -> tuple[str, str]:
-    """The line's token in the fine and, marked, in the coarse reading."""
+@functools.lru_cache(CACHED)
+def readings(line: str, known: tuple) -> tuple[int, int, str]:
+    """The keys of the line's token in the fine and, marked, in the coarse reading; "=" if the fine one has no slot, else "~", with its first word."""
     parts, low = _cut(line)
-    return _render(parts, low, known[0]), "~ " + _render(parts, low, known[1])
+    fine = _render(list(parts), low, known[0])
+    first = fine.partition(" ")[0]
+    return key(fine), key("~ " + _render(parts, low, known[1])), ("~" if "◇" in fine else "=") + (first if first != "◇" else "")
 
 
+@functools.lru_cache(CACHED)
 def shape(line: str, common: frozenset | set) -> str:
     """The order of slots, known words, numbers and signs of a line."""
     s = _WORD.sub("w", token(line, common).replace("◇", "\0"))
@@ -162,8 +176,9 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     pages to infer a wrapper from keeps all lines but tags, rights and marks of advertising and those above its headline.
     """
     spark, kind = pages.sparkSession, dict(pages.dtypes)[id_col]
-    src = pages.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("id"), "lang", F.col("domain").alias("host"), "headline", "text").dropDuplicates(["id"])
-    src = cut(src)
+    src = pages.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("id"), "lang", F.col("domain").alias("host"), "headline", "text")
+    one = src.groupBy("id").agg(F.min(F.struct("text", "lang", "host", "headline")).alias("r"))
+    src = cut(one.select("id", "r.lang", "r.host", "r.headline", "r.text"))
 
     def words(c: dict) -> dict:
         n: Counter = Counter()
@@ -186,16 +201,16 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         n: Counter = Counter()
         for _, lang, _, head, lines in _rows(c):
             known = common(lang)
-            n.update({(lang, t, "l") for x in lines if _is_long(x) for t in readings(x, known)})
+            n.update({(lang, t, None) for x in lines if _is_long(x) for t in readings(x, known)[:2]})
             if head and head.strip():
-                n[lang, shape(head, known[0]), "s"] += 1
-        return _counted(n, ["lang", "token", "what"])
+                n[lang, 0, shape(head, known[0])] += 1
+        return _counted(n, ["lang", "token", "shape"])
 
-    seen = map_arrow(src, long_lines, "lang string, token string, what string, n bigint").groupBy("lang", "token", "what").agg(F.sum("n").alias("n")).join(F.broadcast(total), "lang")
-    least = F.greatest(F.lit(LEAST_PAGES), F.col("pages") * F.when(F.col("what") == "l", LONG_SHARE).otherwise(SHAPE_SHARE))
-    seen = seen.where(F.col("n") >= least).select("lang", "token", "what").collect()  # at most lines a page / LONG_SHARE a language
-    frame_long = _known(spark, ((r.lang, r.token) for r in seen if r.what == "l"))
-    shapes = _known(spark, ((r.lang, r.token) for r in seen if r.what == "s" and re.search(r"[^\w\s◇]", r.token)))
+    seen = map_arrow(src, long_lines, "lang string, token bigint, shape string, n bigint").groupBy("lang", "token", "shape").agg(F.sum("n").alias("n")).join(F.broadcast(total), "lang")
+    least = F.greatest(F.lit(LEAST_PAGES), F.col("pages") * F.when(F.col("shape").isNull(), LONG_SHARE).otherwise(SHAPE_SHARE))
+    seen = seen.where(F.col("n") >= least).select("lang", "token", "shape").collect()  # at most lines a page / LONG_SHARE a language
+    frame_long = _known(spark, ((r.lang, r.token) for r in seen if r["shape"] is None))
+    shapes = _known(spark, ((r.lang, r["shape"]) for r in seen if r["shape"] and re.search(r"[^\w\s◇]", r["shape"])))
 
     def places(c: dict) -> dict:
         n: Counter = Counter()
@@ -203,33 +218,42 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
             known = common(lang)
             tokens = [readings(x, known) for x in lines]
             z = zones(lines, tokens, headline_at(lines, head), frame_long.value.get(lang, frozenset()))
-            n.update({(lang, host, t, p) for both, p in zip(tokens, z) if p in "HMT" for t in both})
-        return _counted(n, ["lang", "host", "token", "place"])
+            n.update({(lang, host, t, m, p) for (a, b, mark), p in zip(tokens, z) if p in "HMT" for t, m in ((a, mark), (b, None))})
+        return _counted(n, ["lang", "host", "token", "mark", "place"])
 
-    at = cut(map_arrow(src, places, "lang string, host string, token string, place string, n bigint").groupBy("lang", "host", "token").pivot("place", ["H", "M", "T"]).agg(F.sum("n")).na.fill(0))
+    at = map_arrow(src, places, "lang string, host string, token bigint, mark string, place string, n bigint")
+    at = cut(at.groupBy("lang", "host", "token", "mark").agg(*[F.sum(F.when(F.col("place") == z, F.col("n")).otherwise(0)).alias(z) for z in "HMT"]))
     frame = (F.col("H") + F.col("T")) >= FRAME_SHARE * (F.col("H") + F.col("M") + F.col("T"))
     often = F.col("H") + F.col("T")
-    by_lang = at.groupBy("lang", "token").agg(*[F.sum(z).alias(z) for z in "HMT"], F.count_distinct("host").alias("hosts")).join(F.broadcast(total), "lang")
-    by_lang = by_lang.where(frame & (often >= F.greatest(F.lit(4), F.col("pages") * LONG_SHARE)) & (F.col("hosts") > 1)).select("lang", "token")
+    by_lang = at.groupBy("lang", "token", "mark").agg(*[F.sum(z).alias(z) for z in "HMT"], F.count_distinct("host").alias("hosts")).join(F.broadcast(total), "lang")
+    by_lang = by_lang.where(frame & (often >= F.greatest(F.lit(4), F.col("pages") * LONG_SHARE)) & (F.col("hosts") > 1)).select("lang", "token", "mark")
     rows = by_lang.collect()  # at most lines a page / LONG_SHARE a language
     wrapper = _known(spark, ((r.lang, r.token) for r in rows))
-    literal = _known(spark, (("", r.token) for r in rows if "◇" not in r.token and r.token[:2] != "~ "))
+
+    starts = _known(spark, ((r.lang, r.mark[1:]) for r in rows if r.mark and r.mark[1:]))
+    literal = _known(spark, (("", r.token) for r in rows if r.mark and r.mark[0] == "="))
     code = F.lower(F.coalesce("lang", F.lit("")))
     code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv]), code), code)
     src = src.withColumn("code", code)
     size = src.groupBy(F.col("code").alias("lang"), "host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= HOST_PAGES)
     by_host = at.join(size, ["lang", "host"]).where(frame & (often >= F.greatest(F.lit(LEAST_PAGES), HOST_SHARE * F.col("host_pages"))))
     by_host = by_host.groupBy(F.col("lang").alias("code"), "host").agg(F.collect_list("token").alias("own"))  # at most lines a page / HOST_SHARE
-    with_own = src.join(by_host, ["code", "host"], "left")
+    few = by_host.limit(MOST_OWN + 1).withColumn("size", F.size("own"))
+    sent = None
+    if (few.agg(F.sum("size")).first()[0] or 0) <= MOST_OWN:
+        sent = spark.sparkContext.broadcast({(r.code, r.host): frozenset(r.own) for r in by_host.collect()})
+        with_own = src.withColumn("own", F.lit(None).cast("array<bigint>"))
+    else:
+        with_own = src.join(by_host, ["code", "host"], "left")
 
     def classify(c: dict) -> dict:
         ids, nos = [], []
         plain_lines = literal.value.get("", none)
-        own = {k: frozenset(o) for k, o in zip(zip(c["code"].to_pylist(), c["host"].to_pylist()), c["own"].to_pylist()) if o}
+        own = sent.value if sent else {k: frozenset(o) for k, o in zip(zip(c["code"].to_pylist(), c["host"].to_pylist()), c["own"].to_pylist()) if o}
         for page, lang, host, head, lines in _rows(c):
             known = common(lang)
-            wrap = wrapper.value.get(lang, frozenset()), own.get((lang, host), frozenset()), plain_lines
-            for i in removed(lines, head, known, wrap, frame_long.value.get(lang, frozenset()), shapes.value.get(lang, frozenset())):
+            wrap = wrapper.value.get(lang, none), own.get((lang, host), none), plain_lines, starts.value.get(lang, none)
+            for i in removed(lines, head, known, wrap, frame_long.value.get(lang, none), shapes.value.get(lang, none)):
                 ids.append(page)
                 nos.append(i + 1)
         return {id_col: ids, "line_no": np.asarray(nos, np.int32)}
@@ -237,12 +261,6 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return map_arrow(with_own.select("id", "lang", "host", "headline", "text", "code", "own"), classify, f"`{id_col}` {kind}, line_no int")
 
 
-@functools.lru_cache(64)
-def first_words(tokens: frozenset) -> frozenset:
-    """First words of the wrapper's tokens, slots left out."""
-    return frozenset(t.partition(" ")[0] for t in tokens if t[:2] != "~ ") - {"◇"}
-
-
 def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame_long, shapes) -> list[int]:
     """Places of the lines of one page to remove."""
     head = headline_at(lines, headline)
@@ -256,9 +274,9 @@ def removed(lines: list[str], headline: str | None, known, wrapper: tuple, frame
                 break
     z = zones(lines, tokens, head, frame_long)
     own = plain(headline)
-    general, special, literal = wrapper
-    fine, starts = known[0], first_words(general)
-    in_frame = lambda x: bool(general.intersection(readings(x, known))) or token(x, _ALL) in literal
+    general, special, literal, starts = wrapper
+    fine = known[0]
+    in_frame = lambda x: bool(general.intersection(readings(x, known))) or key(token(x, _ALL)) in literal
     out, tail = [], False
     for i, x in enumerate(lines):
         if z[i] in "-h":
