@@ -1,8 +1,8 @@
 """Template residue and error pages: trusted patterns, spread to near-duplicates found with partitioned SimHash tables.
 
 A document is cut into lines and sentences. A segment a trusted pattern matches is a seed. Segments, with codes, numbers
-and names masked, get a 64-bit SimHash; it is cut into 4 blocks, so two within Hamming distance 3 share a block of
-one of the 4 tables. Pairs from the tables are verified by Hamming distance and by the similarity of their words, and
+and names masked, get a 64-bit SimHash; it is cut into 6 blocks, so two within Hamming distance 3 share 3 blocks and
+meet in one of the 20 tables keyed by 3 blocks (32 bits). Pairs from the tables are verified by Hamming distance and by the similarity of their words, and
 the seeds' label spreads through the connected components of the verified pairs, until nothing new is labelled.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 import unicodedata
 
@@ -25,7 +26,8 @@ from corpusloom.llm.segment_join import _lists
 from corpusloom.llm.wordkernel import mix, word_hashes
 from corpusloom.session import cut
 
-TABLES, RADIUS, SIMILAR_PCT, LEAST_WORDS, LEAST_CJK = 4, 3, 80, 4, 8
+BLOCKS, RADIUS, SIMILAR_PCT, LEAST_WORDS, LEAST_CJK = 6, 3, 80, 4, 8
+TABLES = list(itertools.combinations(range(BLOCKS), BLOCKS - RADIUS))
 
 _CUT = re.compile(r"[\n\r  ]+|(?<=[.!?])\s+|(?<=[。！？])")
 _CODE = re.compile(r"`[^`\n]{1,120}`|<code>.{1,200}?</code>", re.S)
@@ -108,9 +110,10 @@ def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def table_keys(sims: np.ndarray) -> np.ndarray:
-    """(segments, TABLES) keys: each 16-bit block of the SimHash with its table's number, hashed."""
-    block = np.stack([(sims >> np.uint64(16 * t)) & np.uint64(0xFFFF) for t in range(TABLES)], 1)
-    return mix(block * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[None, :], 9)
+    """(segments, TABLES) keys: the blocks of the SimHash that a table is keyed by, with its number, hashed."""
+    edge = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    kept = [sum(((1 << edge[b + 1]) - (1 << edge[b])) for b in t) for t in TABLES]
+    return np.stack([mix(mix(sims & np.uint64(m), 9), i) for i, m in enumerate(kept)], 1)
 
 
 def _scan(df: DataFrame, id_type: str, bits) -> DataFrame:
