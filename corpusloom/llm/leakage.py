@@ -118,10 +118,10 @@ def _terms(items: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFrame:
-    """(doc, cjk, terms, pos, chars): the terms that some item has, in stretches with as many of them as a passage keeps; all characters in zh and ja."""
+    """(doc, cjk, terms, pos, words): the terms that some item has, in stretches with as many of them as a passage keeps, and all words."""
 
     def fn(c: dict) -> dict:
-        rows, kinds, terms, pos, chars = [], [], [], [], []
+        rows, kinds, terms, pos, words = [], [], [], [], []
         for kind, at, g, go, hw, ow in _grams(c):
             k = np.flatnonzero(bitmap.contains(bits.value, g))
             k = k[_dense(k, go, _bounds(least[kind], TERM_CJK if kind else TERM))]
@@ -132,10 +132,10 @@ def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFr
                 kinds.append(bool(kind))
                 terms.append(g[x])
                 pos.append((x - go[i]).astype(np.int32))
-                chars.append(hw[ow[i] : ow[i + 1]] if kind else hw[:0])
-        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32), "chars": _lists(chars)}
+                words.append(hw[ow[i] : ow[i + 1]])
+        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32), "words": _lists(words)}
 
-    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>, chars array<bigint>")
+    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>, words array<bigint>")
 
 
 def _pivots(idf: np.ndarray, go: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +238,7 @@ class Block:
         width = TERM_CJK if kind else TERM
         words, to = _joined(words)
         words = words.view(np.uint64), to
+        self.words, self.to = words
         g, self.go = runs(*words, width)
         idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
         self.theta = part("theta").to_numpy()
@@ -357,39 +358,31 @@ def _joined(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _candidates(hits: DataFrame, block: Shared, doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
-    """(doc, item) of the pairs of texts and items of a block that may share a passage."""
+def _search(hits: DataFrame, block: Shared, doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
+    """(doc, item) of the pairs of texts and items of a block that share a passage."""
 
     def fn(c: dict) -> dict:
         cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
         docs, items = [c["doc"].slice(0, 0)], [block.value[0].ids.slice(0, 0)]
-        many = c["terms"].value_lengths().to_numpy(zero_copy_only=False) + c["chars"].value_lengths().to_numpy(zero_copy_only=False)
+        many = c["words"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         for kind in (False, True):
             own, of = block.value[kind], np.flatnonzero(cjk == kind)
             bounds, fine = _bounds(least[kind], TERM_CJK if kind else TERM), _bounds(least[kind], FINE_CJK) if kind else []
-            for lo, hi in _runs_of(many[of].astype(np.int64), WORDS_AT_ONCE) if len(own.ids) else ():
+            for lo, hi in _runs_of(many[of], WORDS_AT_ONCE) if len(own.ids) else ():
                 at = of[lo:hi]
-                (terms, to), (pos, _), chars = (_joined(c[k].take(pa.array(at))) for k in ("terms", "pos", "chars"))
-                row, item = own.candidates(terms.view(np.uint64), pos, to, bounds, int(_budget(least[kind])[-1]), (chars[0].view(np.uint64), chars[1]), fine)
-                docs.append(c["doc"].take(pa.array(at[row])))
-                items.append(own.ids.take(pa.array(item)))
+                (terms, to), (pos, _), (words, wo) = (_joined(c[k].take(pa.array(at))) for k in ("terms", "pos", "words"))
+                words = words.view(np.uint64)
+                row, item = own.candidates(terms.view(np.uint64), pos, to, bounds, int(_budget(least[kind])[-1]), (words, wo), fine)
+                ok = np.zeros(len(row), np.bool_)
+                for p, q in _runs_of(np.diff(wo)[row] + np.diff(own.to)[item], WORDS_AT_ONCE):
+                    ok[p:q] = holds_passages([words[wo[i] : wo[i + 1]] for i in row[p:q]], [own.words[own.to[i] : own.to[i + 1]] for i in item[p:q]], least[kind])
+                docs.append(c["doc"].take(pa.array(at[row[ok]])))
+                items.append(own.ids.take(pa.array(item[ok])))
         return {"doc": pa.concat_arrays(docs), "item": pa.concat_arrays(items)}
 
     return map_arrow(hits, fn, f"doc {doc_type}, item {item_type}")
 
 
-def _words(texts: DataFrame, id_type: str, name: str, bits) -> DataFrame:
-    """(name, cjk, name_words) of the texts whose hashed id is in the filter."""
-
-    def fn(c: dict) -> dict:
-        at = np.flatnonzero(bitmap.contains(bits.value, c["k"].to_numpy().view(np.uint64)))
-        texts, langs = [c["text"][int(i)].as_py() for i in at], [c["lang"][int(i)].as_py() for i in at]
-        h, o = word_hashes(texts, langs)
-        return {name: c["id"].take(pa.array(at)), "cjk": [x in CJK_LANGS for x in langs], f"{name}_words": ragged(h, o, "int64")}
-
-    return map_arrow(texts.withColumn("k", F.xxhash64("id")), fn, f"{name} {id_type}, cjk boolean, {name}_words array<bigint>")
-
-
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*lists, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
 
@@ -547,21 +540,5 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
     found = [hits.select("doc", F.lit(None).cast(item_type).alias("item")).limit(0)]
     index = cut(_index(src, item_type, span))
     if not index.isEmpty():
-        found += [_candidates(hits, Shared(index, k), doc_type, item_type, span) for k in range(blocks)]
-    pairs = cut(functools.reduce(DataFrame.union, found).distinct())
-    key = lambda c: pairs.select(F.xxhash64(c).alias("k")).distinct()
-    size = bitmap.log2_size(pairs.count())
-    pairs = pairs.join(_words(texts(docs, doc_id), doc_type, "doc", bitmap.build(key("doc"), "k", size)), "doc")
-    pairs = pairs.join(_words(src.drop("block"), item_type, "item", bitmap.build(key("item"), "k", size)).drop("cjk"), "item")
-
-    def verify(c: dict) -> dict:
-        a, b = ([x.values.to_numpy().view(np.uint64) for x in c[k]] for k in ("doc_words", "item_words"))
-        cjk, ok = np.asarray(c["cjk"].to_pylist(), np.bool_), np.zeros(len(a), np.bool_)
-        for kind in (False, True):
-            at = np.flatnonzero(cjk == kind)
-            for lo, hi in _runs_of(np.array([len(a[i]) + len(b[i]) for i in at], np.int64), WORDS_AT_ONCE):
-                ok[at[lo:hi]] = holds_passages([a[i] for i in at[lo:hi]], [b[i] for i in at[lo:hi]], span[kind])
-        at = np.flatnonzero(ok)
-        return {"doc": c["doc"].take(pa.array(at)), "item": c["item"].take(pa.array(at))}
-
-    return map_arrow(pairs, verify, f"doc {doc_type}, item {item_type}").distinct()
+        found += [_search(hits, Shared(index, k), doc_type, item_type, span) for k in range(blocks)]
+    return functools.reduce(DataFrame.union, found).distinct()
