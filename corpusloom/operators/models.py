@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -44,7 +45,7 @@ def student_logits(model, df: DataFrame, temperature: float = 1.0) -> DataFrame:
 
 def train_svm(df: DataFrame, label: str, iterations: int = 10, reg: float = 0.01):
     """One linear SVM a class."""
-    return OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg), labelCol=label, featuresCol="features").fit(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
+    return OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg), labelCol=label, featuresCol="features", parallelism=4).fit(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
 
 
 def probability_logits(p: Column) -> Column:
@@ -79,8 +80,7 @@ def predict_batches(df: DataFrame, scorer: Callable[[list[str]], list[list[float
 
 
 def _trigrams(text: Column) -> Column:
-    s = F.concat(F.lit(" "), F.substring(F.regexp_replace(F.lower(text), r"[\s\d\p{P}\p{S}]+", " "), 1, 2000), F.lit(" "))
-    return s
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[\s\d\p{P}\p{S}]+", " "), F.lit(" "))
 
 
 def language_profiles(df: DataFrame, lang: str = "lang", text: str = "text", n: int = 3, most: int = 400) -> DataFrame:
@@ -102,7 +102,7 @@ def identify_language(df: DataFrame, profiles: DataFrame, id_col: str, text: str
 
     A gram outside a language's profile counts `floor`. The profiles have at most languages * 400 rows and are broadcast.
     """
-    g = _gram_rows(df, [id_col], text, 3)
+    g = _gram_rows(df.select(id_col, F.substring(text, 1, 2000).alias(text)), [id_col], text, 3)
     langs = profiles.select("lang").distinct()
     known = g.join(F.broadcast(profiles), "gram").groupBy(id_col, "lang").agg(F.sum(F.col("n") * (F.col("logp") - floor)).alias("s"))
     size = g.groupBy(id_col).agg(F.sum("n").alias("n"))
@@ -120,30 +120,63 @@ def best_of_grid(log: DataFrame, keys: list[str], score: str, tie: str) -> DataF
     return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def class_offsets(df: DataFrame, y: str, logits: str, classes: int, steps: tuple[float, ...] = (-0.5, -0.25, 0.0, 0.25, 0.5), passes: int = 1) -> list[float]:
-    """Offsets to add to the logits that raise macro-F1, by coordinate ascent: one aggregation tries all steps of a class.
+#: Rows that offsets are fitted on at most, the first in hashed order: 17 logits of each are 27 MB.
+MOST_CALIBRATION = 200_000
+
+
+def _macro_f1(y: np.ndarray, p: np.ndarray, classes: int) -> float:
+    """Macro-F1 over the classes that occur in y or p."""
+    hit, of_y, of_p = (np.bincount(x, minlength=classes) for x in (y[y == p], y, p))
+    some = of_y + of_p > 0
+    return float(np.mean(2 * hit[some] / (of_y + of_p)[some])) if some.any() else 0.0
 
-    Only counts by (step, y, p) come back; the rows stay distributed.
-    """
-    from corpusloom.operators.metrics import confusion_counts, scores
-    from corpusloom.operators.vectors import argmax, doubles
 
-    rows = df.where(F.col(y).isNotNull() & F.col(logits).isNotNull()).select(F.col(y).alias("y"), doubles(logits).alias("z"))
-    best = [0.0] * classes
+def fit_offsets(y: np.ndarray, z: np.ndarray, steps: tuple[float, ...] = (-0.5, -0.25, 0.0, 0.25, 0.5), passes: int = 3) -> np.ndarray:
+    """Offsets by coordinate ascent on macro-F1: each class takes its best step in turn, until a pass changes nothing. Of equal steps the smallest wins."""
+    classes = z.shape[1]
+    best = np.zeros(classes)
     for _ in range(passes):
+        before = best.copy()
         for k in range(classes):
-            base = F.array(*map(F.lit, best))
-            tried = rows.withColumn("step", F.explode(F.array(*map(F.lit, steps))))
-            z = F.zip_with("z", base, lambda a, b: a + b)
-            z = _add_at(z, k)
-            s = scores(confusion_counts(tried.withColumn("p", argmax(z)), groups=["step"]), ["step"]).collect()
-            if s:
-                best[k] += max(s, key=lambda r: (round(r.macro_f1, 12), -abs(r.step))).step
+            tried = []
+            for step in steps:
+                moved = z + best
+                moved[:, k] += step
+                tried.append((round(_macro_f1(y, moved.argmax(1), classes), 12), -abs(step), step))
+            best[k] += max(tried)[2]
+        if (before == best).all():
+            break
     return best
 
 
-def _add_at(z: Column, k: int) -> Column:
-    return F.transform(z, lambda a, i: F.when(i == k, a + F.col("step")).otherwise(a))
+def class_offsets(df: DataFrame, id_col: str, y: str, logits: str, classes: int, folds: int = 5, most_rows: int = MOST_CALIBRATION) -> tuple[np.ndarray, float, float]:
+    """(offsets to add to the logits, macro-F1 without, macro-F1 out of fold): each fold is scored with offsets fitted on the others.
+
+    Fitted on the driver on `most_rows` rows at most, the first in hashed order of their ids; null labels and logits are left out. No rows give zeros.
+    """
+    r = df.where(F.col(y).isNotNull() & F.col(logits).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(y).cast("int").alias("y"), F.col(logits).cast("array<double>").alias("z"))
+    rows = r.orderBy("h").limit(most_rows).toArrow()
+    if not rows.num_rows:
+        return np.zeros(classes), 0.0, 0.0
+    labels, fold = rows["y"].to_numpy(), rows["h"].to_numpy() % folds
+    z = rows["z"].combine_chunks().flatten().to_numpy().reshape(-1, classes)
+    out = np.empty(len(labels), np.int64)
+    for k in range(folds):
+        at = fold == k
+        out[at] = (z[at] + (fit_offsets(labels[~at], z[~at]) if (~at).any() else 0)).argmax(1)
+    return fit_offsets(labels, z), round(_macro_f1(labels, z.argmax(1), classes), 6), round(_macro_f1(labels, out, classes), 6)
+
+
+def svm_scores(model, df: DataFrame, classes: int) -> DataFrame:
+    """Adds scores: the decision score of each class by its own SVM; classes the model was not trained on get the missing-class logit."""
+    out, names = df, []
+    for k, m in enumerate(model.models):
+        if k < classes:
+            scored = m.copy({m.rawPredictionCol: f"_raw{k}", m.predictionCol: f"_p{k}"}).transform(out)
+            out = scored.withColumn(f"_s{k}", F.element_at(vector_to_array(f"_raw{k}"), 2)).drop(f"_raw{k}", f"_p{k}")
+            names.append(f"_s{k}")
+    scores = F.array(*[F.col(n) for n in names], *[F.lit(MISSING)] * (classes - len(names)))
+    return out.withColumn("scores", scores).drop(*names)
 
 
 def ols(df: DataFrame, target: str, numeric: list[str], category: str | None = None) -> tuple[float, int]:

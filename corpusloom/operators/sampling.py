@@ -44,7 +44,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def round_robin(df: DataFrame, group: str, id_col: str, seed: str = "0") -> DataFrame:
     """Adds turn: the row's place within its group; ordering by it takes one row of each group in turn."""
-    return df.withColumn("turn", _rank([group], [hash_order(seed, id_col), F.col(id_col)]))
+    return ranked(df, group, id_col, "turn", seed).drop("_total")
 
 
 def hold_out_groups(sizes: DataFrame, part: str, group: str, size: str, share: float, seed: str = "0") -> DataFrame:
@@ -80,10 +80,39 @@ def sequential_ids(df: DataFrame, id_col: str, name: str, pattern: str = "u%05d"
     return h.join(F.broadcast(first), "_b").withColumn(name, F.format_string(pattern, place.cast("bigint"))).drop("_h", "_b", "_first")
 
 
+def ranked(df: DataFrame, part: str, id_col: str, name: str, seed: str = "0", digits: int = 2) -> DataFrame:
+    """Adds each row's place in its part in hashed order, from 1; a null part is a part of its own.
+
+    The order's leading hex digits cut each part into 16 ** digits buckets, numbered by themselves after the sizes of those before, so a part with a third
+    of all rows is no single task's window.
+    """
+    h = df.withColumn("_h", hash_order(seed, id_col)).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = h.groupBy(F.col(part).alias("_part"), "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy("_part"))
+    first = sizes.select("_part", F.col("_b").alias("_bucket"), before.alias("_first"), total.alias("_total"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy(part, "_b").orderBy("_h", id_col))
+    j = h.join(first, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_b") == F.col("_bucket")))
+    return j.withColumn(name, place).drop("_h", "_b", "_part", "_bucket", "_first")
+
+
+def by_place(df: DataFrame, order: str, name: str, buckets: int = 4096) -> DataFrame:
+    """Adds each row's place, from 0, in the order of a whole-number column without nulls.
+
+    The column's range is cut into `buckets` even parts, each numbered by itself after the sizes of those before.
+    """
+    ends = F.broadcast(df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")))  # one row
+    b = df.crossJoin(ends).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets)))))
+    n = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    first = n.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # `buckets` rows
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return b.join(F.broadcast(first), "_b").withColumn(name, place).drop("_b", "_lo", "_hi", "_first")
+
+
 def permutation_split(df: DataFrame, part: str, share: float, id_col: str, seed: str = "0") -> DataFrame:
     """Adds is_validation: the first floor(n * share) rows of each part in hashed order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(part))
-    return df.withColumn("is_validation", _rank([part], [hash_order(seed, id_col), F.col(id_col)]) <= F.floor(n * F.lit(share)))
+    r = ranked(df, part, id_col, "_r", seed)
+    return r.withColumn("is_validation", F.col("_r") <= F.floor(F.col("_total") * F.lit(share))).drop("_r", "_total")
 
 
 def repeat_to(df: DataFrame, n: int, id_col: str, seed: str = "0") -> DataFrame:

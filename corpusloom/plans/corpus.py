@@ -136,6 +136,17 @@ def jsonld_articles(spark, d):
     return a.select("page_id", "headline", "publisher", "canonical", F.array_join("types", ",").alias("types"), F.array_join("breadcrumb", " / ").alias("breadcrumb"))
 
 
+@R.query()
+def page_extraction(spark, d):
+    """Pages to article rows: sites of the training split left out, bodies or main texts, one row a URL and canonical URL."""
+    p = pages_with_json(spark, d).join(table(spark, d, "extracted_pages").groupBy("page_id").agg(F.min("text").alias("body")), "page_id")
+    para = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", "&", "&amp;"), "<", "&lt;"), r"\n+", "</p><p>")
+    html = F.concat("html", F.lit("<body><nav><a href='/'>Home</a></nav><article><p>"), para, F.lit("</p></article><footer>Contact</footer></body>"))
+    seen = table(spark, d, "articles").where("split = 'train'").select("domain").distinct()
+    out = jl.extract_pages(p.select("page_id", "url", html.alias("html")), seen)
+    return out.groupBy("lang", "text_source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("sites"), r6(F.avg("n_words")).alias("words"))
+
+
 @R.query(f"with {PAGES} select page_id, len(from_json(author, '[\"VARCHAR\"]')[1:5]) as authors, array_to_string(from_json(keywords, '[\"VARCHAR\"]')[1:30], '|') as keywords from p where json_valid(author) and json_valid(keywords)")
 def list_cap(spark, d):
     p = table(spark, d, "extracted_pages").dropDuplicates(["page_id"])

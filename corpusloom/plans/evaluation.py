@@ -77,10 +77,14 @@ def value_shares(spark, d):
 LANGS = ["en", "es", "de", "fr", "it", "tr"]
 
 
-@R.query("select source, " + ", ".join(f"count(*) filter (lang = '{x}') as {x}" for x in LANGS) + ", count(*) filter (lang in (" + ", ".join(f"'{x}'" for x in LANGS) + ")) as total from documents group by 1")
+#: The columns of the cross-tab; the total counts all rows, those of other and of no language too.
+ALL_LANGS = "en es de fr it tr id pl ru el hi zh ja".split()
+
+
+@R.query("select source, " + ", ".join(f'count(*) filter (lang = \'{x}\') as "{x}"' for x in ALL_LANGS) + ", count(*) as total from documents group by 1")
 def crosstab(spark, d):
-    p = table(spark, d, "documents").groupBy("source").pivot("lang", LANGS).agg(F.count(F.lit(1))).na.fill(0)
-    return p.withColumn("total", sum((F.col(x) for x in LANGS), F.lit(0)))
+    docs = table(spark, d, "documents")
+    return docs.groupBy("source").agg(*[F.count_if(F.col("lang") == x).alias(x) for x in ALL_LANGS], F.count(F.lit(1)).alias("total"))
 
 
 @R.query("select event_type, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, min(value) as lo, max(value) as hi, round(median(value), 6) as med, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")

@@ -132,10 +132,11 @@ def grid_against_default(spark, d):
     return g.groupBy("baseline").agg(F.max("f1").alias("best"), F.max(F.when(F.col("cfg") == "view", F.col("f1"))).alias("default_f1")).withColumn("gain", F.round(F.col("best") - F.col("default_f1"), 4))
 
 
-@R.query(f"with {PREDS}, {COUNTS('model, lang')}, done as (select model from counts where lang in ('en', 'es', 'de') group by 1 having count(distinct lang) = 3) , k as (select model, lang, y, p, n from counts where lang in ('en', 'es', 'de') and model in (select model from done)), {f1_sql('k', 'model, lang')} select model, lang, n::bigint as n, round(accuracy, 6) as accuracy, round(macro_f1, 6) as macro_f1 from f1")
+@R.query(f"with {PREDS}, {COUNTS('model, lang')}, done as (select model from counts where lang is not null group by 1 having count(distinct lang) = (select count(distinct lang) from counts)), k as (select model, lang, y, p, n from counts where lang is not null and model in (select model from done)), {f1_sql('k', 'model, lang')} select model, lang, n::bigint as n, round(accuracy, 6) as accuracy, round(macro_f1, 6) as macro_f1 from f1")
 def seed_table(spark, d):
-    counts = mt.confusion_counts(predictions(spark, d), groups=["model", "lang"]).where(F.col("lang").isin("en", "es", "de"))
-    done = counts.groupBy("model").agg(F.count_distinct("lang").alias("k")).where("k = 3").select("model")
+    counts = mt.confusion_counts(predictions(spark, d), groups=["model", "lang"]).where("lang is not null")
+    langs = counts.agg(F.count_distinct("lang").alias("all"))
+    done = counts.groupBy("model").agg(F.count_distinct("lang").alias("k")).join(F.broadcast(langs), F.col("k") == F.col("all")).select("model")
     s = mt.scores(counts.join(done, "model", "left_semi"), ["model", "lang"])
     return s.select("model", "lang", "n", r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"))
 

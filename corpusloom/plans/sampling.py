@@ -97,19 +97,13 @@ def month_range(spark, d):
 
 @R.query("select doc_id from documents qualify (row_number() over (order by doc_id) - 1) % 4 = 1")
 def work_stride(spark, d):
-    # the stride's base is a place in id order: ranks by bucket, then by place within the bucket
-    docs = table(spark, d, "documents").select("doc_id").withColumn("_b", F.floor(F.col("doc_id") / 1024))
-    n = docs.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy("doc_id")) - 1
-    return docs.join(before, "_b").withColumn("p", place).where(F.pmod("p", F.lit(4)) == 1).select("doc_id")
+    return sp.by_place(table(spark, d, "documents").select("doc_id"), "doc_id", "p").where(F.pmod("p", F.lit(4)) == 1).select("doc_id")
 
 
-@R.query(f"select ((row_number() over (partition by lang order by {DOC}) - 1) // 40)::int as batch, lang, doc_id, md5(substr(text, 1, 3000)) as cut from documents where lang in ('de', 'fr')")
+@R.query(f"select ((row_number() over (partition by lang order by {DOC}) - 1) // 40)::int as batch, lang, doc_id, md5(substr(text, 1, 3000)) as cut from documents")
 def batch_files(spark, d):
-    docs = table(spark, d, "documents").where("lang in ('de', 'fr')")
-    n = F.row_number().over(Window.partitionBy("lang").orderBy(sp.hash_order("0", "doc_id"), "doc_id"))
-    return docs.select(F.floor((n - 1) / 40).cast("int").alias("batch"), "lang", "doc_id", F.md5(F.substring("text", 1, 3000)).alias("cut"))
+    docs = sp.ranked(table(spark, d, "documents").select("doc_id", "lang", "text"), "lang", "doc_id", "n").drop("_total")
+    return docs.select(F.floor((F.col("n") - 1) / 40).cast("int").alias("batch"), "lang", "doc_id", F.md5(F.substring("text", 1, 3000)).alias("cut"))
 
 
 # --- joins and set operations ---

@@ -134,10 +134,10 @@ def language_resolution(spark, d):
     return table(spark, d, "extracted_pages").select("page_id", lang.alias("lang"), reason.alias("reason")).distinct()
 
 
-@R.query(r"select count(distinct page_id) as n from extracted_pages where try_cast(nullif(regexp_extract(date_published, '(\d{4}-\d{2}-\d{2})', 1), '') as date) between date '2018-01-01' and try_cast(substr(warc_date, 1, 10) as date)")
+@R.query(r"select count(distinct page_id) as n from extracted_pages where try_cast(nullif(regexp_extract(date_published, '(\d{4}-\d{2}-\d{2})', 1), '') as date) between date '2024-01-01' and try_cast(substr(warc_date, 1, 10) as date)")
 def date_window(spark, d):
     p = table(spark, d, "extracted_pages").withColumn("day", F.try_to_date(tx.iso_date("date_published"), "yyyy-MM-dd"))
-    return p.where(F.col("day").between(F.lit("2018-01-01").cast("date"), F.try_to_date(F.substring("warc_date", 1, 10), "yyyy-MM-dd"))).agg(F.count_distinct("page_id").alias("n"))
+    return p.where(F.col("day").between(F.lit("2024-01-01").cast("date"), F.try_to_date(F.substring("warc_date", 1, 10), "yyyy-MM-dd"))).agg(F.count_distinct("page_id").alias("n"))
 
 
 @R.query("select distinct page_id from extracted_pages where coalesce(lower(is_free::varchar), '') not in ('false', '0')")

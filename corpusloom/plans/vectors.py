@@ -138,9 +138,9 @@ def token_dropout(spark, d):
     return e.groupBy("doc_id").agg(F.count_if(keep).alias("kept"))
 
 
-@R.query(f"with {TT}, t as (select distinct doc_id, token from tok where lang = 'de' and {HAS}), s as (select doc_id, token, {ROW} as r from t), p as (select doc_id, token, list_max(list_transform(range(1, 5), lambda i: r[i] - (list_sum(r) - r[i]) / 3)) as spec, r from s), k as (select *, row_number() over (partition by doc_id order by round(spec, 9) desc, token) as o, count(*) over (partition by doc_id) as n from p) select doc_id, count(*) as kept, round(sum(spec), 6) as specificity, min(token) as first_token from k where o <= greatest(1, round_even(0.2 * n, 0)) group by 1")
+@R.query(f"with {TT}, t as (select distinct doc_id, token from tok where {HAS}), s as (select doc_id, token, {ROW} as r from t), p as (select doc_id, token, list_max(list_transform(range(1, 5), lambda i: r[i] - (list_sum(r) - r[i]) / 3)) as spec, r from s), k as (select *, row_number() over (partition by doc_id order by round(spec, 9) desc, token) as o, count(*) over (partition by doc_id) as n from p) select doc_id, count(*) as kept, round(sum(spec), 6) as specificity, min(token) as first_token from k where o <= greatest(1, round_even(0.2 * n, 0)) group by 1")
 def specificity_topq(spark, d):
-    t = _tokens(spark, d).where("lang = 'de'")
+    t = _tokens(spark, d)
     s = t.select("doc_id", "token").distinct().join(_table(t), "token")
     total = F.aggregate("row", F.lit(0.0), lambda a, x: a + x)
     p = s.select("doc_id", "token", "row", total.alias("total")).withColumn("spec", F.array_max(F.transform("row", lambda x: x - (F.col("total") - x) / 3)))

@@ -17,7 +17,7 @@ def plan(spark, name):
     return entry.queries()[name](spark, str(DATA))._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["word_count", "contamination_overlap", "minimum_slice", "token_frequency", "macro_f1", "leave_one_source_out", "silver_sample", "domain_split", "manifest_verify", "near_dup_keep"])
+@pytest.mark.parametrize("name", ["word_count", "train_val_split", "batch_files", "work_stride", "contamination_overlap", "minimum_slice", "token_frequency", "macro_f1", "leave_one_source_out", "silver_sample", "domain_split", "manifest_verify", "near_dup_keep"])
 def test_no_cartesian_product(spark, name):
     p = plan(spark, name).split("== Physical Plan ==")[-1]
     assert "CartesianProduct" not in p
@@ -40,4 +40,11 @@ def test_caps_are_pruned_before_the_shuffle(spark):
 
 def test_every_query_is_registered_with_sql_or_by_design(spark):
     without = {n for n in entry.queries() if n not in entry.oracle_sql() and n.split("_")[0] not in LLM}
-    assert without == {"near_dup_pairs", "near_dup_keep", "hashed_bigrams", "distilled_student", "svm_classifier", "language_id", "class_offset_calibration"}
+    assert without == {"near_dup_pairs", "near_dup_keep", "hashed_bigrams", "distilled_student", "svm_classifier", "language_id", "class_offset_calibration", "subword_tokens", "page_extraction"}
+
+
+@pytest.mark.parametrize("name", ["train_val_split", "round_robin", "batch_files"])
+def test_no_window_over_a_whole_language_or_site(spark, name):
+    p = plan(spark, name).split("== Physical Plan ==")[-1]
+    rows = [line for line in p.splitlines() if "Window" in line and "row_number" in line]
+    assert rows and all("_b#" in line for line in rows)
