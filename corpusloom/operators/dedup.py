@@ -68,20 +68,20 @@ def near_pairs(df: DataFrame, id_col: str, text: str = "text", lang: str = "lang
     return j.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str = "id", rank: str = "rank", most_rounds: int = 100) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, id_col: str = "id", rank: str = "rank") -> DataFrame:
     """(id_col, kept): the rows a pass in rank order keeps if it drops each row similar to one already kept.
 
     Computed in rounds: a row whose earlier neighbours are all dropped is kept, one with a kept earlier neighbour
-    is dropped. Rows of a chain settle one after another; other rows in the first rounds.
+    is dropped. Every round settles the first open row of each cluster at least; rows of a chain settle one after another, others in the first rounds.
     """
     edges = cut(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("u", "v").join(nodes.select(F.col(id_col).alias("u"), F.col(rank).alias("ru")), "u").join(nodes.select(F.col(id_col).alias("v"), F.col(rank).alias("rv")), "v").where("rv < ru").select("u", "v"))
     state = cut(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
-        if state.where("kept is null").isEmpty():
-            break
+    open_before = None
+    while left := state.where("kept is null").count():
+        if left == open_before:
+            raise RuntimeError("the keep rule made no progress")
+        open_before = left
         seen = edges.join(state.select(F.col("id").alias("v"), F.col("kept").alias("kv")), "v").groupBy(F.col("u").alias("id")).agg(F.coalesce(F.bool_or("kv"), F.lit(False)).alias("hit"), F.bool_or(F.col("kv").isNull()).alias("open"))
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
         state = cut(state.join(seen, "id", "left").select("id", new.alias("kept")))
-    else:
-        raise RuntimeError("the keep rule did not settle")
     return nodes.select(id_col).join(state.select(F.col("id").alias(id_col), "kept"), id_col, "left").withColumn("kept", F.coalesce("kept", F.lit(True)))

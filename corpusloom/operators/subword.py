@@ -24,6 +24,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
+        t.encode_special_tokens = True  # their names in a text are ordinary text
         return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     if path.endswith(".model"):
         import sentencepiece

@@ -48,15 +48,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CUTS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut() has written in this process and return how many; results that still read them must have been written before."""
+    jvm, n = spark._jvm, len(_CUTS)
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     The result no longer depends on the executors that computed it, so a lost executor costs a re-read and no
-    recomputation; unlike an RDD checkpoint it is columnar, compressed and prunable.
+    recomputation; unlike an RDD checkpoint it is columnar, compressed and prunable. A long job calls release() once its results are written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

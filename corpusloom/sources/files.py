@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import zlib
 from collections.abc import Iterable
@@ -138,32 +139,36 @@ WARC = "uri string, date string, status int, content_type string, html string"
 
 
 class _Gunzip(io.RawIOBase):
-    """Reads gzip members one after another; ends where the data are broken, keeping what was read before."""
+    """Reads gzip members of a file one after another; ends where the data are broken, keeping what was read before."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.part, self.ready = data, 0, None, b""
+    def __init__(self, source):
+        self.source, self.raw, self.part, self.out = source, b"", None, b""
 
     def readable(self) -> bool:
         return True
 
     def readinto(self, out) -> int:
-        while not self.ready and self.at < len(self.data):
+        while not self.out:
+            self.raw = self.raw or self.source.read(1 << 20)
+            if not self.raw:
+                break
             try:
                 self.part = self.part or zlib.decompressobj(31)
-                chunk = self.data[self.at : self.at + 65536]
-                self.ready = self.part.decompress(chunk)
-                self.at += len(chunk) - len(self.part.unused_data)
+                self.out = self.part.decompress(self.raw, 1 << 20)
+                self.raw = self.part.unconsumed_tail
                 if self.part.eof:
-                    self.part = None
+                    self.raw, self.part = self.part.unused_data, None
             except zlib.error:
-                self.at = len(self.data)
-        n = min(len(out), len(self.ready))
-        out[:n], self.ready = self.ready[:n], self.ready[n:]
+                self.raw, self.source = b"", io.BytesIO()
+        n = min(len(out), len(self.out))
+        out[:n], self.out = self.out[:n], self.out[n:]
         return n
 
 
-def _warc_records(data: bytes):
-    stream = io.BufferedReader(_Gunzip(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+def _warc_records(source):
+    stream = io.BufferedReader(source) if isinstance(source, io.RawIOBase) else source
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(_Gunzip(stream))
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -178,9 +183,9 @@ def _warc_records(data: bytes):
         yield head, body
 
 
-def html_responses(data: bytes):
-    """(uri, date, status, content type, text) of the HTML responses with status 200; a broken tail ends the file."""
-    for head, body in _warc_records(data):
+def html_responses(source):
+    """Of an archive open for reading: (uri, date, status, content type, text) of the HTML responses with status 200; a broken tail ends the file."""
+    for head, body in _warc_records(source):
         if head.get(b"warc-type") == b"response":
             top, _, page = body.partition(b"\r\n\r\n")
             lines = top.split(b"\r\n")
@@ -192,21 +197,57 @@ def html_responses(data: bytes):
                 yield head.get(b"warc-target-uri", b"").decode("utf8", "replace"), head.get(b"warc-date", b"").decode("latin-1"), status, kind, page.decode("utf8", "replace")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """HTML responses of WARC files; a gzip archive cannot be split, so one task reads one file."""
+#: A batch of pages has at most so many rows and about so many characters.
+PAGE_ROWS, PAGE_CHARS = 200, 16 << 20
+
+
+def read_warc(spark: SparkSession, path: str, most_pages: int | None = None) -> DataFrame:
+    """HTML responses of WARC files, at most `most_pages` of each file if given.
+
+    A gzip archive cannot be split, so one task reads one file; it is read as a stream, record by record, and pages are handed on in batches of
+    bounded size, so archives may be larger than memory. Where the workers cannot open the files by their address, Spark hands them over whole.
+    """
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = spark.read.format("binaryFile").load(path)
+    named = rows.select("path").limit(1).first()
+    direct = bool(named) and _opens(named[0])
+    files = rows.select("path") if direct else rows.select("content")
+    count = max(files.count(), 1) if direct else None
+    files = files.repartition(count, "path") if direct else files
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            for data in b["content"]:
-                yield pd.DataFrame(list(html_responses(bytes(data))), columns=["uri", "date", "status", "content_type", "html"])
+            for x in b["path" if direct else "content"]:
+                with _open(x) if direct else io.BufferedReader(io.BytesIO(bytes(x))) as source:
+                    page_rows, size = [], 0
+                    for page in itertools.islice(html_responses(source), most_pages):
+                        page_rows.append(page)
+                        size += len(page[-1])
+                        if len(page_rows) >= PAGE_ROWS or size >= PAGE_CHARS:
+                            yield pd.DataFrame(page_rows, columns=["uri", "date", "status", "content_type", "html"])
+                            page_rows, size = [], 0
+                    yield pd.DataFrame(page_rows, columns=["uri", "date", "status", "content_type", "html"])
 
     return files.mapInPandas(run, WARC)
 
 
+def _open(path: str):
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(where.open_input_stream(name, compression=None))
+
+
+def _opens(path: str) -> bool:
+    try:
+        _open(path).close()
+    except (OSError, ValueError):
+        return False
+    return True
+
+
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
     """The Parquet table at `path`, built and written first if it is not there yet."""
     if not exists(spark, path + "/_SUCCESS"):

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from pathlib import Path
 import math
 
 import pytest
@@ -257,8 +258,8 @@ def test_model_store_and_cache(spark, tmp_path):
 
 def test_class_offsets_raise_macro_f1(spark):
     rows = [(0, [1.0, 0.9]), (0, [1.0, 0.0]), (1, [0.5, 0.3]), (1, [0.6, 0.3]), (1, [0.0, 1.0]), (None, [0.0, 1.0]), (1, None)]
-    df = spark.createDataFrame(rows, "y int, z array<double>")
-    off = models.class_offsets(df, "y", "z", 2)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, y int, z array<double>")
+    off = list(models.class_offsets(df, "id", "y", "z", 2)[0])
     f = lambda o: metrics.scores(metrics.confusion_counts(df.where("y is not null and z is not null").withColumn("p", vectors.argmax(F.zip_with("z", F.array(*map(F.lit, o)), lambda a, b: a + b))))).first().macro_f1
     assert f(off) > f([0.0, 0.0])
 
@@ -302,3 +303,56 @@ def test_scoring_by_matrix_and_by_join(spark):
     for most in (0, 10):
         assert {r.doc_id: (r.label, r.logits) for r in scoring.score(docs, t, [0.5, 0.0], most_rows=most).collect()} == want
     assert {r.label for r in scoring.score(docs, t.limit(0), [0.5, 0.0]).collect()} == {0}
+
+
+def test_long_chains_settle(spark):
+    n = 230
+    nodes = spark.createDataFrame([(i, f"{i:04d}") for i in range(n)], "id int, rank string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 12)], "a int, b int")
+    kept = {r.id: r.kept for r in dedup.greedy_keep(nodes, pairs).collect()}
+    assert [kept[i] for i in range(13)] == [i % 2 == 0 for i in range(13)] and kept[n - 1]
+
+
+def test_cuts_are_released(spark):
+    from corpusloom import session
+
+    t = session.cut(spark.range(3))
+    path = session._CUTS[-1]
+    assert t.count() == 3 and files.exists(spark, path)
+    assert session.release(spark) >= 1 and not session._CUTS and not files.exists(spark, path)
+
+
+def test_subword_ids():
+    pytest.importorskip("tokenizers")
+    from corpusloom.operators import subword
+
+    assert subword.truncate_and_drop([5, 0, 7, 8], 3, 0) == [5, 7]
+    assert subword.truncate_and_drop([], 3, None) == subword.truncate_and_drop([0], 3, 0) == [0]
+
+
+def test_subword_ids_of_rows(spark):
+    pytest.importorskip("tokenizers")
+    from corpusloom.operators import subword
+
+    if not Path(subword.FOLDER, "word_bpe_49k.json").exists():
+        pytest.skip("no vocabularies")
+    rows = [(1, "Hello world, hello"), (2, ""), (3, None), (None, "hello"), (1, "Hello world, hello")]
+    got = subword.subword_ids(spark.createDataFrame(rows, "id int, text string"), "id", most=3).collect()
+    assert sorted((r.id or 0, len(r.ids)) for r in got) == [(0, 1), (1, 3), (1, 3), (2, 1), (3, 1)]
+    assert [r.ids for r in got if r.id in (2, 3)] == [[0], [0]]
+    some = next(r.ids for r in got if r.id == 1)
+    for known in ([some[0]], [some[0], *range(-200, -1)]):
+        kept = subword.known_ids(spark.createDataFrame([(1, some), (2, some[1:2])], "id int, ids array<int>"), known).collect()
+        assert {r.id: r.ids for r in kept} == {1: [x for x in some if x == some[0]], 2: [0] if some[1] != some[0] else [some[0]]}
+
+
+def test_offsets_raise_macro_f1(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 300)
+    z = np.eye(3)[y] * 0.6 + rng.normal(0, 0.3, (300, 3)) - np.array([0.0, 0.4, 0.0])
+    df = spark.createDataFrame([(int(i), int(a), [float(v) for v in b]) for i, (a, b) in enumerate(zip(y, z))], "id int, y int, z array<double>")
+    off, before, after = models.class_offsets(df, "id", "y", "z", 3)
+    assert after > before and off[1] > 0
+    assert models.class_offsets(df.limit(0), "id", "y", "z", 3)[1:] == (0.0, 0.0)
