@@ -237,7 +237,7 @@ _built: dict[tuple, Dictionary] = {}
 
 
 def _dictionary(sent, per_slip: int) -> Dictionary:
-    key = (sent.id if hasattr(sent, "id") else id(sent), per_slip, len(sent.value))
+    key = (hash(tuple(sent.value)), per_slip)
     if key not in _built:
         _built.clear()
         _built[key] = Dictionary(sent.value, per_slip)

@@ -24,7 +24,8 @@ from corpusloom.llm.byte_bpe import CACHE, CACHED_LENGTH, FOLDER, SPLIT, load
 from corpusloom.session import cut
 
 SALTS = 32
-MOST_CAPACITY = 1 << 20
+#: Distinct sizes of one spec that the driver sweeps over at most; more are refused with an error, none is dropped.
+MOST_SIZES = 5_000_000
 #: A sweep's matches are broadcast up to this many rows, joined beyond it.
 MOST_BROADCAST = 200_000
 
@@ -167,7 +168,7 @@ def pack(df: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: str
     under 1 are ignored; no specs or no rows give no result. Containers count from 0 in each spec.
     """
     spark = df.sparkSession
-    wanted = [(r.spec_id, r.tokenizer, r.capacity) for r in specs.select("spec_id", "tokenizer", "capacity").dropna().where(f"capacity between 1 and {MOST_CAPACITY}").collect()]
+    wanted = [(r.spec_id, r.tokenizer, r.capacity) for r in specs.select("spec_id", "tokenizer", "capacity").dropna().where("capacity >= 1").collect()]
     kind = dict(df.dtypes)[id_col]
     columns = f"spec_id int, container_id bigint, `{id_col}` {kind}, piece int, start bigint, tokens int"
     if not wanted:
@@ -183,7 +184,10 @@ def pack(df: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: str
     key = ["spec_id", "size", "salt"]
     counts = cut(items.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
     plan = []
-    totals = counts.groupBy("spec_id", "size").agg(F.sum("n").alias("n")).collect()  # at most capacity + 1 rows a spec
+    totals = counts.groupBy("spec_id", "size").agg(F.sum("n").alias("n"))  # at most capacity + 1 rows a spec
+    totals = totals.limit(MOST_SIZES * len(wanted) + 1).collect()
+    if len(totals) > MOST_SIZES * len(wanted):
+        raise ValueError(f"more than {MOST_SIZES} distinct sizes a spec")
     for s, _, c in wanted:
         matches, _ = sweep({r["size"]: r["n"] for r in totals if r.spec_id == s and r["size"] > 0}, c)
         plan += [(s, *m) for m in matches]

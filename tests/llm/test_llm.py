@@ -558,3 +558,53 @@ def test_same_result_for_any_partitioning(spark):
     rows = small_corpus(7, 12)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert len({tuple(rows_of(near_duplicates.near_duplicate_groups(df.repartition(n)), "first", "id")) for n in (1, 4, 16)}) == 1
+
+
+def test_packing_of_large_capacities(spark):
+    df = spark.createDataFrame([(i, "word " * 50) for i in range(6)], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 1 << 30), (2, "byte_bpe_50k", 120), (3, "byte_bpe_50k", 0), (4, None, 5)], "spec_id int, tokenizer string, capacity int")
+    got = packing.pack(df, specs).collect()
+    assert {r.spec_id for r in got} == {1, 2} and {r.container_id for r in got if r.spec_id == 1} == {0}
+    assert all(sum(1 for r in got if r.spec_id == s) == 6 for s in (1, 2))
+
+
+def test_names_of_many_words_and_many_forms(spark):
+    name = "Business Politics Science Weather Travel Opinion"
+    forms = spark.createDataFrame([(name, name, 1), ("Sport", "Sport", 1), ("Sports", None, 1)], "form string, entry string, often bigint")
+    rows = [(1, "opinion travel weather science politics business"), (2, "OPINION: Travel, Weathr | Science & Politics, Business"), (3, "News section page latest top home archive Sport"), (4, "Sports"), (5, "Nothing of it")]
+    want = {1: name, 2: name, 3: "Sport", 4: "(unmatched)", 5: "(unmatched)"}
+    for most in (20_000, 1):
+        got = canonical.map_values(spark.createDataFrame(rows, "value_id int, n string"), forms, "value_id", "n", most_forms=most)
+        assert dict(rows_of(got, "value_id", "entry")) == want
+
+
+def test_pairs_of_passages_side_by_side():
+    rng = np.random.default_rng(3)
+    docs, items, want = [], [], []
+    for n in range(60):
+        item = rng.integers(1, 1 << 40, 90).astype(np.uint64)
+        part = item[20 : 20 + 24 + n % 30].tolist()
+        for k in sorted(rng.choice(np.arange(1, len(part) - 1), int(len(part) * 0.1) + n % 2, replace=False).tolist(), reverse=True):
+            part[k : k + 1] = [[], [int(rng.integers(1 << 41, 1 << 42))], [part[k], 7]][int(rng.integers(3))]
+        doc = np.concatenate([rng.integers(1 << 43, 1 << 44, 30), part, rng.integers(1 << 43, 1 << 44, 30)]).astype(np.uint64)
+        docs.append(doc)
+        items.append(item)
+        want.append(leakage.holds_passage(doc, item, 24))
+    assert leakage.holds_passages(docs, items, 24).tolist() == want and 20 < sum(want) < 60
+    assert leakage.holds_passages([], [], 24).tolist() == []
+
+
+def test_filter_sizes_follow_the_keys():
+    assert bitmap.log2_size(0) == bitmap.LEAST_LOG2 and bitmap.log2_size(1 << 40) == bitmap.MOST_LOG2
+    assert (1 << bitmap.log2_size(1_000_000)) >= bitmap.BITS_A_KEY * 1_000_000
+
+
+def test_table_keys_meet_within_the_radius():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    b = a.copy()
+    for i in range(len(a)):
+        for bit in rng.choice(64, residue.RADIUS, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    assert (residue.table_keys(a) == residue.table_keys(b)).any(1).all()
+    assert not (residue.table_keys(a) == residue.table_keys(np.roll(a, 1))).any()
