@@ -80,6 +80,23 @@ def average_rank(order: str, keys: list[str], descending: bool = False):
     return F.rank().over(w.orderBy(o)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, order)) - 1) / F.lit(2.0)
 
 
+def with_ranks(df: DataFrame, col: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the rank of a numeric column without nulls, ties at their average, from 1.
+
+    Values are counted first; approximate quantiles cut the distinct values into buckets, each ranked by itself after the sizes of those before, so no
+    window holds all values. The quantiles only balance the work: ranks are exact.
+    """
+    counts = df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = sorted(set(df.select(F.col(col).cast("double").alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.005)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    b = counts.withColumn("_b", bucket)
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = b.groupBy("_b").agg(F.sum("_n").alias("_s")).select("_b", before.alias("_first"))  # at most `buckets` rows
+    smaller = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = b.join(F.broadcast(first), "_b").select("_v", (F.col("_first") + smaller + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranks, F.col(col) == F.col("_v")).drop("_v")
+
+
 def welch(df: DataFrame, value: str, side: str) -> DataFrame:
     """(delta, t, dof) of the two sides' means; side is boolean."""
     a = df.agg(*[f(F.when(F.col(side) == s, F.col(value))).alias(f"{n}{int(s)}") for s in (True, False) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
@@ -89,18 +106,21 @@ def welch(df: DataFrame, value: str, side: str) -> DataFrame:
 
 def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
     """(n, w): the smaller of the rank sums of positive and negative differences; zero differences are dropped."""
-    r = df.where((F.col(diff) != 0) & F.col(diff).isNotNull()).select(F.col(diff).alias("d"), F.abs(diff).alias("a")).withColumn("r", average_rank("a", []))
+    r = df.where((F.col(diff) != 0) & F.col(diff).isNotNull()).select(F.col(diff).alias("d"), F.abs(diff).alias("a"))
+    r = with_ranks(r, "a", "r")
     return r.agg(F.count(F.lit(1)).alias("n"), F.least(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0))).alias("w"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(average_rank(a, []).alias("ra"), average_rank(b, []).alias("rb"))
+    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    r = with_ranks(with_ranks(r, "a", "ra"), "b", "rb")
     return r.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """(h, groups): the statistic with tie correction."""
-    r = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).alias("v"), F.col(group).alias("g")).withColumn("r", average_rank("v", []))
+    r = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).alias("v"), F.col(group).alias("g"))
+    r = with_ranks(r, "v", "r")
     ties = r.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     g = r.groupBy("g").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("groups"))
     x = g.crossJoin(ties)  # one row each
@@ -153,3 +173,65 @@ def chi2_upper(x: float, dof: float) -> float:
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
+
+
+def holm_list(p: list[float]) -> list[float]:
+    """Holm's adjustment of a few p-values, in their order."""
+    order = sorted(range(len(p)), key=lambda i: p[i])
+    out, top = [0.0] * len(p), 0.0
+    for k, i in enumerate(order):
+        top = max(top, min(1.0, (len(p) - k) * p[i]))
+        out[i] = top
+    return out
+
+
+def wilcoxon_p(n: int, w: float) -> float:
+    """Two-sided p of the smaller rank sum: exact up to 50 differences if w is whole (no ties), by the normal limit beyond."""
+    if n == 0:
+        return 1.0
+    if n <= 50 and float(w).is_integer():
+        ways = [1] + [0] * (n * (n + 1) // 2)
+        for r in range(1, n + 1):
+            for s in range(len(ways) - 1, r - 1, -1):
+                ways[s] += ways[s - r]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    return normal_two_sided((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+
+
+def spearman_p(rho: float, n: int) -> float:
+    if n < 3 or rho is None:
+        return 1.0
+    return 0.0 if abs(rho) >= 1 else t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+
+
+def against_base(df: DataFrame, variant: str, base: str, value: str) -> DataFrame:
+    """(variant, n, mean, sd, delta, t, dof, p, p_holm): Welch's test of each variant's values against the base's, adjusted over the variants.
+
+    One aggregation; one row a variant comes back. Variants or a base with fewer than two values have no p and are left out of the adjustment.
+    """
+    rows = df.where(F.col(variant).isNotNull()).groupBy(F.col(variant).cast("string").alias("v")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s")).orderBy("v").collect()
+    b = next((r for r in rows if r.v == base), None)
+    out = []
+    for r in rows:
+        t = dof = p = None
+        if b and r.v != base and min(r.n, b.n) > 1 and r.s + b.s > 0:
+            x, y = r.s / r.n, b.s / b.n
+            t, dof = (r.m - b.m) / math.sqrt(x + y), (x + y) ** 2 / (x * x / (r.n - 1) + y * y / (b.n - 1))
+            p = t_two_sided(t, dof)
+        out.append([r.v, r.n, r.m, math.sqrt(r.s) if r.s is not None else None, r.m - b.m if b and r.m is not None and b.m is not None else None, t, dof, p])
+    tested = [r for r in out if r[-1] is not None]
+    adjusted = dict(zip((r[0] for r in tested), holm_list([r[-1] for r in tested])))
+    return df.sparkSession.createDataFrame([(*r, adjusted.get(r[0])) for r in out], f"`{variant}` string, n bigint, mean double, sd double, delta double, t double, dof double, p double, p_holm double")
+
+
+def factor_tests(df: DataFrame, target: str, numeric: list[str], categories: list[str]) -> DataFrame:
+    """(factor, test, statistic, n, p, p_holm): the target against each factor, by Spearman's or Kruskal and Wallis' test, adjusted over all of them."""
+    out = []
+    for f in numeric:
+        r = spearman(df, target, f).first()
+        out.append((f, "spearman", r.rho, r.n, spearman_p(r.rho, r.n)))
+    for f in categories:
+        r = kruskal(df, target, f).first()
+        n = df.where(F.col(target).isNotNull() & F.col(f).isNotNull()).count()
+        out.append((f, "kruskal", r.h, n, chi2_upper(r.h, r.groups - 1) if r.h is not None and r.groups > 1 else 1.0))
+    return df.sparkSession.createDataFrame([(*r, h) for r, h in zip(out, holm_list([r[-1] for r in out]))], "factor string, test string, statistic double, n bigint, p double, p_holm double")

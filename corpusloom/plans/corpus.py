@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import builders as bd
 from corpusloom.operators import contamination as ct
 from corpusloom.operators import dedup as dd
 from corpusloom.operators import jsonld as jl
@@ -173,6 +174,23 @@ def silver_sample(spark, d):
     return t.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("sites"), F.count_distinct("lang").alias("langs"))
 
 
+def _silver(spark, d):
+    train = table(spark, d, "articles").where("split = 'train' and text is not null")
+    return bd.silver_pool(table(spark, d, "extracted_pages"), tn.term_table(table(spark, d, "mapping_table")), train, "article_id", train.select("domain").where("domain <> 'unknown'"))
+
+
+@R.query()
+def silver_funnel(spark, d):
+    """Pages left after each step of the silver builder."""
+    return _silver(spark, d)[1]
+
+
+@R.query()
+def silver_pool(spark, d):
+    """The silver builder's pool by language and label."""
+    return _silver(spark, d)[0].groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("sites"), F.max("train_overlap").alias("most_overlap"))
+
+
 @R.query("with u as (select 'test' as pool, doc_id, lang, source, label_id, url, domain, 1 as prio from (select distinct doc_id, lang, source, label_id, url, domain from unified_test) union all select 'pool', article_id::varchar, lang, source, gpt_label_id, url, domain, 2 from (select distinct article_id, lang, source, gpt_label_id, url, domain from articles where split = 'test' and gpt_label_id >= 0)), s as (select * from u qualify row_number() over (partition by lang, label_id order by prio, md5('0|' || doc_id), doc_id) <= 10) select pool, lang, count(*) as n, count(distinct domain) as sites from s group by 1, 2")
 def unified_sample(spark, d):
     """Heterogeneous sources in one shape, sampled by priority in each cell of language and label."""

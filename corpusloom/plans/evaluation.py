@@ -390,3 +390,22 @@ def label_validity(spark, d):
 def ablation_table(spark, d):
     v = table(spark, d, "events").groupBy(F.col("event_type").alias("code"), F.pmod("user_id", F.lit(6)).alias("seed")).agg(F.avg("value").alias("v"))
     return v.groupBy("code").agg(F.count(F.lit(1)).alias("seeds"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("sd"), F.max_by("seed", "v").alias("best_seed"))
+
+
+@R.query()
+def ablation_significance(spark, d):
+    """Each variant's seed means against the base variant's: Welch's test, adjusted by Holm."""
+    v = table(spark, d, "events").groupBy(F.col("event_type").alias("code"), F.pmod("user_id", F.lit(6)).alias("seed")).agg(F.avg("value").alias("v"))
+    out = st.against_base(v, "code", "view", "v")
+    return out.select("code", "n", *[r6(c).alias(c) for c in ("mean", "sd", "delta", "t", "dof", "p", "p_holm")])
+
+
+@R.query()
+def factor_tests(spark, d):
+    """Seven factors of a user's mean click value, four numeric and three categories, adjusted by Holm."""
+    u = table(spark, d, "events").groupBy("user_id").agg(
+        F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("target"), F.count(F.lit(1)).cast("double").alias("events"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("views"),
+        F.max("value").alias("largest"), F.count_if(F.col("event_type") == "purchase").cast("double").alias("purchases"))
+    u = u.withColumn("g2", F.pmod("user_id", F.lit(2))).withColumn("g4", F.pmod("user_id", F.lit(4))).withColumn("g7", F.pmod("user_id", F.lit(7)))
+    out = st.factor_tests(u, "target", ["events", "views", "largest", "purchases"], ["g2", "g4", "g7"])
+    return out.select("factor", "test", r6("statistic").alias("statistic"), "n", r6("p").alias("p"), r6("p_holm").alias("p_holm"))

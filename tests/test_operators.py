@@ -356,3 +356,39 @@ def test_offsets_raise_macro_f1(spark):
     off, before, after = models.class_offsets(df, "id", "y", "z", 3)
     assert after > before and off[1] > 0
     assert models.class_offsets(df.limit(0), "id", "y", "z", 3)[1:] == (0.0, 0.0)
+
+
+def test_ranks_and_p_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = [float(v) for v in rng.integers(0, 40, 500)]
+    got = {(r.x, r.r) for r in stats.with_ranks(spark.createDataFrame([(v,) for v in x], "x double"), "x", "r").collect()}
+    order = np.sort(x)
+    assert got == {(v, (np.searchsorted(order, v) + np.searchsorted(order, v, "right") + 1) / 2) for v in x}
+    assert stats.with_ranks(spark.createDataFrame([], "x double"), "x", "r").count() == 0
+    assert stats.wilcoxon_p(3, 0) == 0.25 and stats.wilcoxon_p(0, 0) == 1.0 and abs(stats.wilcoxon_p(60, 915.0) - 1) < 1e-9
+    assert abs(stats.chi2_upper(3.0, 2) - math.exp(-1.5)) < 1e-12 and stats.spearman_p(1.0, 9) == 0.0
+    assert abs(stats.spearman_p(0.5, 27) - stats.t_two_sided(0.5 * math.sqrt(25 / 0.75), 25)) < 1e-15
+    assert [round(v, 9) for v in stats.holm_list([0.04, 0.01, 0.03])] == [0.06, 0.03, 0.06]
+    rows = [("base", v) for v in (1.0, 2.0, 3.0)] + [("same", v) for v in (1.0, 2.0, 3.0)] + [("far", v) for v in (11.0, 12.0, 13.0)] + [("one", 5.0), (None, 1.0)]
+    r = {x.code: x for x in stats.against_base(spark.createDataFrame(rows, "code string, v double"), "code", "base", "v").collect()}
+    assert abs(r["same"].p - 1) < 1e-12 and r["far"].p_holm < 0.001 and abs(r["far"].dof - 4) < 1e-9 and r["one"].p is None and r["base"].p is None
+
+
+def test_silver_pool(spark):
+    from corpusloom.operators import builders
+
+    long = lambda tag: " ".join(f"{tag}{i}" for i in range(80))
+    ok = dict(in_language="en", lid_lang="en", lid_conf=0.9, domain="new.x", is_free=None, date_published="2024-05-01T10:00", warc_date="2024-06-01", article_section='["Sport"]', breadcrumb=None, text=long("a"))
+    cases = [ok, {**ok, "domain": "old.x"}, {**ok, "is_free": "False"}, {**ok, "lid_lang": "de"}, {**ok, "date_published": "2023-05-01"}, {**ok, "article_section": None}, {**ok, "text": "short"}, ok, {**ok, "text": long("seen")}]
+    schema = "page_id int, in_language string, lid_lang string, lid_conf double, domain string, is_free string, date_published string, warc_date string, article_section string, breadcrumb string, text string"
+    pages = spark.createDataFrame([(i, *c.values()) for i, c in enumerate(cases)], schema)
+    terms = spark.createDataFrame([("sport", "1", "sport")], "label string, node string, term string")
+    ref = spark.createDataFrame([(1, long("seen"), "en"), (None, "x", "en")], "ref int, text string, lang string")
+    pool, funnel = builders.silver_pool(pages, terms, ref, "ref", spark.createDataFrame([("old.x",), (None,)], "domain string"))
+    assert [r.n for r in funnel.orderBy("place").collect()] == [9, 8, 7, 6, 5, 4, 3, 2, 1, 1]
+    r = pool.collect()
+    assert len(r) == 1 and r[0].page_id in (0, 7) and r[0].label == "sport" and r[0].label_source == "section" and r[0].train_overlap == 0.0
+    pool, funnel = builders.silver_pool(pages.limit(0), terms, ref, "ref")
+    assert pool.count() == 0 and {r.n for r in funnel.collect()} == {0}

@@ -39,6 +39,10 @@ CHECKS = {
     "language_id": lambda d: sum(r.n for r in d if r.lang == r.lid_lang) > 0.9 * sum(r.n for r in d if r.lang),
     "class_offset_calibration": lambda d: [r["class"] for r in d] == list(range(17)) and all(0 < r.macro_f1 <= 1 and 0 < r.macro_f1_out_of_fold <= 1 for r in d),
     "subword_tokens": lambda d: all(0 < r.n <= 512 and 0 <= r.least <= r.largest for r in d),
+    "silver_funnel": lambda d: len(d) == 10 and [r.n for r in sorted(d, key=lambda r: r.place)] == sorted((r.n for r in d), reverse=True),
+    "silver_pool": lambda d: all(0 < r.n <= 50 and 0 < r.sites <= r.n and r.most_overlap < 0.3 for r in d),
+    "ablation_significance": lambda d: all(r.p is None or 0 <= r.p <= r.p_holm <= 1 for r in d) and sum(r.p is None for r in d) == 1,
+    "factor_tests": lambda d: len(d) == 7 and all(0 <= r.p <= r.p_holm <= 1 for r in d),
     "page_extraction": lambda d: {r.text_source for r in d} >= {"main text"} and all(r.n >= r.sites > 0 and r.words > 0 for r in d),
 }
 

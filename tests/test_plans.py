@@ -40,7 +40,7 @@ def test_caps_are_pruned_before_the_shuffle(spark):
 
 def test_every_query_is_registered_with_sql_or_by_design(spark):
     without = {n for n in entry.queries() if n not in entry.oracle_sql() and n.split("_")[0] not in LLM}
-    assert without == {"near_dup_pairs", "near_dup_keep", "hashed_bigrams", "distilled_student", "svm_classifier", "language_id", "class_offset_calibration", "subword_tokens", "page_extraction"}
+    assert without == {"near_dup_pairs", "near_dup_keep", "hashed_bigrams", "distilled_student", "svm_classifier", "language_id", "class_offset_calibration", "subword_tokens", "page_extraction", "silver_funnel", "silver_pool", "ablation_significance", "factor_tests"}
 
 
 @pytest.mark.parametrize("name", ["train_val_split", "round_robin", "batch_files"])
