@@ -1,16 +1,17 @@
 """Main content of web pages, by wrappers inferred from pages of one site and of one language.
 
-A page is a stream of line tokens. Aligning pages means finding the tokens they share and calling what differs a slot: words
-that few pages of the language have become text slots, numbers number slots, and lines that then are equal are one
-token. Over all aligned pages a token that some pages lack is an optional group and one that stands several times
-a repeated group; where it stands, before the headline, between the first and the last paragraph or after them, tells
-the page's frame from its content. The frame tokens so inferred are the wrapper. It is inferred for each host that has
-enough pages, and for each language from all hosts, which also serves hosts of few pages. As counts of tokens
-add up in any order, the alignment is one distributed aggregation, whatever share of the pages one host has.
+A page is a stream of line tokens: words that few pages of the language have become text slots, numbers number slots, and lines that then are
+equal are one token. The pages of one host and language are aligned one after another with the wrapper found so far, a union-free
+regular expression: tokens both have stay, a token that some pages lack becomes optional, one that comes several times in a row
+repeated, and what a single page has is a text slot (`align`). Large hosts are cut into chunks that are aligned by themselves; as a wrapper's tokens
+come with how often each page's alignment met them, and where (before the headline, between the first and the last paragraph, or after it), chunks
+add up in any order. Tokens that stand in the frame are the host's wrapper. The wrapper of a language, which also serves hosts
+of few pages, is the tokens that the frames of several hosts share; as no order of lines holds across hosts, these are counted, not aligned.
 """
 
 from __future__ import annotations
 
+import difflib
 import functools
 import html
 import itertools
@@ -19,12 +20,15 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from corpusloom.llm.arrowmap import map_arrow
-from corpusloom.session import cut
+from corpusloom.session import cut, ship
 
 #: Characters: a paragraph has at least LONG; a line of TEASER or more is no headline of another article.
 LONG, TEASER = 110, 240
@@ -34,6 +38,8 @@ LEAD_WORDS = 8
 WORD_SHARE, WORD_SHARE_COARSE = 0.004, 0.03
 LEAST_PAGES, LONG_SHARE = 3, 0.0005
 FRAME_SHARE, HOST_PAGES, HOST_SHARE, SHAPE_SHARE = 0.6, 8, 0.15, 0.02
+#: Pages of a host that are aligned together.
+CHUNK_PAGES = 64
 #: Hosts' wrappers of up to so many tokens in all are sent to the workers; more are joined by host.
 MOST_OWN = 1_000_000
 #: Lines whose readings a worker keeps: lines of frames recur.
@@ -167,6 +173,42 @@ def zones(lines: list[str], tokens: list[tuple[str, str]], head: int, frame_long
     return "".join(out)
 
 
+class Node:
+    """A token of a wrapper: in how many pages' alignments it was met in each zone, and whether some pages lack or repeat it."""
+
+    __slots__ = ("token", "at", "optional", "repeated")
+
+    def __init__(self, token: int, optional: bool):
+        self.token, self.at, self.optional, self.repeated = token, dict.fromkeys("HMT", 0), optional, False
+
+    def meet(self, zone: str, times: int) -> None:
+        self.at[zone] += 1
+        self.repeated |= times > 1
+
+
+def align(pages: list[tuple[list[int], str]]) -> list[Node]:
+    """The wrapper of some pages, given as tokens and their zones: pages are aligned in turn with what the pages before gave.
+
+    Tokens of a single page are text slots and left out first. A run of one token is a repeated group. Where a page and the wrapper differ, the wrapper's
+    tokens become optional and the page's are added as optional ones. Nodes met once only are no part of the result.
+    """
+    in_pages = Counter(t for tokens, _ in pages for t in set(tokens))
+    wrapper: list[Node] = []
+    for number, (tokens, place) in enumerate(pages):
+        runs = [(t, z, len(list(g))) for (t, z), g in itertools.groupby(zip(tokens, place)) if in_pages[t] > 1]
+        new: list[Node] = []
+        for what, i, j, k, m in difflib.SequenceMatcher(None, [n.token for n in wrapper], [r[0] for r in runs], autojunk=False).get_opcodes():
+            for node in wrapper[i:j]:
+                node.optional |= what != "equal"
+            new += wrapper[i:j]
+            added = wrapper[i:j] if what == "equal" else [Node(r[0], number > 0) for r in runs[k:m]]
+            new += [] if what == "equal" else added
+            for node, (_, zone, times) in zip(added, runs[k:m]):
+                node.meet(zone, times)
+        wrapper = new
+    return [n for n in wrapper if sum(n.at.values()) > 1]
+
+
 def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id_col, line_no): the lines that are not blank and not part of the article; lines count from 1, blank ones included.
 
@@ -176,6 +218,7 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     pages to infer a wrapper from keeps all lines but tags, rights and marks of advertising and those above its headline.
     """
     spark, kind = pages.sparkSession, dict(pages.dtypes)[id_col]
+    ship(spark)
     src = pages.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("id"), "lang", F.col("domain").alias("host"), "headline", "text")
     one = src.groupBy("id").agg(F.min(F.struct("text", "lang", "host", "headline")).alias("r"))
     src = cut(one.select("id", "r.lang", "r.host", "r.headline", "r.text"))
@@ -236,8 +279,33 @@ def boilerplate_lines(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     code = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEGACY.items() for x in kv]), code), code)
     src = src.withColumn("code", code)
     size = src.groupBy(F.col("code").alias("lang"), "host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= HOST_PAGES)
-    by_host = at.join(size, ["lang", "host"]).where(frame & (often >= F.greatest(F.lit(LEAST_PAGES), HOST_SHARE * F.col("host_pages"))))
-    by_host = by_host.groupBy(F.col("lang").alias("code"), "host").agg(F.collect_list("token").alias("own"))  # at most lines a page / HOST_SHARE
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("host_pages") / CHUNK_PAGES)).cast("int")
+    part = src.withColumnRenamed("lang", "raw").join(size.withColumnRenamed("lang", "code"), ["code", "host"]).select("id", F.col("raw").alias("lang"), "host", "headline", "text", chunk.alias("chunk"), "host_pages")
+
+    def streams(c: dict) -> dict:
+        keys = {k: v for k, v in zip(c["id"].to_pylist(), zip(c["chunk"].to_pylist(), c["host_pages"].to_pylist()))}
+        out: dict[str, list] = {k: [] for k in ("lang", "host", "chunk", "host_pages", "tokens", "zones")}
+        for page, lang, host, head, lines in _rows(c):
+            known = common(lang)
+            tokens = [readings(x, known) for x in lines]
+            z = zones(lines, tokens, headline_at(lines, head), frame_long.value.get(lang, none))
+            at = [i for i, p in enumerate(z) if p in "HMT"]
+            for k, v in zip(out, (lang, host, *keys[page], [tokens[i][0] for i in at], "".join(z[i] for i in at))):
+                out[k].append(v)
+        return out
+
+    def aligned(t: pa.Table) -> pa.Table:
+        found = align(list(zip(t["tokens"].to_pylist(), t["zones"].to_pylist())))
+        one = lambda k: [t[k][0].as_py()] * len(found)
+        columns = {"lang": one("lang"), "host": one("host"), "host_pages": one("host_pages"), "token": [n.token for n in found]} | {z: [n.at[z] for n in found] for z in "HMT"}
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in to}, schema=to)
+
+    nodes = "lang string, host string, host_pages bigint, token bigint, H bigint, M bigint, T bigint"
+    to = to_arrow_schema(_parse_datatype_string(nodes))
+    paged = map_arrow(part, streams, "lang string, host string, chunk int, host_pages bigint, tokens array<bigint>, zones string")
+    by_host = paged.groupBy("lang", "host", "chunk").applyInArrow(aligned, nodes).groupBy("lang", "host", "host_pages", "token").agg(*[F.sum(z).alias(z) for z in "HMT"])
+    by_host = by_host.where(frame & (often >= F.greatest(F.lit(LEAST_PAGES), HOST_SHARE * F.col("host_pages"))))
+    by_host = cut(by_host.groupBy(F.col("lang").alias("code"), "host").agg(F.collect_list("token").alias("own")))  # at most lines a page / HOST_SHARE
     few = by_host.limit(MOST_OWN + 1).withColumn("size", F.size("own"))
     sent = None
     if (few.agg(F.sum("size")).first()[0] or 0) <= MOST_OWN:

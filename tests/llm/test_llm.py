@@ -608,3 +608,14 @@ def test_table_keys_meet_within_the_radius():
             b[i] ^= np.uint64(1) << np.uint64(bit)
     assert (residue.table_keys(a) == residue.table_keys(b)).any(1).all()
     assert not (residue.table_keys(a) == residue.table_keys(np.roll(a, 1))).any()
+
+
+def test_wrapper_alignment():
+    a, b, c, d, e, u, v = range(7)
+    pages = [([a, b, u, c, d], "HHMTT"), ([a, c, c, d], "HTTT"), ([a, b, v, c, e, d], "HHMTTT"), ([a, b, c, e, d], "HHTTT")]
+    got = boilerplate.align(pages)
+    assert [n.token for n in got] == [a, b, c, e, d]
+    assert [n.optional for n in got] == [False, True, False, True, False]
+    assert [n.repeated for n in got] == [False, False, True, False, False]
+    assert [n.at["H"] + n.at["T"] for n in got] == [4, 3, 4, 2, 4]
+    assert boilerplate.align([]) == [] and boilerplate.align([([a, b], "HH")]) == []
