@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-#: Queries that call Python by design: models, metadata trees, MinHash bands.
-PYTHON = {"jsonld_articles", "near_dup_pairs", "near_dup_keep"}
+#: Queries that call Python by design: models, metadata trees, MinHash bands, NFKC of names.
+PYTHON = {"jsonld_articles", "near_dup_pairs", "near_dup_keep", "silver_sample"}
 LLM = {f"p{i}" for i in range(1, 10)}
 
 
