@@ -13,7 +13,7 @@ from corpusloom.llm.near_duplicates import near_duplicate_groups
 from corpusloom.llm.packing import pack, pack_report
 from corpusloom.llm.quota_sample import LABEL_TREE, LANGUAGE_TREE, quota_report, quota_sample
 from corpusloom.llm.residue import residue_documents
-from corpusloom.llm.segment_join import split_overlap
+from corpusloom.llm.segment_join import split_links, split_overlap
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("split", "source").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("n").alias("overlapping_articles"), F.count(F.lit(1)).alias("articles"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each overlapping article: its class of equal texts and its number of links."""
+    return split_links(_t(spark, d, "articles"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaked_passages(_t(spark, d, "documents"), _t(spark, d, "unified_test"), "doc_id", "doc_id")
     return found.selectExpr("doc as doc_id", "item as test_doc_id")
@@ -96,7 +101,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_misses, p2_found, p2_report, p3_found, p4_found, p5_found, p6_found, p6_report, p6_sample, p7_ids, p8_packing, p8_report, p9_found)
+    for f in (p1_found, p1_misses, p2_found, p2_report, p2_links, p3_found, p4_found, p5_found, p6_found, p6_report, p6_sample, p7_ids, p8_packing, p8_report, p9_found)
 }
 SQL: dict[str, str] = {
     "p6_found": """

@@ -131,13 +131,13 @@ def alike(a: list[np.ndarray], b: list[np.ndarray], w: np.ndarray, threshold_pct
     return ok
 
 
-def segment_join(train: DataFrame, evaluation: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", width: int = 5, width_cjk: int = 10, threshold_pct: int = 70, max_shift: float = 1.0) -> DataFrame:
-    """(eval_id, train_id) of all pairs of alike texts.
+def class_join(train: DataFrame, evaluation: DataFrame, id_col: str, text_col: str = "text", lang_col: str = "lang", width: int = 5, width_cjk: int = 10, threshold_pct: int = 70, max_shift: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of alike classes (ecls, tcls), evaluation members (eval_id, ecls), training members (train_id, tcls)); a class is one word sequence.
 
     max_shift: how far, as a share of the longer text, a segment may stand from its place in the evaluation text. The
     default allows every place, as texts whose parts changed places are alike too. Null ids, null and empty texts and texts
-    shorter than one run are in no pair; repeated rows count once. Copies are collapsed on both sides until the
-    last step, so a text that a third of the rows repeats is compared once.
+    shorter than one run are in no pair; repeated rows count once. Copies are collapsed on both sides,
+    so a text that a third of the rows repeats is compared once.
     """
     pick = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null")
     ev = cut(_pass(pick(evaluation), width, width_cjk, None))
@@ -162,8 +162,28 @@ def segment_join(train: DataFrame, evaluation: DataFrame, id_col: str, text_col:
         return {k: c[k].to_numpy()[ok] for k in ("ecls", "tcls")}
 
     found = map_arrow(with_words, verify, "ecls bigint, tcls bigint")
-    out = found.join(ev.select(F.col("cls").alias("ecls"), F.col("id").alias("eval_id")), "ecls").join(tr.select(F.col("cls").alias("tcls"), F.col("id").alias("train_id")), "tcls")
-    return out.select("eval_id", "train_id").where("eval_id <> train_id").distinct()
+    return found.distinct(), ev.select(F.col("id").alias("eval_id"), F.col("cls").alias("ecls")).distinct(), tr.select(F.col("id").alias("train_id"), F.col("cls").alias("tcls")).distinct()
+
+
+def segment_join(train: DataFrame, evaluation: DataFrame, id_col: str, **kw) -> DataFrame:
+    """(eval_id, train_id) of all pairs of alike texts: the pairs of classes (`class_join`) with their members."""
+    found, ev, tr = class_join(train, evaluation, id_col, **kw)
+    return found.join(ev, "ecls").join(tr, "tcls").select("eval_id", "train_id").where("eval_id <> train_id").distinct()
+
+
+def split_links(articles: DataFrame, train_split: str = "train", eval_splits: tuple[str, ...] = ("dev", "heldout", "test"), id_col: str = "article_id", **kw) -> DataFrame:
+    """(id_col, side, class_id, links): one row for each article of an overlap, with its class of equal texts and how many articles of the other side it is alike to.
+
+    Members are counted by class and never joined with each other, so a text that stands in a third of both splits costs one row an article. An id that
+    stands on both sides counts itself.
+    """
+    found, ev, tr = class_join(articles.where(F.col("split") == train_split), articles.where(F.col("split").isin(*eval_splits)), id_col, **kw)
+    found = cut(found)
+    size = lambda d, c: d.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    of_ev = found.join(size(tr, "tcls"), "tcls").groupBy("ecls").agg(F.sum("n").alias("links"))
+    of_tr = found.join(size(ev, "ecls"), "ecls").groupBy("tcls").agg(F.sum("n").alias("links"))
+    a = ev.join(of_ev, "ecls").select(F.col("eval_id").alias(id_col), F.lit("evaluation").alias("side"), F.col("ecls").alias("class_id"), "links")
+    return a.union(tr.join(of_tr, "tcls").select("train_id", F.lit("train"), "tcls", "links"))
 
 
 def split_overlap(articles: DataFrame, train_split: str = "train", eval_splits: tuple[str, ...] = ("dev", "heldout", "test"), id_col: str = "article_id", **kw) -> DataFrame:

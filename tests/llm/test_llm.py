@@ -619,3 +619,14 @@ def test_wrapper_alignment():
     assert [n.repeated for n in got] == [False, False, True, False, False]
     assert [n.at["H"] + n.at["T"] for n in got] == [4, 3, 4, 2, 4]
     assert boilerplate.align([]) == [] and boilerplate.align([([a, b], "HH")]) == []
+
+
+def test_links_count_what_pairs_list(spark):
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, "train", base[0]), (2, "train", base[0]), (3, "train", base[1]), (4, "train", "other text of no kind"), (5, "dev", base[0]), (6, "test", base[0] + " end"), (7, "heldout", base[2]), (8, None, base[0]), (2, "train", base[0]), (9, "dev", None)]
+    a = spark.createDataFrame([(*r, "en") for r in rows], "article_id bigint, split string, text string, lang string")
+    pairs = rows_of(segment_join.split_overlap(a), "article_id_a", "article_id_b")
+    assert pairs == [(1, 5), (1, 6), (2, 5), (2, 6)]
+    got = {r.article_id: (r.side, r.links) for r in segment_join.split_links(a).collect()}
+    assert got == {1: ("train", 2), 2: ("train", 2), 5: ("evaluation", 2), 6: ("evaluation", 2)}
+    assert segment_join.split_links(a.limit(0)).count() == 0
