@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +44,15 @@ def student_logits(model, df: DataFrame, temperature: float = 1.0) -> DataFrame:
     return out.withColumn("student", raw).withColumn("student_label", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction")
 
 
-def train_svm(df: DataFrame, label: str, iterations: int = 10, reg: float = 0.01):
-    """One linear SVM a class."""
-    return OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg), labelCol=label, featuresCol="features", parallelism=4).fit(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")))
+def train_svm(df: DataFrame, label: str, iterations: int = 10, reg: float = 0.01) -> dict[int, object]:
+    """{class: linear SVM of that class against the rest} for the classes that occur; None where there is but one class. Null labels are left out."""
+    rows = df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("int")).select("features", "_y")
+    classes = sorted(r[0] for r in rows.select("_y").distinct().collect())  # one row a class
+    if len(classes) < 2:
+        return dict.fromkeys(classes)
+    fit = lambda k: LinearSVC(maxIter=iterations, regParam=reg, labelCol="_one").fit(rows.withColumn("_one", (F.col("_y") == k).cast("double")))
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(classes, pool.map(fit, classes)))
 
 
 def probability_logits(p: Column) -> Column:
@@ -167,16 +174,17 @@ def class_offsets(df: DataFrame, id_col: str, y: str, logits: str, classes: int,
     return fit_offsets(labels, z), round(_macro_f1(labels, z.argmax(1), classes), 6), round(_macro_f1(labels, out, classes), 6)
 
 
-def svm_scores(model, df: DataFrame, classes: int) -> DataFrame:
-    """Adds scores: the decision score of each class by its own SVM; classes the model was not trained on get the missing-class logit."""
-    out, names = df, []
-    for k, m in enumerate(model.models):
-        if k < classes:
+def svm_scores(models: dict, df: DataFrame, classes: int) -> DataFrame:
+    """Adds scores: the decision score of each class by its own SVM; classes that none was trained for get the missing-class logit."""
+    out, names = df, {}
+    for k, m in models.items():
+        if m is not None and k < classes:
             scored = m.copy({m.rawPredictionCol: f"_raw{k}", m.predictionCol: f"_p{k}"}).transform(out)
+            names[k] = f"_s{k}"
             out = scored.withColumn(f"_s{k}", F.element_at(vector_to_array(f"_raw{k}"), 2)).drop(f"_raw{k}", f"_p{k}")
-            names.append(f"_s{k}")
-    scores = F.array(*[F.col(n) for n in names], *[F.lit(MISSING)] * (classes - len(names)))
-    return out.withColumn("scores", scores).drop(*names)
+    alone = F.lit(0.0)
+    scores = F.array(*[F.col(names[k]) if k in names else alone if k in models else F.lit(MISSING) for k in range(classes)])
+    return out.withColumn("scores", scores).drop(*names.values())
 
 
 def ols(df: DataFrame, target: str, numeric: list[str], category: str | None = None) -> tuple[float, int]:
