@@ -13,6 +13,7 @@ A term counts once in an item, so the item's length norm multiplies its score an
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from corpusloom.llm import bitmap
-from corpusloom.llm.arrowmap import map_arrow, ragged
+from corpusloom.llm.arrowmap import _slices, map_arrow, ragged
 from corpusloom.llm.segment_join import _lists
-from corpusloom.llm.wordkernel import CJK_LANGS, groups_by_width, mix, runs, take, word_hashes
+from corpusloom.llm.wordkernel import CJK_LANGS, groups_by_width, mix, runs, take, text_class, word_hashes
 from corpusloom.session import cut, ship
 
 #: Words, and characters in zh and ja, of a term.
 TERM, TERM_CJK = 6, 7
 #: A block of the index has about this many words at most (one item may have more).
 BLOCK_WORDS = 1_000_000
-#: Characters of the runs that texts in zh and ja are looked at once more by: of these an edit breaks few.
-FINE_CJK = 4
+#: Words, and characters in zh and ja, of the runs that the surroundings of a shared pivot are compared by: of these an edit breaks few.
+FINE, FINE_CJK = 2, 4
 #: Bits of an item's signature for each of its terms.
 SIGN_BITS = 16
-#: Candidate terms, and words of texts, that a worker looks at side by side: what fits into a core's cache.
-AT_ONCE, WORDS_AT_ONCE = 500_000, 120_000
+#: Candidate terms, words of texts, and compared runs around pivots that a worker looks at side by side: what fits into a core's cache.
+AT_ONCE, WORDS_AT_ONCE, AROUND_AT_ONCE = 500_000, 120_000, 400_000
+#: Bytes of texts that a worker holds while it reads one block after the other.
+HELD = 48 << 20
 
 
 def _budget(least: int, share: float = 0.1) -> np.ndarray:
@@ -118,14 +121,15 @@ def _terms(items: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFrame:
-    """(doc, cjk, terms, pos, words): the terms that some item has, in stretches with as many of them as a passage keeps, and all words."""
+    """(doc, key, cjk, terms, pos, words): the terms that some item has, in stretches with as many of them as a passage keeps, all words, and one value for them."""
 
     def fn(c: dict) -> dict:
-        rows, kinds, terms, pos, words = [], [], [], [], []
+        rows, kinds, terms, pos, words, keys = [], [], [], [], [], [np.zeros(0, np.int64)]
         for kind, at, g, go, hw, ow in _grams(c):
             k = np.flatnonzero(bitmap.contains(bits.value, g))
             k = k[_dense(k, go, _bounds(least[kind], TERM_CJK if kind else TERM))]
             edge = np.searchsorted(k, go)
+            keys.append(text_class(hw, ow)[np.diff(edge) > 0])
             for i in np.flatnonzero(np.diff(edge)):
                 x = k[edge[i] : edge[i + 1]]
                 rows.append(at[i])
@@ -133,9 +137,9 @@ def _hits(docs: DataFrame, id_type: str, bits, least: tuple[int, int]) -> DataFr
                 terms.append(g[x])
                 pos.append((x - go[i]).astype(np.int32))
                 words.append(hw[ow[i] : ow[i + 1]])
-        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32), "words": _lists(words)}
+        return {"doc": c["id"].take(pa.array(rows, pa.int64())), "key": np.concatenate(keys), "cjk": kinds, "terms": _lists(terms), "pos": _lists(pos, np.int32), "words": _lists(words)}
 
-    return map_arrow(docs, fn, f"doc {id_type}, cjk boolean, terms array<bigint>, pos array<int>, words array<bigint>")
+    return map_arrow(docs, fn, f"doc {id_type}, key bigint, cjk boolean, terms array<bigint>, pos array<int>, words array<bigint>")
 
 
 def _pivots(idf: np.ndarray, go: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +165,9 @@ def _pivots(idf: np.ndarray, go: np.ndarray, least: int, width: int) -> tuple[np
 
 
 def _index(items: DataFrame, id_type: str, least: tuple[int, int]) -> DataFrame:
-    """(block, item, cjk, words, idf, pivot, theta) of items (id, text, lang, block): idf within the block, pivots and threshold."""
+    """(block, item, number, cjk, words, rank, idf, pivot, theta) of items (id, text, lang, block): idf and the order of postings within the block, pivots and threshold."""
     ship(items.sparkSession)
-    schema = f"block bigint, item {id_type}, cjk boolean, words array<bigint>, idf array<float>"
+    schema = f"block bigint, item {id_type}, number int, cjk boolean, words array<bigint>, rank array<int>, idf array<float>"
     to = to_arrow_schema(_parse_datatype_string(schema))
 
     def weigh(t: pa.Table) -> pa.Table:
@@ -182,8 +186,11 @@ def _index(items: DataFrame, id_type: str, least: tuple[int, int]) -> DataFrame:
             n = np.count_nonzero(np.diff(go))
             idf = np.empty(len(g), np.float32)
             idf[by] = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+            rank = np.empty(len(g), np.int32)
+            rank[by] = np.arange(len(g), dtype=np.int32)
             some = pa.array(at)
-            columns = [t["block"].combine_chunks().take(some), t["id"].combine_chunks().take(some), pa.array(np.full(len(at), bool(kind))), ragged(hw, ow, "int64"), ragged(idf, go, "float32")]
+            columns = [t["block"].combine_chunks().take(some), t["id"].combine_chunks().take(some), pa.array(np.arange(len(at))), pa.array(np.full(len(at), bool(kind)))]
+            columns += [ragged(hw, ow, "int64"), ragged(rank, go, "int32"), ragged(idf, go, "float32")]
             parts.append(pa.Table.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(columns, to)], schema=to))
         return pa.concat_tables(parts)
 
@@ -198,7 +205,7 @@ def _index(items: DataFrame, id_type: str, least: tuple[int, int]) -> DataFrame:
             kinds.append(at)
             out.append((ragged(pivot, go, pa.bool_()), theta))
         by = pa.array(np.concatenate(kinds))
-        return {k: c[k].take(by) for k in ("block", "item", "cjk", "words", "idf")} | {"pivot": pa.concat_arrays([p for p, _ in out]), "theta": np.concatenate([t for _, t in out])}
+        return {k: c[k].take(by) for k in ("block", "item", "number", "cjk", "words", "rank", "idf")} | {"pivot": pa.concat_arrays([p for p, _ in out]), "theta": np.concatenate([t for _, t in out])}
 
     weighed = items.groupBy("block").applyInArrow(weigh, schema)
     spread = 2 * items.sparkSession.sparkContext.defaultParallelism + 1
@@ -217,22 +224,56 @@ class Signature:
     def _at(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
         return self.base[item] + ((term >> np.uint64(40)).astype(np.int64) % self.size[item])
 
-    def admits(self, terms: np.ndarray, offsets: np.ndarray, text: np.ndarray, item: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-        """Places of the pairs of a text and an item of which a stretch of the text has as many terms that the item may hold as a bound asks for."""
-        n = offsets[text + 1] - offsets[text]
-        pair, at = np.repeat(np.arange(len(text)), n), np.repeat(offsets[text] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        k = np.flatnonzero(self.may_hold(terms[at], item[pair]))
-        return _distinct(pair[k[_dense(k, np.append(0, np.cumsum(n)), bounds)]])
-
     def may_hold(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
         return self.bits[self._at(term, item)]
 
 
+class Around:
+    """Compares what stands around a term that a text and an item share, by runs of `size` words.
+
+    A passage of n words with e edits leaves n - size + 1 - size * e of its runs whole, all on diagonals that differ by e at most from that of any term
+    it keeps. As in `_bounds` the first length of each number of edits stands for all: it can be cut from the passage around the term.
+    Of terms that follow one another on a diagonal the first stands for all, as a passage that holds one can be widened, without more edits, to hold each.
+    Runs are compared by 16 bits, and those of the neighbours of short texts too, which only lets more through.
+    """
+
+    def __init__(self, least: int, width: int, size: int):
+        budget = _budget(least).tolist()
+        self.kinds = [(n, n - size + 1, n - size + 1 - size * budget[n]) for n in range(least, len(budget)) if n == least or budget[n] > budget[n - 1]]
+        self.width, self.size, self.wide = width, size, int(budget[-1])
+        self.left, self.right = self.kinds[-1][0] - width, self.kinds[-1][0] - size
+        self.pad = self.left + self.wide
+
+    def runs(self, words: np.ndarray) -> np.ndarray:
+        """16 bits of the run that begins at each word, behind and before room for what the first and last words look at."""
+        total = np.zeros(len(words), np.uint64)
+        for t in range(self.size):
+            total[: len(words) - t] += words[t:] * np.uint64(0x9E3779B97F4A7C15 + 2 * t * 0xD6E8FEB86659)
+        return np.concatenate([np.zeros(self.pad, np.uint16), (total >> np.uint64(48)).astype(np.uint16), np.zeros(self.right + self.wide, np.uint16)])
+
+    def passes(self, doc: np.ndarray, d: np.ndarray, item: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Whether a passage may hold the term at word d of the texts and word i of the items, given by their runs."""
+        many = self.left + self.right + 1
+        docs, items = np.lib.stride_tricks.sliding_window_view(doc, many + 2 * self.wide), np.lib.stride_tricks.sliding_window_view(item, many)
+        ok, step = np.zeros(len(d), np.bool_), max(AROUND_AT_ONCE // many, 1)
+        for lo in range(0, len(d), step):
+            x, y = docs[d[lo : lo + step]], items[i[lo : lo + step] + self.wide]
+            same = x[:, :many] == y
+            for c in range(1, 2 * self.wide + 1):
+                same |= x[:, c : c + many] == y
+            total = np.zeros((len(same), many + 1), np.int16)
+            np.cumsum(same, axis=1, out=total[:, 1:])
+            for n, span, need in self.kinds:
+                a = self.left + self.width - n
+                ok[lo : lo + step] |= (total[:, a + span : self.left + 1 + span] - total[:, a : self.left + 1] >= need).any(1)
+        return ok
+
+
 class Block:
     """A block of the index of items of one kind (zh and ja or not), in memory."""
 
-    def __init__(self, t: pa.Table, kind: bool):
-        t = t.filter(pa.array(np.asarray(t["cjk"].to_pylist(), np.bool_) == kind)).combine_chunks()
+    def __init__(self, t: pa.Table, kind: bool, least: int):
+        t = t.filter(pa.array(np.asarray(t["cjk"].to_pylist(), np.bool_) == kind)).sort_by("number").combine_chunks()
         part = lambda name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t[name].type)
         self.ids, words = part("item"), part("words")  # ids are bounded by the block's size
         width = TERM_CJK if kind else TERM
@@ -240,52 +281,60 @@ class Block:
         words = words.view(np.uint64), to
         self.words, self.to = words
         g, self.go = runs(*words, width)
-        idf, pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
+        idf, self.pivot = part("idf").flatten().to_numpy(), part("pivot").flatten().to_numpy(zero_copy_only=False)
         self.theta = part("theta").to_numpy()
         item = np.repeat(np.arange(len(self.ids)), np.diff(self.go)).astype(np.int32)
-        by = np.argsort(g, kind="stable")  # postings by term, then by item
-        self.distinct, first = np.unique(g[by], return_index=True)
-        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
-        self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number * len(self.ids) + item[by]
-        keep = np.flatnonzero(pivot[by])
-        self.pivot_items, self.pivot_edge = item[by][keep].astype(np.int32), np.searchsorted(number[keep], np.arange(len(first) + 1))
+        by = np.empty(len(g), np.int32)  # postings by term, then by item
+        by[part("rank").flatten().to_numpy()] = np.arange(len(g), dtype=np.int32)
+        terms = g[by]
+        new = np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)]
+        first = np.flatnonzero(new)
+        self.distinct, number = terms[first], (np.cumsum(new) - 1).astype(np.int32)
+        self.some = np.zeros(1 << 22, np.bool_)
+        self.some[self.distinct >> np.uint64(42)] = True
+        self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number.astype(np.int64) * len(self.ids) + item[by]
+        self.number = np.empty(len(g), np.int32)
+        self.number[by] = number
+        keep = np.flatnonzero(self.pivot[by])
+        self.pivots, self.pivot_edge = by[keep], np.searchsorted(number[keep], np.arange(len(first) + 1))
+        self.item, self.shift = item, (self.to[:-1] - self.go[:-1])
         self.sign = Signature(g, self.go)
-        self.fine_grams, self.fine_offsets = runs(*words, FINE_CJK) if kind else (None, None)
-        self.fine = Signature(self.fine_grams, self.fine_offsets) if kind else None
+        self.runs = Around(least, width, FINE_CJK if kind else FINE).runs(self.words)
 
-    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, bounds: list[tuple[int, int]], wide: int, chars: tuple, fine: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order, in zh and ja their characters too."""
+    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, texts: np.ndarray, begin: np.ndarray, bounds: list[tuple[int, int]], around: Around) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order, their runs as `around` makes them, and the word each begins at."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.distinct):
             return none
-        k = np.minimum(np.searchsorted(self.distinct, term), len(self.distinct) - 1)
-        mine = np.flatnonzero(self.distinct[k] == term)
+        mine = np.flatnonzero(self.some[term >> np.uint64(42)])
+        k = np.minimum(np.searchsorted(self.distinct, term[mine]), len(self.distinct) - 1)
+        own = self.distinct[k] == term[mine]
+        mine, k = mine[own], k[own]
         row = (np.searchsorted(offsets, mine, "right") - 1).astype(np.int64)
         far = np.int64(1) << 32  # one ascending scale of places, texts far apart
         keep = _dense(pos[mine] + row * far, np.arange(len(offsets)) * far, bounds)
-        k, row, term, pos = k[mine[keep]], row[keep], term[mine[keep]], pos[mine[keep]].astype(np.int64)
+        if not len(keep):
+            return none
+        k, row, term, pos = k[keep], row[keep], term[mine[keep]], pos[mine[keep]].astype(np.int64)
+        place = begin[row] + pos
+        before = np.where(np.concatenate([[False], (np.diff(row) == 0) & (np.diff(pos) == 1)]), np.roll(k, 1), -1)  # the term a place before
         pairs = [np.zeros(0, np.int64)]
-        for lo, hi in _runs_of(self.pivot_edge[k + 1] - self.pivot_edge[k], AT_ONCE):
-            n = self.pivot_edge[k[lo:hi] + 1] - self.pivot_edge[k[lo:hi]]
-            at = np.repeat(self.pivot_edge[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            pairs.append(_distinct(np.repeat(row[lo:hi], n) * len(self.ids) + self.pivot_items[at]))
+        many = self.pivot_edge[k + 1] - self.pivot_edge[k]
+        for lo, hi in _runs_of(many, AT_ONCE):
+            n = many[lo:hi]
+            at = self.pivots[np.repeat(self.pivot_edge[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            hit, item = np.repeat(np.arange(lo, hi), n), self.item[at]
+            last = np.maximum(at - 1, 0)
+            new = (self.number[last] != before[hit]) | ~self.pivot[last] | (self.item[last] != item) | (at == 0)
+            at, hit, item = at[new], hit[new], item[new]
+            ok = around.passes(texts, place[hit], self.runs, at + self.shift[item])
+            pairs.append(_distinct(row[hit[ok]] * len(self.ids) + item[ok]))
         pairs = _distinct(np.concatenate(pairs))
         edge = np.searchsorted(row, np.arange(len(offsets)))
         out = [np.zeros(0, np.int64)]
         for lo, hi in _runs_of(edge[pairs // len(self.ids) + 1] - edge[pairs // len(self.ids)], AT_ONCE):
-            out.append(pairs[lo:hi][self._reach(pairs[lo:hi], k, term, pos, edge, bounds, wide)])
+            out.append(pairs[lo:hi][self._reach(pairs[lo:hi], k, term, pos, edge, bounds, around.wide)])
         out = np.concatenate(out)
-        if self.fine:
-            grams, off = runs(*chars, FINE_CJK)
-            row, left = out // len(self.ids), [out[:0]]
-            for lo, hi in _runs_of(off[row + 1] - off[row], AT_ONCE):
-                left.append(out[lo:hi][self.fine.admits(grams, off, row[lo:hi], out[lo:hi] % len(self.ids), fine)])
-            out = np.concatenate(left)
-            texts, left = Signature(grams, off), [out[:0]]
-            row, item = out // len(self.ids), out % len(self.ids)
-            for lo, hi in _runs_of(self.fine_offsets[item + 1] - self.fine_offsets[item], AT_ONCE):
-                left.append(out[lo:hi][texts.admits(self.fine_grams, self.fine_offsets, item[lo:hi], row[lo:hi], fine)])
-            out = np.concatenate(left)
         return out // len(self.ids), out % len(self.ids)
 
     def _reach(self, pairs: np.ndarray, k: np.ndarray, term: np.ndarray, pos: np.ndarray, edge: np.ndarray, bounds: list[tuple[int, int]], wide: int) -> np.ndarray:
@@ -333,17 +382,17 @@ def _runs_of(sizes: np.ndarray, most: int):
 
 
 @functools.lru_cache(1)
-def _load(path: str, number: int) -> tuple[Block, Block]:
-    where, folder = fs.FileSystem.from_uri(path)
-    t = ds.dataset(folder, format="parquet", filesystem=where, exclude_invalid_files=False).to_table(filter=ds.field("block") == number)
-    return Block(t, False), Block(t, True)
+def _load(path: str, number: int, least: tuple[int, int]) -> tuple[Block, Block]:
+    where, folder = fs.FileSystem.from_uri(f"{path}/block={number}")
+    t = ds.dataset(folder, format="parquet", filesystem=where, exclude_invalid_files=False).to_table()
+    return Block(t, False, least[0]), Block(t, True, least[1])
 
 
 class Shared:
-    """A block of the index, read by each Python worker from the shared folder, or sent where it cannot reach that."""
+    """A block of the index, read by each Python worker from its own folder in the shared one, or sent where it cannot reach that."""
 
-    def __init__(self, table: DataFrame, number: int):
-        self.path, self.number, self.sent = table.inputFiles()[0].rpartition("/")[0], number, None
+    def __init__(self, table: DataFrame, number: int, least: tuple[int, int]):
+        self.path, self.number, self.least, self.sent = table.inputFiles()[0].rpartition("/block=")[0], number, least, None
         try:
             fs.FileSystem.from_uri(self.path)
         except (OSError, ValueError):  # an address that only Hadoop understands; a block has a bounded size
@@ -351,36 +400,61 @@ class Shared:
 
     @property
     def value(self) -> tuple[Block, Block]:
-        return (Block(self.sent.value, False), Block(self.sent.value, True)) if self.sent else _load(self.path, self.number)
+        return (Block(self.sent.value, False, self.least[0]), Block(self.sent.value, True, self.least[1])) if self.sent else _load(self.path, self.number, self.least)
 
 
 def _joined(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _search(hits: DataFrame, block: Shared, doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
-    """(doc, item) of the pairs of texts and items of a block that share a passage."""
+def _search(hits: DataFrame, blocks: list[Shared], doc_type: str, item_type: str, least: tuple[int, int]) -> DataFrame:
+    """(doc, item) of the pairs of texts and items of the blocks that share a passage: the texts are read once, and held while the blocks pass."""
+    ship(hits.sparkSession)
+    schema = f"doc {doc_type}, item {item_type}"
+    to_schema = to_arrow_schema(_parse_datatype_string(schema))
+    bounds = _bounds(least[0], TERM), _bounds(least[1], TERM_CJK)
+    around = Around(least[0], TERM, FINE), Around(least[1], TERM_CJK, FINE_CJK)
 
-    def fn(c: dict) -> dict:
+    def prepared(t: pa.Table) -> list[tuple]:
+        t, out = t.combine_chunks(), []
+        c = {k: t[k].chunk(0) for k in t.column_names}
         cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
-        docs, items = [c["doc"].slice(0, 0)], [block.value[0].ids.slice(0, 0)]
         many = c["words"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         for kind in (False, True):
-            own, of = block.value[kind], np.flatnonzero(cjk == kind)
-            bounds, fine = _bounds(least[kind], TERM_CJK if kind else TERM), _bounds(least[kind], FINE_CJK) if kind else []
-            for lo, hi in _runs_of(many[of], WORDS_AT_ONCE) if len(own.ids) else ():
-                at = of[lo:hi]
-                (terms, to), (pos, _), (words, wo) = (_joined(c[k].take(pa.array(at))) for k in ("terms", "pos", "words"))
+            of = np.flatnonzero(cjk == kind)
+            for lo, hi in _runs_of(many[of], WORDS_AT_ONCE):
+                some = pa.array(of[lo:hi])
+                (terms, to), (pos, _), (words, wo) = (_joined(c[k].take(some)) for k in ("terms", "pos", "words"))
                 words = words.view(np.uint64)
-                row, item = own.candidates(terms.view(np.uint64), pos, to, bounds, int(_budget(least[kind])[-1]), (words, wo), fine)
+                out.append((kind, c["doc"].take(some), terms.view(np.uint64), to, pos, words, wo, around[kind].runs(words)))
+        return out
+
+    def look(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = prepared(pa.Table.from_batches(parts))
+        for block in blocks:
+            both = block.value
+            for kind, ids, terms, to, pos, words, wo, texts_runs in texts:
+                own = both[kind]
+                row, item = own.candidates(terms, pos, to, texts_runs, wo, bounds[kind], around[kind])
                 ok = np.zeros(len(row), np.bool_)
                 for p, q in _runs_of(np.diff(wo)[row] + np.diff(own.to)[item], WORDS_AT_ONCE):
                     ok[p:q] = holds_passages([words[wo[i] : wo[i + 1]] for i in row[p:q]], [own.words[own.to[i] : own.to[i + 1]] for i in item[p:q]], least[kind])
-                docs.append(c["doc"].take(pa.array(at[row[ok]])))
-                items.append(own.ids.take(pa.array(item[ok])))
-        return {"doc": pa.concat_arrays(docs), "item": pa.concat_arrays(items)}
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[ok])), own.ids.take(pa.array(item[ok]))], schema=to_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for part in _slices(batch):
+                parts.append(part)
+                size += part.nbytes
+                if size >= HELD:
+                    yield from look(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from look(parts)
 
-    return map_arrow(hits, fn, f"doc {doc_type}, item {item_type}")
+    return hits.mapInArrow(run, schema)
 
 
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -524,21 +598,31 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
     """(doc, item): documents that hold a passage of `least` words (characters in zh and ja) of a test item.
 
     Null ids, null and empty texts and shorter items give no row; rows that repeat an id count once, of different texts under one item id the
-    first in order. Items made of common phrases, and passages that many items share, are found as all others. Each block of
-    the index is one pass over the documents' terms that stand in some item, not over the documents.
+    first in order. Items made of common phrases, and passages that many items share, are found as all others. Equal items are compared
+    once, and equal documents where they are more than a tenth. The documents that hold terms of items are read once for all blocks of the index.
     """
     texts = lambda d, i: d.select(F.col(i).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null")
     item_type, doc_type = dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id]
     span = least, least_cjk
-    src = cut(texts(items, item_id).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("t")).select("id", "t.*"))
+    src = cut(texts(items, item_id).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("t")).selectExpr("id", "t.*", "min(id) over (partition by t.text, t.lang) as same"))
+    same_item, src = src.select(F.col("same").alias("item"), F.col("id").alias("copy")), src.where("id = same").drop("same")
     words = F.length("text") / F.when(F.col("lang").isin(*CJK_LANGS), 1).otherwise(5)  # about as many as there are
     about = int(src.agg(F.sum(words)).first()[0] or 0)
     blocks = -(-about // block_words)
     bits = bitmap.build(_terms(src), "term", bitmap.log2_size(about))
     hits = cut(_hits(texts(docs, doc_id), doc_type, bits, span))
     src = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
-    found = [hits.select("doc", F.lit(None).cast(item_type).alias("item")).limit(0)]
-    index = cut(_index(src, item_type, span))
-    if not index.isEmpty():
-        found += [_search(hits, Shared(index, k), doc_type, item_type, span) for k in range(blocks)]
-    return functools.reduce(DataFrame.union, found).distinct()
+    index = cut(_index(src, item_type, span).repartition(max(blocks, 1), "block"), "block")
+    if index.isEmpty():
+        return hits.select("doc", F.lit(None).cast(item_type).alias("item")).limit(0)
+    first = hits.groupBy("key", "cjk").agg(F.min("doc").alias("doc"))
+    distinct, every = first.count(), hits.count()
+    copied = distinct < 0.9 * every
+    some = hits.join(first, ["key", "cjk", "doc"], "left_semi") if copied else hits
+    numbers = [r[0] for r in index.select("block").distinct().collect()]
+    found = _search(some.drop("key"), [Shared(index, k, span) for k in sorted(numbers)], doc_type, item_type, span)
+    found = found.join(same_item, "item").select("doc", F.col("copy").alias("item"))
+    if copied:
+        key = hits.select("key", "cjk", F.col("doc").alias("copy"))
+        found = found.join(first, "doc").join(key, ["key", "cjk"]).select(F.col("copy").alias("doc"), "item")
+    return found.distinct()

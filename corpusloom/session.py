@@ -60,15 +60,16 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     The result no longer depends on the executors that computed it, so a lost executor costs a re-read and no
     recomputation; unlike an RDD checkpoint it is columnar, compressed and prunable. A long job calls release() once its results are written.
+    With `by` each value of that column has a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -285,6 +285,43 @@ def test_passages_with_edits_anywhere(spark):
     assert got == [(1, "long"), (2, "mid"), (3, "long"), (4, "zh")] + [(i, "short") for i in sorted(docs) if i >= 100]
 
 
+def test_texts_are_read_once_for_all_blocks_and_copies_are_compared_once(spark):
+    rng = random.Random(15)
+    items = {f"t{i}": story(rng, 60) for i in range(12)}
+    docs = {i: story(rng, 20) + items[f"t{i % 12}"][10:40] + story(rng, 20) for i in range(24)}
+    t = spark.createDataFrame([(k + c, " ".join(w), "en") for k, w in items.items() for c in "ab"], "doc_id string, text string, lang string")
+    d = spark.createDataFrame([(100 * c + i, " ".join(w) + "!" * c, "en") for i, w in docs.items() for c in range(4)], "doc_id bigint, text string, lang string")
+    found = leakage.leaked_passages(d, t, "doc_id", "doc_id", block_words=150)
+    assert rows_of(found, "doc", "item") == sorted((100 * c + i, f"t{i % 12}{x}") for i in docs for c in range(4) for x in "ab")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_surroundings_let_every_passage_through_and_few_templates():
+    rng = np.random.default_rng(16)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    for least, width, size in ((24, leakage.TERM, leakage.FINE), (60, leakage.TERM_CJK, leakage.FINE_CJK)):
+        around, looked = leakage.Around(least, width, size), 0
+        for n in [*range(least, 2 * least + 4)] * 3:
+            item, part = word(30 + n + 30), []
+            edits = set(rng.choice(np.arange(1, n - 1), n // 10, replace=False).tolist())
+            for k, w in enumerate(item[30 : 30 + n]):
+                part += [[], word(1).tolist(), [int(w), *word(1).tolist()]][int(rng.integers(3))] if k in edits else [int(w)]
+            doc = np.concatenate([word(int(rng.integers(40))), np.array(part, np.uint64), word(int(rng.integers(40)))])
+            assert leakage.holds_passage(doc, item, least)
+            at = {tuple(doc[d : d + width]): d for d in range(len(doc) - width + 1)}
+            seeds = [(at[tuple(item[i : i + width])], i) for i in range(len(item) - width + 1) if tuple(item[i : i + width]) in at]
+            seeds = [(d, i) for d, i in seeds if i == 0 or d == 0 or doc[d - 1] != item[i - 1]]
+            looked += len(seeds)
+            d, i = np.array(seeds).T
+            assert around.passes(around.runs(doc), d, around.runs(item), i).any()
+        assert looked > 100
+        frame, texts = word(40), [word(600) for _ in range(2)]
+        for x in texts:  # a template with a third of its words filled in
+            x[: 14 * 40] = np.where(np.arange(40) % 12 < 8, frame, x[: 14 * 40].reshape(14, 40)).ravel()
+        k = 40 * np.arange(4, 11)
+        assert not around.passes(around.runs(texts[0]), k, around.runs(texts[1]), k).any()
+
+
 # --- p4 ---
 
 
