@@ -39,7 +39,7 @@ FINE, FINE_CJK = 2, 4
 #: Bits of an item's signature for each of its terms.
 SIGN_BITS = 16
 #: Candidate terms, words of texts, and compared runs around pivots that a worker looks at side by side: what fits into a core's cache.
-AT_ONCE, WORDS_AT_ONCE, AROUND_AT_ONCE = 500_000, 120_000, 400_000
+AT_ONCE, WORDS_AT_ONCE, AROUND_AT_ONCE = 500_000, 120_000, 100_000
 #: Bytes of texts that a worker holds while it reads one block after the other.
 HELD = 48 << 20
 
@@ -257,15 +257,21 @@ class Around:
         docs, items = np.lib.stride_tricks.sliding_window_view(doc, many + 2 * self.wide), np.lib.stride_tricks.sliding_window_view(item, many)
         ok, step = np.zeros(len(d), np.bool_), max(AROUND_AT_ONCE // many, 1)
         for lo in range(0, len(d), step):
-            x, y = docs[d[lo : lo + step]], items[i[lo : lo + step] + self.wide]
-            same = x[:, :many] == y
+            x, y = np.ascontiguousarray(docs[d[lo : lo + step]].T), np.ascontiguousarray(items[i[lo : lo + step] + self.wide].T)
+            same = x[:many] == y
+            one = np.empty_like(same)
             for c in range(1, 2 * self.wide + 1):
-                same |= x[:, c : c + many] == y
-            total = np.zeros((len(same), many + 1), np.int16)
-            np.cumsum(same, axis=1, out=total[:, 1:])
+                np.logical_or(same, np.equal(x[c : c + many], y, out=one), out=same)
+            sums, n = {1: same.astype(np.uint8 if self.kinds[-1][1] < 256 else np.uint32)}, 1
+            while 2 * n <= self.kinds[-1][1]:  # of 1, 2, 4, ... runs in a row
+                sums[2 * n] = sums[n][:-n] + sums[n][n:]
+                n *= 2
             for n, span, need in self.kinds:
-                a = self.left + self.width - n
-                ok[lo : lo + step] |= (total[:, a + span : self.left + 1 + span] - total[:, a : self.left + 1] >= need).any(1)
+                at, starts, total = self.left + self.width - n, n - self.width + 1, 0
+                for k in (k for k in sums if span & k):
+                    total = total + sums[k][at : at + starts]
+                    at += k
+                ok[lo : lo + step] |= total.max(0) >= need
         return ok
 
 
@@ -290,27 +296,29 @@ class Block:
         new = np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)]
         first = np.flatnonzero(new)
         self.distinct, number = terms[first], (np.cumsum(new) - 1).astype(np.int32)
-        self.some = np.zeros(1 << 22, np.bool_)
-        self.some[self.distinct >> np.uint64(42)] = True
         self.idf, self.places, self.postings = idf[by][first], (by - self.go[item[by]]).astype(np.int32), number.astype(np.int64) * len(self.ids) + item[by]
         self.number = np.empty(len(g), np.int32)
         self.number[by] = number
         keep = np.flatnonzero(self.pivot[by])
-        self.pivots, self.pivot_edge = by[keep], np.searchsorted(number[keep], np.arange(len(first) + 1))
+        self.pivots, self.pivot_edge = by[keep], np.append(0, np.cumsum(np.bincount(number[keep], minlength=len(first))))
         self.item, self.shift = item, (self.to[:-1] - self.go[:-1])
         self.sign = Signature(g, self.go)
         self.runs = Around(least, width, FINE_CJK if kind else FINE).runs(self.words)
 
-    def candidates(self, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, texts: np.ndarray, begin: np.ndarray, bounds: list[tuple[int, int]], around: Around) -> tuple[np.ndarray, np.ndarray]:
-        """(row, item) of the pairs that may share a passage; rows are texts given by their terms and places in order, their runs as `around` makes them, and the word each begins at."""
+    def numbers(self, terms: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The number in the block of each term, given in ascending order, at the places of `order`; -1 where there is none."""
+        out = np.full(len(terms), -1, np.int32)
+        if len(self.distinct):
+            k = np.minimum(np.searchsorted(self.distinct, terms), len(self.distinct) - 1)
+            own = self.distinct[k] == terms
+            out[order[own]] = k[own]
+        return out
+
+    def candidates(self, number: np.ndarray, term: np.ndarray, pos: np.ndarray, offsets: np.ndarray, texts: np.ndarray, begin: np.ndarray, bounds: list[tuple[int, int]], around: Around) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item) of the pairs that may share a passage; rows are texts given by their terms, the numbers of these and their places in order, their runs as `around` makes them, and the word each begins at."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.distinct):
-            return none
-        mine = np.flatnonzero(self.some[term >> np.uint64(42)])
-        k = np.minimum(np.searchsorted(self.distinct, term[mine]), len(self.distinct) - 1)
-        own = self.distinct[k] == term[mine]
-        mine, k = mine[own], k[own]
-        row = (np.searchsorted(offsets, mine, "right") - 1).astype(np.int64)
+        mine = np.flatnonzero(number >= 0)
+        k, row = number[mine], (np.searchsorted(offsets, mine, "right") - 1).astype(np.int64)
         far = np.int64(1) << 32  # one ascending scale of places, texts far apart
         keep = _dense(pos[mine] + row * far, np.arange(len(offsets)) * far, bounds)
         if not len(keep):
@@ -415,8 +423,8 @@ def _search(hits: DataFrame, blocks: list[Shared], doc_type: str, item_type: str
     bounds = _bounds(least[0], TERM), _bounds(least[1], TERM_CJK)
     around = Around(least[0], TERM, FINE), Around(least[1], TERM_CJK, FINE_CJK)
 
-    def prepared(t: pa.Table) -> list[tuple]:
-        t, out = t.combine_chunks(), []
+    def prepared(t: pa.Table) -> list[tuple[list[tuple], np.ndarray, np.ndarray]]:
+        t, out = t.combine_chunks(), ([], [])
         c = {k: t[k].chunk(0) for k in t.column_names}
         cjk = np.asarray(c["cjk"].to_pylist(), np.bool_)
         many = c["words"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -426,21 +434,28 @@ def _search(hits: DataFrame, blocks: list[Shared], doc_type: str, item_type: str
                 some = pa.array(of[lo:hi])
                 (terms, to), (pos, _), (words, wo) = (_joined(c[k].take(some)) for k in ("terms", "pos", "words"))
                 words = words.view(np.uint64)
-                out.append((kind, c["doc"].take(some), terms.view(np.uint64), to, pos, words, wo, around[kind].runs(words)))
-        return out
+                out[kind].append((c["doc"].take(some), terms.view(np.uint64), to, pos, words, wo, around[kind].runs(words)))
+        terms = [np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in part)]) for part in out]
+        order = [np.argsort(x) for x in terms]
+        return [(part, x[by], by) for part, x, by in zip(out, terms, order)]
 
     def look(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = prepared(pa.Table.from_batches(parts))
         for block in blocks:
             both = block.value
-            for kind, ids, terms, to, pos, words, wo, texts_runs in texts:
-                own = both[kind]
-                row, item = own.candidates(terms, pos, to, texts_runs, wo, bounds[kind], around[kind])
-                ok = np.zeros(len(row), np.bool_)
-                for p, q in _runs_of(np.diff(wo)[row] + np.diff(own.to)[item], WORDS_AT_ONCE):
-                    ok[p:q] = holds_passages([words[wo[i] : wo[i + 1]] for i in row[p:q]], [own.words[own.to[i] : own.to[i + 1]] for i in item[p:q]], least[kind])
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[ok])), own.ids.take(pa.array(item[ok]))], schema=to_schema)
+            for kind in (False, True):
+                own, (mine, terms, order) = both[kind], texts[kind]
+                number = np.split(own.numbers(terms, order), np.cumsum([len(x[1]) for x in mine])[:-1])
+                pairs = [own.candidates(n, terms, pos, to, runs_, wo, bounds[kind], around[kind]) for n, (_, terms, to, pos, _, wo, runs_) in zip(number, mine)]
+                docs = [words[wo[i] : wo[i + 1]] for (*_, words, wo, _), (row, _) in zip(mine, pairs) for i in row]
+                if not docs:
+                    continue
+                item = np.concatenate([i for _, i in pairs])
+                ok = np.zeros(len(item), np.bool_)
+                for p, q in _runs_of(np.fromiter(map(len, docs), np.int64) + np.diff(own.to)[item], WORDS_AT_ONCE):
+                    ok[p:q] = holds_passages(docs[p:q], [own.words[own.to[i] : own.to[i + 1]] for i in item[p:q]], least[kind])
+                ids = pa.concat_arrays([x[0].take(pa.array(row)) for x, (row, _) in zip(mine, pairs)])
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), own.ids.take(pa.array(item[ok]))], schema=to_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
